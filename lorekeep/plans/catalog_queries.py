@@ -64,7 +64,7 @@ SELECTION_SQL = """
                 UNION ALL SELECT s_suppkey + 1000000000, s_name FROM supplier WHERE s_acctbal > 0
                 UNION ALL SELECT c_custkey + 2000000000, c_name FROM customer WHERE c_acctbal < 0),
     v_resolved AS (SELECT 'assemblies' AS mode, pos, assembly FROM v_given
-    UNION ALL SELECT 'species', (100 - n_nationkey) * 1000000000 + pos, assembly
+    UNION ALL SELECT 'species', CAST(100 - n_nationkey AS BIGINT) * 1000000000 + pos, assembly
               FROM v_default WHERE n_regionkey IN (1, 3)
     UNION ALL SELECT 'both', pos, assembly FROM v_given
               WHERE assembly IN (SELECT assembly FROM v_default WHERE n_regionkey IN (1, 3)))
@@ -74,7 +74,7 @@ SELECTION_SQL = """
 def _resolved(t):
     defaults, species, given = _selection(t)
     by_species = catalog.resolve_selection(defaults, species, None).withColumn(
-        "pos", F.col("pos.species_pos") * 1_000_000_000 + F.col("pos.default_pos"))
+        "pos", F.col("pos.species_pos").cast("bigint") * 1_000_000_000 + F.col("pos.default_pos"))
     modes = {
         "assemblies": catalog.resolve_selection(defaults, None, given),
         "species": by_species,

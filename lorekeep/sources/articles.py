@@ -16,8 +16,13 @@ FEED_GLOB = "*.xml.gz"
 
 # A record starts at this tag; the feed's root tag only shares the prefix.
 _RECORD = r"(?s)<PubmedArticle[\s>].*"
-# An entity that plain XML does not declare. The text is then not well formed.
-_UNDECLARED = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)"
+_LOOSE_END = r"</PubmedArticle\s+>"
+# Entities that plain XML does not declare, and two characters it does not allow:
+# not well formed, though the check below would let them pass.
+_ILLEGAL = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)|[\uFFFE\uFFFF]"
+# Attributes of a start tag; their values may hold a closing bracket.
+_ATTRS = r"""(?:\s+[^\s<>=/"']+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
+_ASIDES = r"(?s)<!--.*?-->|<\?.*?\?>"
 _GUARD = T.StructType(
     [T.StructField("b", T.StringType()), T.StructField("_corrupt_record", T.StringType())]
 )
@@ -41,17 +46,96 @@ def read_feed_pieces(
     reader = spark.readStream if streaming else spark.read
     reader = reader.option("lineSep", RECORD_END).option("pathGlobFilter", glob)
     reader = reader.option("ignoreCorruptFiles", "true").options(**options)
-    return reader.text(path).select(
-        feed_file_name().alias("feed_file"),
-        F.monotonically_increasing_id().alias("feed_pos"),
-        "value",
+    # An end tag may hold blanks before its bracket; those are cut here.
+    pieces = reader.text(path).select(
+        feed_file_name().alias("feed_file"), F.explode(F.split("value", _LOOSE_END)).alias("value")
     )
+    return pieces.select("feed_file", F.monotonically_increasing_id().alias("feed_pos"), "value")
 
 
 def record_block(piece: Column) -> Column:
-    """The record in a piece, end tag included; empty if the piece holds none."""
-    block = F.regexp_extract(piece, _RECORD, 0)
-    return F.when(block != "", F.concat(block, F.lit(RECORD_END))).otherwise("")
+    """The record in a piece, end tag included; the bare end tag if there is none."""
+    lines = F.when(F.contains(piece, F.lit("\r")), F.regexp_replace(piece, r"\r\n?", "\n"))
+    return F.concat(F.regexp_extract(lines.otherwise(piece), _RECORD, 0), F.lit(RECORD_END))
+
+
+def _leaf(unless: str = "") -> str:
+    """An element without child elements; not one named ``unless``."""
+    other = rf"(?!{unless}[\s/>])" if unless else ""
+    return rf"<{other}[^\s<>/]+{_ATTRS}(?:/>|>[^<]*</[^<>]+>)"
+
+
+def _text(name: str) -> str:
+    """Start tag of ``name`` and, as group 1, the text up to the next tag."""
+    return rf"<{name}{_ATTRS}(?:/>|>([^<]*))"
+
+
+def _child_text(parent: str, name: str) -> str:
+    """The same for the first child ``name`` of a ``parent``."""
+    return rf"<{parent}{_ATTRS}>(?:[^<]*{_leaf(name)})*[^<]*{_text(name)}"
+
+
+def _nested(parent: str) -> str:
+    """A ``parent`` with a child that has children, which the pattern above cannot see through."""
+    return rf"<{parent}{_ATTRS}>(?:[^<]*{_leaf()})*[^<]*<[^\s<>/]+{_ATTRS}>[^<]*<[^/]"
+
+
+def _unescape(text: Column) -> Column:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def is_plain(x: Column) -> Column:
+    """Whether patterns read a well-formed record exactly as an XML parser would.
+
+    True unless it has comments, CDATA, processing instructions, numeric
+    references, or deeper structure where a direct child is asked for.
+    """
+    return ~(
+        F.contains(x, F.lit("<!")) | F.contains(x, F.lit("<?")) | F.contains(x, F.lit("&#"))
+        | x.rlike(_nested("PubDate")) | x.rlike(_nested("MeshHeading"))
+    )
+
+
+def article_by_pattern(x: Column) -> Column:
+    """The article in a plain, well-formed record."""
+    def first(pattern: str) -> Column:
+        return F.nullif(_unescape(F.regexp_extract(x, pattern, 1)), F.lit(""))
+
+    year = _child_text("PubDate", "Year")
+    abstract = F.regexp_extract_all(x, F.lit(_text("AbstractText")), F.lit(1))
+    mesh = F.regexp_extract_all(x, F.lit(_child_text("MeshHeading", "DescriptorName")), F.lit(1))
+    return F.struct(
+        first(_text("PMID")).alias("pmid"),
+        F.when(x.rlike(r"<ArticleTitle[\s/>]"), first(_text("ArticleTitle"))).otherwise("").alias("title"),
+        _unescape(join_text(abstract)).alias("abstract"),
+        F.when(x.rlike(year), first(year)).otherwise("").alias("year"),
+        F.transform(F.filter(mesh, lambda m: m != ""), _unescape).alias("mesh_terms"),
+    )
+
+
+def article_by_xpath(x: Column) -> Column:
+    """The article in any well-formed record. ``xpath`` parses the record anew for
+    every field, so this is for the records the patterns cannot read.
+    """
+    # Comments and processing instructions do not split a text; markup in CDATA is none.
+    aside = ~F.contains(x, F.lit("<![CDATA["))
+    x = F.when(aside, F.regexp_replace(x, _ASIDES, "")).otherwise(x)
+
+    def first(where: str) -> Column:
+        return F.try_element_at(F.xpath(x, F.lit(f"({where})[1]/node()[1][self::text()]")), F.lit(1))
+
+    def exists(where: str) -> Column:
+        return F.xpath_boolean(x, F.lit(f"boolean({where})"))
+
+    return F.struct(
+        first("//PMID").alias("pmid"),
+        F.when(exists("//ArticleTitle"), first("//ArticleTitle")).otherwise("").alias("title"),
+        join_text(F.xpath(x, F.lit("//AbstractText/node()[1][self::text()]"))).alias("abstract"),
+        F.when(exists("//PubDate/Year"), first("//PubDate/Year")).otherwise("").alias("year"),
+        F.xpath(x, F.lit("//MeshHeading/DescriptorName[1]/node()[1][self::text()]")).alias("mesh_terms"),
+    )
 
 
 def parse_articles(pieces: DataFrame, piece: str = "value") -> DataFrame:
@@ -61,29 +145,16 @@ def parse_articles(pieces: DataFrame, piece: str = "value") -> DataFrame:
     well formed, has no id, or has an empty abstract is dropped.
     """
     keep = [c for c in pieces.columns if c != piece]
-    blocks = pieces.select(*keep, record_block(F.col(piece)).alias("_x")).where(
-        (F.col("_x") != "") & ~F.col("_x").rlike(_UNDECLARED)
-    )
-    # xpath fails the job on broken input, so it must only see checked text.
-    checked = blocks.withColumn("_bad", F.from_xml("_x", _GUARD)["_corrupt_record"])
-    good = checked.select(*keep, F.when(F.col("_bad").isNull(), F.col("_x")).alias("_x"))
-
-    def first_text(where: str) -> Column:
-        return F.try_element_at(
-            F.xpath("_x", F.lit(f"({where})[1]/node()[1][self::text()]")), F.lit(1)
-        )
-
-    has_title = F.xpath_boolean("_x", F.lit("boolean(//ArticleTitle)"))
-    has_year = F.xpath_boolean("_x", F.lit("boolean(//PubDate/Year)"))
-    parsed = good.where(F.col("_x").isNotNull()).select(
-        *keep,
-        first_text("//PMID").alias("pmid"),
-        F.when(has_title, first_text("//ArticleTitle")).otherwise("").alias("title"),
-        join_text(F.xpath("_x", F.lit("//AbstractText/node()[1][self::text()]"))).alias("abstract"),
-        F.when(has_year, first_text("//PubDate/Year")).otherwise("").alias("year"),
-        F.xpath("_x", F.lit("//MeshHeading/DescriptorName[1]/node()[1][self::text()]"))
-        .alias("mesh_terms"),
+    # Each step goes through a generator: filters on its result then stay above it,
+    # and Spark neither cuts nor parses a record twice.
+    blocks = pieces.select(*keep, F.explode(F.array(record_block(F.col(piece)))).alias("_x"))
+    x = F.col("_x")
+    # Broken records go first: xpath would fail the job on them.
+    sound = blocks.where(
+        (x != RECORD_END) & ~x.rlike(_ILLEGAL) & F.from_xml(x, _GUARD)["_corrupt_record"].isNull()
     )
+    article = F.when(is_plain(x), article_by_pattern(x)).otherwise(article_by_xpath(x))
+    parsed = sound.select(*keep, F.inline(F.array(article)))
     return parsed.where(F.col("pmid").isNotNull() & (F.col("abstract") != ""))
 
 
