@@ -79,22 +79,6 @@ def unknown_assemblies(targets: DataFrame, manifest: DataFrame) -> DataFrame:
     return targets.join(manifest.select("assembly"), "assembly", "left_anti")
 
 
-def with_directories(inventory: DataFrame) -> DataFrame:
-    """Add a row per directory above a file; a directory exists but has no size."""
-    parts = F.split("path", "/")
-    depth = F.size(parts) - 1
-    above = F.transform(
-        F.sequence(F.lit(1), F.greatest(depth, F.lit(1))),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-    )
-    dirs = (
-        inventory.where(F.size(F.split("path", "/")) > 1)
-        .select(F.explode(above).alias("path")).where(F.col("path") != "").distinct()
-        .select("path", F.lit(False).alias("is_file"), F.lit(None).cast("bigint").alias("size"))
-    )
-    return inventory.select("path", "is_file", "size").unionByName(dirs)
-
-
 def status_report(checks: DataFrame, inventory: DataFrame) -> DataFrame:
     """Each expected path: present or not, and its printed size if it is a file.
 

@@ -33,26 +33,43 @@ def feed_file_name(path: Column | None = None) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_feed_pieces(
-    spark: SparkSession, path: str, streaming: bool = False, glob: str = FEED_GLOB, **options
-) -> DataFrame:
-    """One row per record of the feed: feed_file, feed_pos, value.
+def _pieces(reader, path: str, glob: str) -> DataFrame:
+    """Feed files cut at the end tag of a record: feed_file, value.
 
-    The reader cuts at the end tag of a record, so a file is never one string.
-    A file that breaks off half-way gives the pieces before the break.
-    ``feed_pos`` rises within a file, since one task reads a gzip file from start
-    to end; it says nothing about the order of files.
+    A file is never one string. One that breaks off half-way gives the pieces
+    before the break.
     """
-    reader = spark.readStream if streaming else spark.read
     reader = reader.option("lineSep", RECORD_END).option("pathGlobFilter", glob)
-    reader = reader.option("ignoreCorruptFiles", "true").options(**options)
+    text = reader.option("ignoreCorruptFiles", "true").text(path)
     # An end tag may hold blanks before its bracket; those are cut here.
-    pieces = reader.text(path).select(
+    return text.select(
         feed_file_name().alias("feed_file"), F.explode(F.split("value", _LOOSE_END)).alias("value")
     )
+
+
+def number_pieces(pieces: DataFrame) -> DataFrame:
+    """Add ``feed_pos``, which rises within a file.
+
+    One task reads a gzip file from start to end, so the row id keeps its order.
+    The id says nothing about the order of files: that is their names.
+    """
     return pieces.select("feed_file", F.monotonically_increasing_id().alias("feed_pos"), "value")
 
 
+def read_feed_pieces(spark: SparkSession, path: str, glob: str = FEED_GLOB) -> DataFrame:
+    """One row per record of the feed: feed_file, feed_pos, value."""
+    return number_pieces(_pieces(spark.read, path, glob))
+
+
+def stream_feed_pieces(
+    spark: SparkSession, path: str, glob: str = FEED_GLOB, **options
+) -> DataFrame:
+    """The same as a stream, without feed_pos: a stream cannot number its rows, so
+    ``streaming.ingest`` does it batch by batch.
+    """
+    return _pieces(spark.readStream.options(**options), path, glob)
+
+
 def record_block(piece: Column) -> Column:
     """The record in a piece, end tag included; the bare end tag if there is none."""
     lines = F.when(F.contains(piece, F.lit("\r")), F.regexp_replace(piece, r"\r\n?", "\n"))
@@ -158,30 +175,20 @@ def parse_articles(pieces: DataFrame, piece: str = "value") -> DataFrame:
     return parsed.where(F.col("pmid").isNotNull() & (F.col("abstract") != ""))
 
 
-def read_articles(
-    spark: SparkSession, path: str, now: Column | None = None, glob: str = FEED_GLOB
-) -> DataFrame:
-    """Articles of all complete files of a feed folder, as feed rows.
-
-    A file without the feed's end tag broke off: it gives no rows (see
-    :func:`feed_status`).
-    """
-    pieces = read_feed_pieces(spark, path, glob=glob)
-    complete = feed_status(pieces).where(F.col("status") == "ok").select("feed_file")
+def articles_of(pieces: DataFrame, status: DataFrame, now: Column | None = None) -> DataFrame:
+    """Feed rows of all complete files. A file that broke off gives none."""
+    complete = status.where(F.col("status") == "ok").select("feed_file")
     articles = parse_articles(pieces).join(complete, "feed_file", "left_semi")
-    return _stamped(articles, now)
+    stamp = F.current_timestamp() if now is None else now
+    return articles.withColumn("last_updated", stamp).select(*schemas.FEED_ROW.names)
 
 
-def stream_articles(
-    spark: SparkSession, path: str, now: Column | None = None, glob: str = FEED_GLOB, **options
+def read_articles(
+    spark: SparkSession, path: str, now: Column | None = None, glob: str = FEED_GLOB
 ) -> DataFrame:
-    """The same feed as a stream of feed rows (see ``streaming.ingest``)."""
-    return _stamped(parse_articles(read_feed_pieces(spark, path, True, glob, **options)), now)
-
-
-def _stamped(articles: DataFrame, now: Column | None) -> DataFrame:
-    stamp = F.current_timestamp() if now is None else now
-    return articles.withColumn("last_updated", stamp).select(*schemas.FEED_ROW.names)
+    """Articles of a feed folder, as feed rows."""
+    pieces = read_feed_pieces(spark, path, glob)
+    return articles_of(pieces, feed_status(pieces), now)
 
 
 def feed_status(pieces: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +42,48 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.REGISTRY_ROW)
 
 
-def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` with their size, paths relative to it. Contents stay unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.rstrip("/") + "/"
-    relative = F.replace(path_text(F.col("path")), F.lit(prefix), F.lit(""))
-    return files.select(
-        relative.alias("path"), F.lit(True).alias("is_file"), F.col("length").alias("size")
-    )
+def read_inventory(spark: SparkSession, root: str, spread: int = 2) -> DataFrame:
+    """Everything below ``root``: path relative to it, is_file, size (null for a folder).
+
+    Spark's own file listing leaves out files of zero bytes, which count as
+    present here, so tasks list the folders themselves. The first ``spread``
+    levels are listed folder by folder, and every folder below them is a row of
+    its own, spread over the executors. Contents are not read.
+    """
+    found = None
+    level = spark.createDataFrame([(root.rstrip("/"),)], "folder string")
+    for _ in range(spread):
+        entries = level.mapInPandas(_list_folders(root, recursive=False), _ENTRY)
+        found = entries if found is None else found.unionByName(entries)
+        level = entries.where(~F.col("is_file")).select(F.col("uri").alias("folder")).repartition("folder")
+    found = found.unionByName(level.mapInPandas(_list_folders(root, recursive=True), _ENTRY))
+    return found.select("path", "is_file", "size")
+
+
+_ENTRY = "path string, uri string, is_file boolean, size long"
+
+
+def _list_folders(root: str, recursive: bool, rows_per_batch: int = 10_000):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        start = fs.FileSystem.from_uri(root.rstrip("/"))[1]
+        for batch in batches:
+            for folder in batch["folder"]:
+                system, base = fs.FileSystem.from_uri(folder)
+                scheme = folder[: len(folder) - len(base)]
+                infos = system.get_file_info(
+                    fs.FileSelector(base, recursive=recursive, allow_not_found=True))
+                for i in range(0, len(infos), rows_per_batch):
+                    part = infos[i:i + rows_per_batch]
+                    yield pd.DataFrame({
+                        "path": [x.path[len(start):].lstrip("/") for x in part],
+                        "uri": [scheme + x.path for x in part],
+                        "is_file": [x.is_file for x in part],
+                        "size": pd.array([x.size if x.is_file else None for x in part], dtype="Int64"),
+                    })
+
+    return run
 
 
 def read_package_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.updates import apply_updates, latest_per_key, sync_tally
 from ..sinks.corpus import commit_sync_log, stage, swap_corpus, touched_partitions
-from ..sources.articles import read_corpus
+from ..sources.articles import articles_of, feed_status, number_pieces, read_corpus
 
 FEED_ORDER = ("feed_file", "feed_pos")
 TALLY = T.StructType([
@@ -26,52 +24,63 @@ def apply_batch(
     batch: DataFrame, batch_id: int, corpus_path: str, log_path: str, staging: str,
     mode: str = "update_only", new_domain: str | None = None,
 ) -> None:
-    """Apply one batch of feed rows: tally, last writer wins, swap, then log.
+    """Apply one batch: tally, last writer wins, swap, then log.
 
-    Safe to repeat. The rows are staged first, so the feed is parsed once. The
-    tally is staged before the corpus changes, and a repeated batch reads it back
-    instead of counting against the corpus it has already changed. A row written
-    by a later feed row is never replaced by an earlier one.
+    ``batch`` holds feed rows, or feed pieces (see ``sources.articles``), which
+    are parsed here. Safe to repeat: the rows are staged first, so the feed is
+    parsed once. The tally is staged before the corpus changes, and a repeated
+    batch reads it back instead of counting against the corpus it has already
+    changed. A row written by a later feed row is never replaced by an earlier one.
     """
     spark = batch.sparkSession
     here = f"{staging.rstrip('/')}/batch={batch_id}"
-    feed = stage(batch, f"{here}/feed")
+    if "value" in batch.columns:
+        pieces = number_pieces(batch)
+        status = stage(feed_status(pieces), f"{here}/status")
+        rows = articles_of(pieces, status)
+    else:
+        rows = batch
+        status = None
+    feed = stage(rows, f"{here}/feed")
+    if status is None:
+        status = feed.select("feed_file", F.lit("ok").alias("status")).distinct()
     corpus = read_corpus(spark, corpus_path)
-    tally = _staged_tally(spark, f"{here}/tally") or stage(sync_tally(feed, corpus), f"{here}/tally")
+    tally = _staged(spark, f"{here}/tally", TALLY) or stage(sync_tally(feed, corpus), f"{here}/tally")
     latest = latest_per_key(feed, ["pmid"], FEED_ORDER)
     updated = apply_updates(
         corpus, latest, mode=mode, new_domain=new_domain, newer_by=FEED_ORDER
     )
     swap_corpus(touched_partitions(corpus, updated), corpus_path, f"{here}/corpus")
-    commit_sync_log(
-        tally.select(F.col("feed_file").alias("file"), F.lit("ok").alias("status"),
-                     "updated", "new", F.current_timestamp().alias("synced_at"),
-                     F.lit(batch_id).alias("batch_id")),
-        log_path, batch_id,
+    logged = status.join(tally, "feed_file", "left").select(
+        F.col("feed_file").alias("file"), "status", F.coalesce("updated", F.lit(0)).alias("updated"),
+        F.coalesce("new", F.lit(0)).alias("new"), F.current_timestamp().alias("synced_at"),
     )
+    commit_sync_log(logged, log_path, batch_id)
 
 
-def _staged_tally(spark: SparkSession, path: str) -> DataFrame | None:
+def _staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """What an earlier try of this batch staged, if it got so far."""
     try:
-        return spark.read.schema(TALLY).parquet(path)
+        spark.read.text(f"{path}/_SUCCESS", wholetext=True)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    return spark.read.schema(schema).parquet(path)
 
 
 def ingest(
-    articles: DataFrame, corpus_path: str, log_path: str, staging: str, checkpoint: str,
+    source: DataFrame, corpus_path: str, log_path: str, staging: str, checkpoint: str,
     mode: str = "update_only", new_domain: str | None = None,
-    on_batch: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
-    """Process every feed file not seen yet, then stop. The checkpoint remembers them."""
+    """Process every feed file not seen yet, then stop. The checkpoint remembers them.
+
+    ``source`` is a stream of feed pieces or of feed rows.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         apply_batch(batch, batch_id, corpus_path, log_path, staging, mode, new_domain)
-        if on_batch:
-            on_batch(batch_id)
 
     return (
-        articles.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
