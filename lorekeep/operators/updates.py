@@ -52,6 +52,13 @@ def merge_maps_last_wins(
     return latest_per_key(entries, key, order_by)
 
 
+def _known(corpus: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Corpus rows with one of the keys. A small feed is broadcast (Spark checks its
+    size), so that the corpus keys need not be shuffled at all.
+    """
+    return corpus.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def sync_tally(
     feed: DataFrame, corpus: DataFrame, file_col: str = "feed_file", key: str = "pmid"
 ) -> DataFrame:
@@ -60,7 +67,7 @@ def sync_tally(
     Rows are counted per (file, key) before the join, so a hot key does not skew it.
     """
     per_key = feed.groupBy(file_col, key).agg(F.count(F.lit(1)).alias("_rows"))
-    known = corpus.select(key).distinct().withColumn("_known", F.lit(True))
+    known = _known(corpus.select(key), per_key, key).distinct().withColumn("_known", F.lit(True))
     hit = F.col("_known").isNotNull()
     return per_key.join(known, key, "left").groupBy(file_col).agg(
         F.sum(F.when(hit, F.col("_rows")).otherwise(0)).alias("updated"),
@@ -85,50 +92,46 @@ def running_totals(
 
 
 def update_targets(
-    corpus: DataFrame, latest: DataFrame, key: str = "pmid", domain: str = "domain"
+    corpus: DataFrame, latest: DataFrame, key: str = "pmid", domain: str = "domain",
+    new_domain: str | None = None,
 ) -> DataFrame:
     """Winning feed rows with the one domain each of them goes to.
 
     A key stored in several domains is updated in the smallest domain name only.
+    Unknown keys go to ``new_domain``; without one they are left out.
     """
-    homes = (
-        corpus.select(key, domain).join(latest.select(key), key, "left_semi")
-        .groupBy(key).agg(F.min(domain).alias(domain))
-    )
-    return latest.join(homes, key)
+    homes = _known(corpus.select(key, domain), latest, key).groupBy(key).agg(
+        F.min(domain).alias(domain))
+    if new_domain is None:
+        return latest.join(homes, key)
+    placed = latest.join(homes, key, "left")
+    return placed.withColumn(domain, F.coalesce(F.col(domain), F.lit(new_domain)))
 
 
-def apply_updates(
+def merge_targets(
     corpus: DataFrame,
-    latest: DataFrame,
+    targets: DataFrame,
     key: str = "pmid",
     domain: str = "domain",
-    mode: str = "update_only",
-    new_domain: str | None = None,
+    insert: bool = False,
     newer_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Corpus after the update, with a ``touched`` flag.
+    """Corpus rows with the targets merged in by (domain, key), and a ``touched`` flag.
 
-    ``latest`` has one row per key. ``update_only`` leaves unknown keys out;
-    ``upsert`` adds them under ``new_domain``. With ``newer_by`` (columns of both
-    sides) a feed row never replaces a row written by a later feed row.
+    ``corpus`` may be cut down to the domains of the targets. ``insert`` adds
+    targets without a row. With ``newer_by`` (columns of both sides) a feed row
+    never replaces a row written by a later feed row.
     """
-    if mode not in ("update_only", "upsert"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if mode == "upsert" and not new_domain:
-        raise ValueError("upsert needs new_domain")
-
-    fields = [c for c in latest.columns if c not in (key, domain)]
-    new = update_targets(corpus, latest, key, domain).select(
-        key, domain, F.struct(*fields).alias("_new")
-    )
-    joined = corpus.join(new, [domain, key], "left")
+    fields = [c for c in targets.columns if c not in (key, domain)]
+    new = targets.select(key, domain, F.struct(*fields).alias("_new"))
+    stored = corpus.withColumn("_stored", F.lit(True))
+    joined = stored.join(new, [domain, key], "full" if insert else "left")
     touched = F.col("_new").isNotNull()
     if newer_by:
-        first = newer_by[0]
-        stored = F.struct(*[F.col(c) for c in newer_by])
+        before = F.struct(*[F.col(c) for c in newer_by])
         incoming = F.struct(*[F.col(f"_new.{c}") for c in newer_by])
-        touched = touched & (F.col(first).isNull() | (incoming >= stored))
+        first_write = F.col("_stored").isNull() | F.col(newer_by[0]).isNull()
+        touched = touched & (first_write | (incoming >= before))
     joined = joined.withColumn("touched", touched)
 
     def value(c: str):
@@ -136,12 +139,32 @@ def apply_updates(
             return F.col(c)
         return F.when(F.col("touched"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
 
-    updated = joined.select(*[value(c) for c in corpus.columns], "touched")
-    if mode == "update_only":
-        return updated
-    unknown = latest.join(corpus.select(key), key, "left_anti")
-    added = unknown.withColumns({domain: F.lit(new_domain), "touched": F.lit(True)})
-    return updated.unionByName(
-        added.select(*[F.col(c) if c in added.columns else F.lit(None).alias(c)
-                       for c in updated.columns])
-    )
+    return joined.select(*[value(c) for c in corpus.columns], "touched")
+
+
+def apply_updates(
+    corpus: DataFrame,
+    latest: DataFrame,
+    key: str = "pmid",
+    domain: str = "domain",
+    mode: str = "update_only",
+    new_domain: str | None = None,
+    newer_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """The whole corpus after the update, with a ``touched`` flag.
+
+    ``latest`` has one row per key. ``update_only`` leaves unknown keys out;
+    ``upsert`` adds them under ``new_domain``.
+    """
+    inbox = inbox_of(mode, new_domain)
+    targets = update_targets(corpus, latest, key, domain, inbox)
+    return merge_targets(corpus, targets, key, domain, inbox is not None, newer_by)
+
+
+def inbox_of(mode: str, new_domain: str | None) -> str | None:
+    """The domain for unknown keys: none when only known ones are updated."""
+    if mode not in ("update_only", "upsert"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "upsert" and not new_domain:
+        raise ValueError("upsert needs new_domain")
+    return new_domain if mode == "upsert" else None

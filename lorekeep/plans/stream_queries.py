@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.updates import apply_updates, latest_per_key
 from ..session import work_dir
 from ..sinks.corpus import stage
 from ..streaming.ingest import ingest

@@ -31,10 +31,14 @@ def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
     )
 
 
-def touched_partitions(corpus: DataFrame, updated: DataFrame, domain: str = "domain") -> DataFrame:
-    """Rows of ``updated`` in the domains where something changed."""
-    changed = updated.where("touched").select(domain).distinct()
-    return updated.join(changed, domain, "left_semi").select(*corpus.columns)
+def only_domains(corpus: DataFrame, targets: DataFrame, domain: str = "domain") -> DataFrame:
+    """The corpus cut down to the domains of the targets.
+
+    The names become literals, so the other partitions are not even listed. There
+    are at most as many as the table has partitions, or one more.
+    """
+    names = [r[0] for r in targets.select(domain).distinct().collect()]
+    return corpus.where(F.col(domain).isin(names))
 
 
 def swap_corpus(rows: DataFrame, path: str, staging: str, domain: str = "domain") -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.updates import apply_updates, latest_per_key, sync_tally
-from ..sinks.corpus import commit_sync_log, stage, swap_corpus, touched_partitions
+from ..operators.updates import inbox_of, latest_per_key, merge_targets, sync_tally, update_targets
+from ..sinks.corpus import commit_sync_log, only_domains, stage, swap_corpus
 from ..sources.articles import articles_of, feed_status, number_pieces, read_corpus
 
 FEED_ORDER = ("feed_file", "feed_pos")
@@ -46,11 +46,12 @@ def apply_batch(
         status = feed.select("feed_file", F.lit("ok").alias("status")).distinct()
     corpus = read_corpus(spark, corpus_path)
     tally = _staged(spark, f"{here}/tally", TALLY) or stage(sync_tally(feed, corpus), f"{here}/tally")
+    inbox = inbox_of(mode, new_domain)
     latest = latest_per_key(feed, ["pmid"], FEED_ORDER)
-    updated = apply_updates(
-        corpus, latest, mode=mode, new_domain=new_domain, newer_by=FEED_ORDER
-    )
-    swap_corpus(touched_partitions(corpus, updated), corpus_path, f"{here}/corpus")
+    targets = stage(update_targets(corpus, latest, new_domain=inbox), f"{here}/targets")
+    merged = merge_targets(
+        only_domains(corpus, targets), targets, insert=inbox is not None, newer_by=FEED_ORDER)
+    swap_corpus(merged.drop("touched"), corpus_path, f"{here}/corpus")
     logged = status.join(tally, "feed_file", "left").select(
         F.col("feed_file").alias("file"), "status", F.coalesce("updated", F.lit(0)).alias("updated"),
         F.coalesce("new", F.lit(0)).alias("new"), F.current_timestamp().alias("synced_at"),

@@ -70,6 +70,23 @@ def test_replayed_batch_gives_the_same(spark, tmp_path, rows):
         assert rows(articles.read_sync_log(spark, home["log"]).select("file", "updated", "new")) == [("u1", 1, 1)]
 
 
+def test_broken_off_file_is_logged(spark, tmp_path, rows):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    home = {k: str(tmp_path / k) for k in ("corpus", "log", "staging", "checkpoint")}
+    start_corpus(spark, home["corpus"])
+    drop(inbox, "u1.xml.gz", record("1", abstracts=("v",)))
+    drop(inbox, "u2.xml.gz", *[record(str(i), abstracts=(f"lost {i} " * 30,)) for i in range(300)])
+    whole = (inbox / "u2.xml.gz").read_bytes()
+    (inbox / "u2.xml.gz").write_bytes(whole[: len(whole) * 2 // 3])
+    drop(inbox, "u3.xml.gz", record("7", abstracts=()))
+    ingest(articles.stream_feed_pieces(spark, str(inbox)), home["corpus"], home["log"], home["staging"],
+           home["checkpoint"]).awaitTermination()
+    assert rows(articles.read_sync_log(spark, home["log"]).select("file", "status", "updated", "new")) == [
+        ("u1.xml.gz", "ok", 1, 0), ("u2.xml.gz", "corrupt", 0, 0), ("u3.xml.gz", "ok", 0, 0)]
+    assert stored(spark, home["corpus"], rows)[0] == ("a", "1", "v") and len(stored(spark, home["corpus"], rows)) == 4
+
+
 def test_stream_equals_batch(spark, tmp_path, rows):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
