@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import chunk_name, chunk_number
 from .ordering import ROWS_PER_RANGE, dense_index
-from .updates import latest_per_key
+from .updates import changed_since, latest_per_key
 
 CHUNK_SIZE = 500_000
 FIRST_CHUNK = 57
@@ -48,6 +48,23 @@ def next_chunk(
     return out.withColumn("next_name", chunk_name(F.col("next_no"), prefix))
 
 
+def chunk_changes(
+    corpus: DataFrame, cutoff, prefix: str, size: int = CHUNK_SIZE, changed_at: str = "last_updated",
+    order_by: Sequence[str] = ("pmid", "domain"), rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """New chunks from the articles changed after ``cutoff``.
+
+    Numbering goes on after the chunks that lie next to the domains; these are not
+    chunked again. Articles without an id are left out.
+    """
+    domains = corpus.select(F.col("domain").alias("name")).distinct()
+    in_chunks = F.startswith(F.col("name"), F.lit(prefix))
+    start = next_chunk(domains.where(in_chunks), prefix).first()["next_no"]
+    changed = changed_since(corpus, changed_at, cutoff).where(
+        ~F.startswith(F.col("domain"), F.lit(prefix)) & F.col("pmid").isNotNull())
+    return assign_chunks(changed, order_by, prefix, size, start, rows_per_range)
+
+
 def check_chunks(source: DataFrame, chunked: DataFrame, key: str, size: int) -> DataFrame:
     """One row: counts on both sides, what was left behind, what came twice, verdict."""
     src = source.groupBy(key).agg(F.count(F.lit(1)).alias("_src"))

@@ -13,7 +13,8 @@ WARN = 80.0
 
 
 def merge_parts(parts: DataFrame, repo: str = "repo") -> DataFrame:
-    """Sum of the parts of each repository; percent from the sums, two decimals.
+    """Sum of the parts of each repository; percent from the sums, two decimals (a tie
+    goes to the even digit).
 
     ``parts``: repo, num_statements, covered_lines, missing_lines.
     """
@@ -21,7 +22,7 @@ def merge_parts(parts: DataFrame, repo: str = "repo") -> DataFrame:
         *[F.sum(c).alias(c) for c in ("num_statements", "covered_lines", "missing_lines")]
     )
     return summed.withColumn(
-        "percent_covered", F.round(percent(F.col("covered_lines"), F.col("num_statements")), 2)
+        "percent_covered", F.bround(percent(F.col("covered_lines"), F.col("num_statements")), 2)
     )
 
 
@@ -43,20 +44,22 @@ def coverage_report(
 ) -> DataFrame:
     """Each report with its test count (0 if unknown) and band.
 
-    ``reports``: repo, num_statements, covered_lines, percent_covered; a null
-    percent stands for an unreadable report, which counts as zeros.
+    ``reports``: repo, num_statements, covered_lines, percent_covered. A report
+    that lacks one of them is unreadable: it counts as zeros, band ``unknown``.
     """
-    pct = F.col("percent_covered")
-    readable = pct.isNotNull()
+    needed = ("num_statements", "covered_lines", "percent_covered")
+    joined = reports.join(counts.select(repo, "tests"), repo, "left")
+    readable = F.lit(True)
+    for c in needed:
+        readable = readable & F.col(c).isNotNull()
 
-    def or_zero(c: str):
-        return F.when(readable, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).alias(c)
+    def or_zero(c: str, zero=0):
+        return F.when(readable, F.coalesce(F.col(c), F.lit(zero))).otherwise(F.lit(zero)).alias(c)
 
-    joined = reports.join(counts.select(repo, "tests"), repo, "left")
+    pct = F.when(readable, F.col("percent_covered"))
     return joined.select(
         repo, or_zero("num_statements"), or_zero("covered_lines"), or_zero("tests"),
-        F.coalesce(pct, F.lit(0.0)).alias("percent_covered"),
-        coverage_band(pct, threshold, warn).alias("band"),
+        or_zero("percent_covered", 0.0), coverage_band(pct, threshold, warn).alias("band"),
     )
 
 

@@ -29,10 +29,6 @@ def changed_since(df: DataFrame, column: str, cutoff) -> DataFrame:
     return df.where(F.col(column) > F.lit(cutoff))
 
 
-def has_abstract(articles: DataFrame) -> DataFrame:
-    return articles.where(F.col("abstract") != "")
-
-
 def latest_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The last row per key by ``order_by``; rows without a key are dropped.
 

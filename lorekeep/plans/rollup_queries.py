@@ -26,7 +26,7 @@ def _part_totals(t, repo):
 @query("q21_cov_merge", with_views("v_part") + """
     SELECT repo, CAST(sum(stmts) AS BIGINT) AS num_statements, CAST(sum(covered) AS BIGINT) AS covered_lines,
            CAST(sum(stmts - covered) AS BIGINT) AS missing_lines,
-           CASE WHEN sum(stmts) > 0 THEN round(CAST(sum(covered) AS DOUBLE) / CAST(sum(stmts) AS DOUBLE) * 100.0, 2)
+           CASE WHEN sum(stmts) > 0 THEN round_even(CAST(sum(covered) AS DOUBLE) / CAST(sum(stmts) AS DOUBLE) * 100.0, 2)
                 ELSE 0.0 END AS percent_covered
     FROM v_part GROUP BY repo""")
 def cov_merge(t):

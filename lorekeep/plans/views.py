@@ -164,7 +164,7 @@ SQL = {
         v_report AS (SELECT c.repo, num_statements, covered_lines,
                             coalesce(t.tests, 0) AS tests,
                             CASE WHEN num_statements > 0 THEN
-                              round(CAST(covered_lines AS DOUBLE) / CAST(num_statements AS DOUBLE) * 100.0, 2)
+                              round_even(CAST(covered_lines AS DOUBLE) / CAST(num_statements AS DOUBLE) * 100.0, 2)
                               ELSE 0.0 END AS percent_covered
                      FROM v_cov c LEFT JOIN v_tests t ON c.repo = t.repo)""",
     "v_run": """

@@ -44,7 +44,7 @@ def brief_snapshots(snapshots: DataFrame) -> DataFrame:
             ended = rows[rows["state"].isin(TERMINAL)].groupby("run_id", sort=False).first()
             runs["end_us"] = ended["us"].astype("Int64")
             runs["end_state"] = ended["state"]
-            runs["observed_at"] = pd.to_datetime(runs["last_us"], unit="us")
+            runs["observed_at"] = pd.to_datetime(runs["last_us"], unit="us", utc=True)
             out = runs.reset_index()[BRIEF.names]
             yield out.astype({"end_us": "Int64"})
 
@@ -71,8 +71,8 @@ def track_runs(
     def outcome(key: tuple, kind: str, first: int, end: int) -> pd.DataFrame:
         return pd.DataFrame({
             "run_id": [key[0]], "outcome": [kind],
-            "started_at": pd.to_datetime([first], unit="us"),
-            "ended_at": pd.to_datetime([end], unit="us"),
+            "started_at": pd.to_datetime([first], unit="us", utc=True),
+            "ended_at": pd.to_datetime([end], unit="us", utc=True),
         })
 
     def close(state: GroupState, first: int) -> None:

@@ -202,3 +202,17 @@ def test_run_outcomes(spark, rows):
     got = runs.run_outcomes(df, 120).select("run_id", "outcome")
     assert rows(got) == [("bad", "FAILED"), ("late", "TIMED_OUT"), ("never", "TIMED_OUT"), ("ok", "COMPLETED")]
     assert rows(runs.latest_state(df).select("run_id", "state"))[0] == ("bad", "FAILED")
+
+
+def test_unreadable_when_a_total_is_missing(spark, rows):
+    df = spark.createDataFrame([("a", None, 5, 50.0), ("b", 10, 5, None)],
+                               "repo string, num_statements long, covered_lines long, percent_covered double")
+    counts = spark.createDataFrame([("a", 3)], "repo string, tests long")
+    assert rows(coverage.coverage_report(df, counts)) == [("a", 0, 0, 0, 0.0, "unknown"), ("b", 0, 0, 0, 0.0, "unknown")]
+
+
+def test_report_rows(spark, tmp_path):
+    from lorekeep.sinks.reports import write_rows
+
+    write_rows(spark.createDataFrame([("r", 1)], "repo string, number int"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"repo":"r","number":1}']

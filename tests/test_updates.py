@@ -133,3 +133,20 @@ def test_studies(spark, rows):
     assert rows(studies.select_studies(docs, terms, "doc")) == [("p", 3, 1), ("s", 1, 1), ("s", 3, 2)]
     assert rows(studies.select_studies(docs, terms, "doc", retmax=1)) == [("p", 3, 1), ("s", 1, 1)]
     assert len(studies.STUDIES) == 5
+
+
+def test_chunks_from_changes(spark, rows):
+    df = spark.createDataFrame(
+        [("d", "1", "2026-06-02"), ("d", "2", "2026-05-01"), ("e", "1", "2026-06-03"), ("c060", "9", "2026-06-09"), ("d", None, "2026-06-09"),
+         ("cx", "8", "2026-06-09")],
+        "domain string, pmid string, t string").withColumn("last_updated", F.col("t").cast("timestamp"))
+    out = chunks.chunk_changes(df, "2026-06-01 00:00:00", "c", size=1)
+    assert rows(out.select("domain", "pmid", "chunk")) == [("d", "1", "c061"), ("e", "1", "c062")]
+
+
+def test_work_dir_is_in_the_shared_folder(spark):
+    from lorekeep.session import work_dir
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = work_dir(spark, "x"), work_dir(spark, "x")
+    assert first.startswith(shared) and first != second
