@@ -77,6 +77,10 @@ def running_sum(
     With ``group_by`` the sums restart in every group; a group of any size is
     spread over as many ranges as it fills. ``order_by`` should make the order
     total within the group.
+
+    The input is read four times (count, sample, offsets, rows), the first three
+    on the order columns only. Settle it first (``session.settle``) when it is
+    the result of joins.
     """
     group_by, order_by = list(group_by), list(order_by)
     full_order = group_by + [c for c in order_by if c not in group_by]

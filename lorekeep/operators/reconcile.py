@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import image_name, visibility_or_unknown
+from ..session import settle
 from .ordering import ROWS_PER_RANGE, grouped_parts
 
 
@@ -39,6 +40,7 @@ def missing_tag_report(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Report lines: the sorted missing tags of a package, at most ``per_line`` a line."""
+    missing = settle(missing.select(pkg, tag), "missing-tags")
     parts = grouped_parts(missing, [pkg], [tag], tag, per_line, rows_per_range)
     return parts.select(
         pkg, "part", F.size("items").cast("bigint").alias("n_tags"),

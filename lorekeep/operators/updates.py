@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ordering import running_sum
 
 
@@ -77,7 +78,7 @@ def running_totals(
 ) -> DataFrame:
     """Totals after each file, in file order, on top of the seeds of earlier runs."""
     summed = running_sum(
-        tally, [file_col],
+        settle(tally, "tally"), [file_col],
         {"total_updated": F.col("updated"), "total_new": F.col("new")},
         rows_per_range=rows_per_range,
     )

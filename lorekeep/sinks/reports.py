@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ordering import ROWS_PER_RANGE, grouped_parts
+from ..session import settle
 
 DOCUMENT_ENTRIES = 100_000
 
@@ -66,6 +67,7 @@ def coverage_documents(
     more files than ``per_document`` goes on in further parts, whose totals are
     zero, so that merging the parts again gives the same report.
     """
+    files = settle(files.select("repo", "file", "entry"), "coverage-files")
     named = files.select("repo", "file", F.struct("file", "entry").alias("_pair"))
     parts = grouped_parts(named, ["repo"], ["file"], "_pair", per_document, rows_per_range)
     joined = totals.join(parts.withColumnRenamed("items", "_pairs"), "repo", "left")
