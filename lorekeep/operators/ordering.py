@@ -3,8 +3,8 @@
 A plain ``row_number()`` over the whole table, or over a group that holds a third
 of it, puts those rows into one task. The operators here cut the order into
 ranges first. The cut points are a small sorted sample of the order key; they
-only steer the balance, the result is exact for any cut. They enter the plan as
-literals, so a recomputed task after an executor loss uses the same cuts.
+only steer the balance, the result is exact for any cut. They are written down
+once, so a task that runs again after an executor loss uses the same cuts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 ROWS_PER_RANGE = 100_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 20
@@ -27,28 +29,37 @@ def _order_key(order_by: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
 
 
-def cut_points(df: DataFrame, order_by: Sequence[str], rows_per_range: int) -> list[Column]:
-    """Literals that cut the order into ranges of about ``rows_per_range`` rows.
+def cut_points(df: DataFrame, order_by: Sequence[str], rows_per_range: int) -> tuple[DataFrame, int] | None:
+    """One row that cuts the order into ranges of about ``rows_per_range`` rows.
 
-    Runs two narrow jobs (a count and a sample). At most about
-    ``MAX_RANGES * SAMPLES_PER_RANGE`` keys reach the driver, whatever the input.
+    Column ``blocks`` holds the cuts in order, in blocks of a width that is given
+    as well (about the square root of their number); ``heads`` the first cut of
+    each block. None if one range is enough. Runs two narrow jobs (a count, and a sample of at most about
+    ``MAX_RANGES * SAMPLES_PER_RANGE`` keys, whatever the input). The row is
+    written down, so every later job, and every repeated task, sees the same cuts.
     """
     keys = df.select(_order_key(order_by).alias("k"))
     rows = keys.count()
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
     if ranges <= 1:
-        return []
+        return None
     share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    drawn = [r.k for r in keys.sample(share, seed=11).orderBy("k").collect()]
-    fields = keys.schema["k"].dataType.fields
-    step = max(1, len(drawn) // ranges)
-    return [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
-        for row in drawn[step::step][: MAX_RANGES - 1]
-    ]
+    drawn = keys.sample(share, seed=11).agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    n = F.size("ks")
+    places = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(ranges - 1)), F.lit(1))),
+        lambda i: F.ceil(i * n / F.lit(ranges)).cast("int"),
+    )
+    cuts = drawn.where(n > 0).select(
+        F.transform(places, lambda i: F.element_at("ks", F.greatest(i, F.lit(1)))).alias("cuts"))
+    width = max(1, math.isqrt(ranges))
+    starts = F.sequence(F.lit(1), F.size("cuts"), F.lit(width))
+    blocks = cuts.select(F.transform(starts, lambda i: F.slice("cuts", i, F.lit(width))).alias("blocks"))
+    row = blocks.select("blocks", F.transform("blocks", lambda b: b[0]).alias("heads"))
+    return settle(row.coalesce(1), "cuts"), width
 
 
-def _range_no(key: Column, cuts: list[Column]) -> Column:
+def _range_no(key: Column, cuts: DataFrame, width: int) -> Column:
     """How many cuts are < key: a coarse look-up, then a fine one in that block.
 
     Each look-up puts the key into a short sorted array and asks for its place.
@@ -58,10 +69,8 @@ def _range_no(key: Column, cuts: list[Column]) -> Column:
     def below(points: Column) -> Column:
         return F.array_position(F.sort_array(F.array_append(points, key)), key) - 1
 
-    width = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
-    block = F.greatest(below(F.array(*[b[0] for b in blocks])), F.lit(1)).cast("int")
-    fine = F.element_at(F.array(*[F.array(*b) for b in blocks]), block)
+    block = F.greatest(below(cuts.select("heads").scalar()), F.lit(1)).cast("int")
+    fine = F.element_at(cuts.select("blocks").scalar(), block)
     return F.coalesce(((block - 1) * width + below(fine)).cast("int"), F.lit(0))
 
 
@@ -87,7 +96,8 @@ def running_sum(
     cuts = cut_points(df, full_order, rows_per_range)
     terms = {name: f"_term_{i}" for i, name in enumerate(sums)}
     work = df.select("*", *[c.cast("bigint").alias(terms[n]) for n, c in sums.items()])
-    work = work.withColumn("_range", _range_no(_order_key(full_order), cuts) if cuts else F.lit(0))
+    place = F.lit(0) if cuts is None else _range_no(_order_key(full_order), *cuts)
+    work = work.withColumn("_range", place)
 
     inside = Window.partitionBy("_range", *group_by).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -95,7 +105,7 @@ def running_sum(
     local = work.select(
         *df.columns, "_range", *[F.sum(t).over(inside).alias(n) for n, t in terms.items()]
     )
-    if not cuts:
+    if cuts is None:
         return local.drop("_range")
 
     # One row per (range, group): at most groups + ranges rows, and at most

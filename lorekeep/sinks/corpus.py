@@ -11,23 +11,34 @@ from ..operators.chunks import chunk_rows
 
 def stage(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here, and survives lost executors."""
+    if partition_by:
+        df = _balanced(df, partition_by)
     writer = df.write.mode("overwrite")
     if partition_by:
-        # Without the dynamic mode a replayed batch replaces its own earlier try whole.
+        # Not the dynamic mode: a replayed batch replaces its own earlier try whole.
         writer = writer.option("partitionOverwriteMode", "static").partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
+def _balanced(df: DataFrame, partition_by: str) -> DataFrame:
+    """Rows of a partition together, but with a hint that lets Spark split one that
+    holds most of the rows over several tasks and files, and join small ones.
+    """
+    return df.hint("rebalance", partition_by)
+
+
+def replace_partitions(
+    df: DataFrame, path: str, partition_by: str, balanced: bool = False
+) -> None:
     """Replace the partitions that occur in ``df``; the others stay.
 
-    The rebalance hint lets Spark split a partition that holds most of the rows
-    over several tasks and files, and join small ones.
+    ``balanced`` rows (such as staged ones) are written as they lie, without a shuffle.
     """
+    rows = df if balanced else _balanced(df, partition_by)
     (
-        df.hint("rebalance", partition_by).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition_by).parquet(path)
     )
 
 
@@ -55,7 +66,7 @@ def finish_swap(spark: SparkSession, staging: str, path: str, domain: str = "dom
     staged = spark.read.schema(schemas.CORPUS).parquet(staging)
     if staged.isEmpty():
         return
-    replace_partitions(staged, path, domain)
+    replace_partitions(staged, path, domain, balanced=True)
 
 
 def write_chunks(chunked: DataFrame, path: str, key: str = "pmid") -> None:

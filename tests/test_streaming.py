@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import schemas
 from lorekeep.operators import runs, updates
-from lorekeep.sinks.corpus import stage
+from lorekeep.sinks.corpus import finish_swap, stage
 from lorekeep.sources import articles, reports
 from lorekeep.streaming.ingest import apply_batch, ingest
 from lorekeep.streaming.run_tracker import track_runs
@@ -87,6 +87,17 @@ def test_broken_off_file_is_logged(spark, tmp_path, rows):
     assert stored(spark, home["corpus"], rows)[0] == ("a", "1", "v") and len(stored(spark, home["corpus"], rows)) == 4
 
 
+def test_swap_can_be_finished_later(spark, tmp_path, rows):
+    home, staged = str(tmp_path / "corpus"), str(tmp_path / "staged")
+    start_corpus(spark, home)
+    new = spark.createDataFrame([("1", None, "new", "", [], None, "u1", 1, "a")], schemas.CORPUS)
+    stage(new, staged, "domain")  # and here the job ends
+    assert stored(spark, home, rows)[0] == ("a", "1", "old")
+    for _ in range(2):
+        finish_swap(spark, staged, home)
+        assert stored(spark, home, rows) == [("a", "1", "new"), ("b", "1", "old"), ("b", "2", "old"), ("c", "3", "old")]
+
+
 def test_stream_equals_batch(spark, tmp_path, rows):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
