@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import human_size
+from .ordering import keys_of
 
 # Default assemblies of each species, in order.
 SPECIES_ASSEMBLIES = {
@@ -67,7 +68,7 @@ def resolve_selection(
     if assemblies is None:
         at = F.struct(F.col("_sp").alias("species_pos"), F.col("pos").alias("default_pos"))
         return chosen.groupBy("assembly").agg(F.min(at).alias("pos")).select("pos", "assembly")
-    return assemblies.join(chosen.select("assembly"), "assembly", "left_semi").select("pos", "assembly")
+    return assemblies.join(keys_of(chosen, "assembly"), "assembly", "left_semi").select("pos", "assembly")
 
 
 def match_manifest(targets: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def match_manifest(targets: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def unknown_assemblies(targets: DataFrame, manifest: DataFrame) -> DataFrame:
-    return targets.join(manifest.select("assembly"), "assembly", "left_anti")
+    return targets.join(keys_of(manifest, "assembly"), "assembly", "left_anti")
 
 
 def status_report(checks: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def status_totals(report: DataFrame) -> DataFrame:
 
 def fetch_plan(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     """Manifest rows still to fetch. A file of zero bytes is fetched again."""
-    have = inventory.where(F.col("size") > 0).select("path")
+    have = keys_of(inventory.where(F.col("size") > 0), "path")
     return manifest.join(have, "path", "left_anti")
 
 
@@ -108,7 +109,7 @@ def register_present(entries: DataFrame, inventory: DataFrame, only_present: boo
     """Entries to register; by default only those whose path is in the inventory."""
     if not only_present:
         return entries
-    return entries.join(inventory.select("path"), "path", "left_semi")
+    return entries.join(keys_of(inventory, "path"), "path", "left_semi")
 
 
 def chromosome_files(

@@ -25,6 +25,15 @@ SAMPLES_PER_RANGE = 20
 GROUP_LIMIT_PUSHDOWN = 1000
 
 
+def keys_of(df: DataFrame, *columns: str) -> DataFrame:
+    """Each key once: the side of a semi or anti join that is only asked for presence.
+
+    A key that fills a third of that side is then one row per map task, not one
+    sort-merge partition that nothing can split.
+    """
+    return df.select(*columns).distinct()
+
+
 def _order_key(order_by: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
 

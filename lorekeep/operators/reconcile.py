@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import image_name, visibility_or_unknown
 from ..session import settle
-from .ordering import ROWS_PER_RANGE, grouped_parts
+from .ordering import ROWS_PER_RANGE, grouped_parts, keys_of
 
 
 def missing_names(old: DataFrame, new: DataFrame, name: str = "name") -> DataFrame:
     """Names on the old side that the new side lacks, each once."""
-    return old.select(name).distinct().join(new.select(name), name, "left_anti")
+    return keys_of(old, name).join(keys_of(new, name), name, "left_anti")
 
 
 def common_names(old: DataFrame, new: DataFrame, name: str = "name") -> DataFrame:
-    return old.select(name).distinct().join(new.select(name), name, "left_semi")
+    return keys_of(old, name).join(keys_of(new, name), name, "left_semi")
 
 
 def missing_tags(
@@ -30,9 +30,8 @@ def missing_tags(
     Both sides are made distinct first (with a map-side pass), so the anti join
     runs on unique keys and no package can skew it.
     """
-    old = old_tags.select(pkg, tag).distinct()
-    new = new_tags.select(pkg, tag).distinct()
-    return old.join(new, [pkg, tag], "left_anti").join(common.select(pkg), pkg, "left_semi")
+    old, new = keys_of(old_tags, pkg, tag), keys_of(new_tags, pkg, tag)
+    return old.join(new, [pkg, tag], "left_anti").join(keys_of(common, pkg), pkg, "left_semi")
 
 
 def missing_tag_report(
@@ -84,7 +83,7 @@ def non_public_packages(packages: DataFrame) -> DataFrame:
 
 def exclude_names(packages: DataFrame, never: DataFrame | Sequence[str], name: str = "name") -> DataFrame:
     if isinstance(never, DataFrame):
-        return packages.join(never.select(name), name, "left_anti")
+        return packages.join(keys_of(never, name), name, "left_anti")
     return packages.where(~F.col(name).isin(list(never)))
 
 
@@ -108,9 +107,9 @@ def worklist(
     candidates: DataFrame, done: DataFrame, key: str = "key", elsewhere: DataFrame | None = None
 ) -> DataFrame:
     """Candidates not done yet and, if given, not found at the destination either."""
-    todo = candidates.join(done.select(key), key, "left_anti")
+    todo = candidates.join(keys_of(done, key), key, "left_anti")
     if elsewhere is not None:
-        todo = todo.join(elsewhere.select(key), key, "left_anti")
+        todo = todo.join(keys_of(elsewhere, key), key, "left_anti")
     return todo
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .ordering import running_sum
+from .ordering import keys_of, running_sum
 
 
 def pending_files(
@@ -22,7 +22,7 @@ def pending_files(
     files = listing.select(file_col)
     if last_file is not None:
         files = files.where(F.col(file_col) > last_file)
-    return files.distinct().join(processed.select(file_col), file_col, "left_anti")
+    return files.distinct().join(keys_of(processed, file_col), file_col, "left_anti")
 
 
 def changed_since(df: DataFrame, column: str, cutoff) -> DataFrame:
@@ -53,7 +53,7 @@ def _known(corpus: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Corpus rows with one of the keys. A small feed is broadcast (Spark checks its
     size), so that the corpus keys need not be shuffled at all.
     """
-    return corpus.join(keys.select(key).distinct(), key, "left_semi")
+    return corpus.join(keys_of(keys, key), key, "left_semi")
 
 
 def sync_tally(
@@ -64,7 +64,7 @@ def sync_tally(
     Rows are counted per (file, key) before the join, so a hot key does not skew it.
     """
     per_key = feed.groupBy(file_col, key).agg(F.count(F.lit(1)).alias("_rows"))
-    known = _known(corpus.select(key), per_key, key).distinct().withColumn("_known", F.lit(True))
+    known = keys_of(_known(corpus.select(key), per_key, key), key).withColumn("_known", F.lit(True))
     hit = F.col("_known").isNotNull()
     return per_key.join(known, key, "left").groupBy(file_col).agg(
         F.sum(F.when(hit, F.col("_rows")).otherwise(0)).alias("updated"),
