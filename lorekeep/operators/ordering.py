@@ -101,43 +101,80 @@ def running_sum(
     the result of joins.
     """
     group_by, order_by = list(group_by), list(order_by)
-    full_order = group_by + [c for c in order_by if c not in group_by]
-    cuts = cut_points(df, full_order, rows_per_range)
     terms = {name: f"_term_{i}" for i, name in enumerate(sums)}
     work = df.select("*", *[c.cast("bigint").alias(terms[n]) for n, c in sums.items()])
-    place = F.lit(0) if cuts is None else _range_no(_order_key(full_order), *cuts)
-    work = work.withColumn("_range", place)
-
-    inside = Window.partitionBy("_range", *group_by).orderBy(*order_by).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    work, one_range = _with_ranges(work, df, order_by, group_by, rows_per_range)
     local = work.select(
-        *df.columns, "_range", *[F.sum(t).over(inside).alias(n) for n, t in terms.items()]
+        *df.columns, "_range",
+        *[F.sum(t).over(_inside(order_by, group_by)).alias(n) for n, t in terms.items()],
     )
-    if cuts is None:
+    if one_range:
         return local.drop("_range")
-
-    # One row per (range, group): at most groups + ranges rows, and at most
-    # MAX_RANGES of them per group, so the window below is small by construction.
-    before = Window.partitionBy(*group_by).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = work.groupBy("_range", *group_by).agg(
-        *[F.sum(t).alias(t) for t in terms.values()]
-    )
+    totals = work.groupBy("_range", *group_by).agg(*[F.sum(t).alias(t) for t in terms.values()])
     offsets = totals.select(
         "_range", *group_by,
-        *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"{t}_before") for t in terms.values()],
+        *[F.coalesce(F.sum(t).over(_before(group_by)), F.lit(0)).alias(f"{t}_before")
+          for t in terms.values()],
     )
-    if group_by:
-        joined = _join_null_safe(local, offsets, ["_range", *group_by])
-    else:
-        joined = local.join(F.broadcast(offsets), "_range")  # <= MAX_RANGES rows
-    return joined.select(
+    return _join_offsets(local, offsets, group_by).select(
         *df.columns, *[(F.col(n) + F.col(f"{t}_before")).alias(n) for n, t in terms.items()]
     )
 
 
+def carry_down(
+    df: DataFrame,
+    order_by: Sequence[str],
+    name: str,
+    value: Column,
+    group_by: Sequence[str] = (),
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Add the last non-null ``value`` up to each row, as a heading holds for the
+    lines below it. Spread over ranges like :func:`running_sum`.
+    """
+    group_by, order_by = list(group_by), list(order_by)
+    work, one_range = _with_ranges(
+        df.withColumn("_value", value), df, order_by, group_by, rows_per_range)
+    last = F.last("_value", ignorenulls=True).over(_inside(order_by, group_by))
+    local = work.select(*df.columns, "_range", last.alias(name))
+    if one_range:
+        return local.drop("_range")
+    at = F.when(F.col("_value").isNotNull(), F.struct(*order_by))
+    totals = work.groupBy("_range", *group_by).agg(F.max_by("_value", at).alias("_last"))
+    carried = totals.select(
+        "_range", *group_by, F.last("_last", ignorenulls=True).over(_before(group_by)).alias("_carried")
+    )
+    return _join_offsets(local, carried, group_by).select(
+        *df.columns, F.coalesce(F.col(name), F.col("_carried")).alias(name)
+    )
+
+
+def _with_ranges(work, df, order_by, group_by, rows_per_range) -> tuple[DataFrame, bool]:
+    """``work`` with its range number, and whether one range is enough."""
+    full_order = group_by + [c for c in order_by if c not in group_by]
+    cuts = cut_points(df, full_order, rows_per_range)
+    place = F.lit(0) if cuts is None else _range_no(_order_key(full_order), *cuts)
+    return work.withColumn("_range", place), cuts is None
+
+
+def _inside(order_by, group_by):
+    return Window.partitionBy("_range", *group_by).orderBy(*order_by).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+
+
+def _before(group_by):
+    """Over one row per (range, group): at most groups + ranges rows, and at most
+    MAX_RANGES of them per group, so this window is small by construction.
+    """
+    return Window.partitionBy(*group_by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _join_offsets(local: DataFrame, offsets: DataFrame, group_by) -> DataFrame:
+    if group_by:
+        return _join_null_safe(local, offsets, ["_range", *group_by])
+    return local.join(F.broadcast(offsets), "_range")  # at most MAX_RANGES rows
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     on = None

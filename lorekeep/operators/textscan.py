@@ -56,10 +56,10 @@ BLANKS = " \t\r\f\x0b"
 
 def lines_of(text: Column) -> Column:
     """Lines of a whole text; the empty piece after a final newline is no line."""
-    parts = F.split(text, "\n")
-    return F.when(F.endswith(text, F.lit("\n")), F.slice(parts, F.lit(1), F.size(parts) - 1)).when(
-        text == "", F.array().cast("array<string>")
-    ).otherwise(parts)
+    body = F.when(
+        F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)
+    ).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
 def outside_dirs(path: Column, excluded: Sequence[str]) -> Column:

@@ -345,7 +345,7 @@ def build_log(t):
     lines = t.part.select(F.concat(F.lit("b"), "p_brand").alias("file"), "p_partkey",
                           F.posexplode(rows).alias("k", "text"))
     lines = lines.select("file", (F.col("p_partkey") * 3 + F.col("k")).alias("line_no"), "text")
-    return parse_build_log(lines)
+    return parse_build_log(lines, rows_per_range=500)
 
 
 @query("q36_first_match", """

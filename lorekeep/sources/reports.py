@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalars import json_row_count, json_state
+from ..operators.ordering import ROWS_PER_RANGE, carry_down, dense_index
 from ..operators.textscan import SCAN_EXCLUDED_DIRS, is_binary, lacks_extension, outside_dirs
+from ..session import settle
 from .catalogs import path_text
 
 SIDECAR = "test_counts.json"
@@ -88,25 +90,31 @@ def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> D
     return parse_snapshots(docs)
 
 
-def read_build_log(spark: SparkSession, path: str) -> DataFrame:
+def read_build_log(
+    spark: SparkSession, path: str, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """Build logs as numbered lines: file, line_no, text.
 
-    A log is read as one task (a build log is small); many logs run side by side.
+    A log may be read in several splits: a split knows where it starts, and the row
+    id rises within it, so both together give the order of lines. They are settled
+    before the lines are counted through.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("p", "text")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"),
     )
-    return lines.select("file", (F.col("p") + 1).cast("bigint").alias("line_no"), "text")
+    numbered = dense_index(
+        settle(lines, "build-log"), ["_start", "_id"], "line_no", ["file"], rows_per_range)
+    return numbered.select("file", (F.col("line_no") + 1).alias("line_no"), "text")
 
 
-def _with_header(lines: DataFrame) -> DataFrame:
+def _with_header(lines: DataFrame, rows_per_range: int) -> DataFrame:
     """Carry the ``-- name --`` header of a section down to its lines, file by file."""
     header = F.nullif(F.regexp_extract("text", r"^── (.+) ──\s*$", 1), F.lit(""))
-    above = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("image", F.last(header, ignorenulls=True).over(above))
+    return carry_down(lines, ["line_no"], "image", header, ["file"], rows_per_range)
 
 
-def parse_build_log(lines: DataFrame) -> DataFrame:
+def parse_build_log(lines: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Rows of the three kinds in a build log.
 
     ``kind`` is ``size`` (tag, size, created), ``layer`` (size, command) or
@@ -120,7 +128,7 @@ def parse_build_log(lines: DataFrame) -> DataFrame:
         F.when(text.rlike(built_row), "built").when(text.rlike(size_row), "size")
         .when(text.rlike(layer_row), "layer")
     )
-    out = _with_header(lines).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    out = _with_header(lines, rows_per_range).withColumn("kind", kind).where(F.col("kind").isNotNull())
     is_size, is_layer = F.col("kind") == "size", F.col("kind") == "layer"
     return out.select(
         "file", "line_no", "kind",

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators.ordering import cut_points, dense_index, first_n, grouped_parts, running_sum
+from lorekeep.operators.ordering import carry_down, cut_points, dense_index, first_n, grouped_parts, running_sum
 
 
 @pytest.mark.parametrize("per_range", [10_000, 300, 7])
@@ -47,6 +47,17 @@ def test_running_sum_matches_brute_force(spark, data, per_range):
     assert got == want
 
 
+def test_heading_is_carried_over_ranges(spark):
+    df = spark.range(900).select(
+        F.when(F.col("id") < 700, "hot").otherwise("cold").alias("g"), "id",
+        F.when(F.col("id") % 250 == 3, F.concat(F.lit("h"), "id")).alias("h"))
+    out = carry_down(df, ["id"], "seen", F.col("h"), ["g"], rows_per_range=40)
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("seen", F.last("h", ignorenulls=True).over(w))
+    assert out.count() == 900
+    assert out.exceptAll(want).count() == 0 and out.where("seen is null").count() == 3 + 53
+
+
 def test_grouped_parts_keep_order_and_lose_nothing(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise("cold").alias("g"), "id")
     got = {}

@@ -149,6 +149,20 @@ def test_build_log(spark, tmp_path, rows):
     assert rows(out.where("kind = 'built'").select("image")) == [("reg/tes:new",)]
 
 
+def test_build_log_in_splits(spark, tmp_path):
+    text = [f"line {i}" if i % 90 else f"── s{i} ──" for i in range(1500)]
+    (tmp_path / "a.log").write_text("\n".join(text) + "\n")
+    (tmp_path / "b.log").write_text("x\ny\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        lines = reports.read_build_log(spark, str(tmp_path), rows_per_range=100).where("file = 'a.log'")
+        assert [r.text for r in lines.orderBy("line_no").collect()] == text
+        assert tuple(lines.agg(F.min("line_no"), F.max("line_no")).first()) == (1, 1500)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_first_match(spark, rows):
     df = spark.createDataFrame(
         [("p", 1, 1, "FROM x"), ("p", 1, 2, "# --platform=linux/amd64 --platform z"), ("p", 1, 3, "--platform linux/b"),
