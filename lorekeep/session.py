@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +27,32 @@ def get_session(app: str = "lorekeep", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def work_dir(spadef work_root(spark: SparkSession) -> str:
+    """This application's own folder in the shared store.
+
+    It lies in ``spark.checkpoint.dir``, else below ``spark.sql.warehouse.dir``;
+    the driver and all executors reach both.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lorekeep-{spark.sparkContext.applicationId}"
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for ``name`` below the cluster's shared checkpoint folder.
+    """A new folder for ``name`` below ``work_root``."""
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application has settled.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder: on a cluster, executors could not see it.
+    To be called when the results that read the settled tables have been written.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+ataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For a result of joins that several jobs go on with: they read the table

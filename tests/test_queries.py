@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from lorekeep.plans.registry import ORACLES, QUERIES
 from tests.check_oracles import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,13 +18,13 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     assert compare(spark, con, name, SF_DIR) == ""
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -31,7 +32,7 @@ def test_entry(spark):
     assert rows and set(rows[0].asDict()) == {"domain", "articles", "touched"}
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_plan(spark, name):
     plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ExistingRDD"):
