@@ -27,7 +27,7 @@ def get_session(app: str = "lorekeep", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def work_dir(spadef work_root(spark: SparkSession) -> str:
+def work_root(spark: SparkSession) -> str:
     """This application's own folder in the shared store.
 
     It lies in ``spark.checkpoint.dir``, else below ``spark.sql.warehouse.dir``;
@@ -52,7 +52,7 @@ def release(spark: SparkSession) -> None:
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
-ataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For a result of joins that several jobs go on with: they read the table
