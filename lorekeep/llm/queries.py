@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import license_digest
 from .mixing import mix_digest
+from .packing import pack_documents
+from .toxicity import toxicity_digest
+from .warc import WARC_SQL, warc_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,4 +23,15 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES["op1_license_scan"] = _over("documents", license_digest)
+QUERIES["op2_warc"] = _over("pages", warc_digest)
+ORACLES["op2_warc"] = WARC_SQL
+QUERIES["op7_pack"] = _over("documents", pack_documents)
 QUERIES["op9_mix_sources"] = _over("documents", mix_digest)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = sf_dir.rstrip("/")
+    return toxicity_digest(spark.read.parquet(f"{home}/documents.parquet"), spark.read.parquet(f"{home}/labels.parquet"))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
