@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import license_digest
 from .mixing import mix_digest
+from .odd_sketch import link_documents
 from .packing import pack_documents
 from .toxicity import toxicity_digest
 from .warc import WARC_SQL, warc_digest
@@ -26,6 +27,7 @@ QUERIES["op1_license_scan"] = _over("documents", license_digest)
 QUERIES["op2_warc"] = _over("pages", warc_digest)
 ORACLES["op2_warc"] = WARC_SQL
 QUERIES["op7_pack"] = _over("documents", pack_documents)
+QUERIES["op8_odd_sketch"] = _over("documents", link_documents)
 QUERIES["op9_mix_sources"] = _over("documents", mix_digest)
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -19,15 +20,15 @@ class Settings:
     """Size of the feature space, the learner's rates, and the bound of the training sample."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 0.1
-    epochs: int = 3
+    epochs: int = 5
     #: At most this many labelled rows are learned from, the smallest by a hash of their id.
     train_rows: int = 24_000
-    #: Learners that work side by side; their weights are averaged.
-    learners: int = 6
+    #: Learners that share the sample; their weights are averaged.
+    learners: int = 1
     #: A document is predicted toxic from this score on.
     threshold: float = 0.3
 
@@ -66,7 +67,7 @@ def features(text: str | None, known: WordHash, bits: int) -> np.ndarray:
     near = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] >> np.uint64(7))
     skip = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (h[2:] >> np.uint64(9))
     mixed = np.concatenate([h, near * np.uint64(0xD6E8FEB86659FD93), skip * np.uint64(0xA0761D6478BD642F)])
-    return np.unique(mixed >> shift).astype(np.int64)
+    return np.unique(mixed >> shift).astype(np.int32)
 
 
 class Ftrl:
@@ -105,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS) -> tuple[n
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_place", "ascending"), ("text", "ascending")])
         known, model, bias = WordHash(), Ftrl(s), 1 << s.bits
-        seen = [np.append(features(t.as_py(), known, s.bits), bias) for t in table.column("text")]
+        seen = [np.append(features(t.as_py(), known, s.bits), np.int32(bias)) for t in table.column("text")]
         label = table.column("toxic").to_pylist()
         for epoch in range(s.epochs):
             for i in np.random.default_rng(epoch).permutation(len(seen)):
@@ -133,8 +134,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = S
             sums = np.array([bias + dense[features(t.as_py(), known, s.bits)].sum() for t in batch.column("text")])
             yield batch.append_column("toxicity", pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35)))))
 
-    from pyspark.sql import types as T
-
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType())]))
 
 
