@@ -10,6 +10,7 @@ from .license_scan import license_digest
 from .mixing import mix_digest
 from .odd_sketch import link_documents
 from .packing import pack_documents
+from .suffix_dedup import repeats_digest
 from .toxicity import toxicity_digest
 from .warc import WARC_SQL, warc_digest
 
@@ -28,6 +29,7 @@ QUERIES["op2_warc"] = _over("pages", warc_digest)
 ORACLES["op2_warc"] = WARC_SQL
 QUERIES["op7_pack"] = _over("documents", pack_documents)
 QUERIES["op8_odd_sketch"] = _over("documents", link_documents)
+QUERIES["op10_suffix_dedup"] = _over("documents", repeats_digest)
 QUERIES["op9_mix_sources"] = _over("documents", mix_digest)
 
 
