@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hnsw import link_vectors
 from .license_scan import license_digest
 from .mixing import mix_digest
 from .odd_sketch import link_documents
@@ -27,6 +28,7 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES["op1_license_scan"] = _over("documents", license_digest)
 QUERIES["op2_warc"] = _over("pages", warc_digest)
 ORACLES["op2_warc"] = WARC_SQL
+QUERIES["op5_hnsw"] = _over("embeddings", link_vectors)
 QUERIES["op7_pack"] = _over("documents", pack_documents)
 QUERIES["op8_odd_sketch"] = _over("documents", link_documents)
 QUERIES["op10_suffix_dedup"] = _over("documents", repeats_digest)
@@ -39,3 +41,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_toxicity"] = op6_toxicity
+
+#: Cosines of all pairs of a label, and the closure of the links.
+ORACLES["op5_hnsw"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x), k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN k ON k.x = vec_id
+"""
