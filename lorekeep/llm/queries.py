@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .hnsw import link_vectors
+from .imatch import edited_digest
 from .license_scan import license_digest
 from .mixing import mix_digest
 from .odd_sketch import link_documents
@@ -28,6 +29,7 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES["op1_license_scan"] = _over("documents", license_digest)
 QUERIES["op2_warc"] = _over("pages", warc_digest)
 ORACLES["op2_warc"] = WARC_SQL
+QUERIES["op4_imatch"] = _over("documents", edited_digest)
 QUERIES["op5_hnsw"] = _over("embeddings", link_vectors)
 QUERIES["op7_pack"] = _over("documents", pack_documents)
 QUERIES["op8_odd_sketch"] = _over("documents", link_documents)
