@@ -28,41 +28,87 @@ END_ID = 1
 GROUP_TOKENS = 4_000_000
 GROUP_ROWS = 100_000
 #: Branches that the search may try in a group before it keeps its incumbent.
-NODES = 20_000
+NODES = 2_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
+#: White space that no token spans; other characters that Python counts as such stay in their word.
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Letters, then perhaps punctuation but no apostrophe: these are split just between the two.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict[str, tuple] = {}
 
 
 def _tokenizer(name: str):
-    """The tokenizer and the words already seen; a worker keeps both for its next task."""
+    """The tokenizer, which of its tokens end a word, and the words already seen; a worker keeps them for its next task."""
     if name not in _loaded:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _loaded[name] = Tokenizer.from_file(public_tokenizers.path(name)), {}
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[no for token, no in vocabulary.items() if token.endswith("</w>")]] = True
+        _loaded[name] = tokenizer, ends, {}
     return _loaded[name]
 
 
+def _encode_each(tokenizer, parts: list[str]) -> list[bytes]:
+    encoded = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+
+def _learn_words(tokenizer, ends: np.ndarray, words: list[str], known: dict[str, bytes]) -> None:
+    """Put the ids of each word in ``known``.
+
+    Plain words go through the tokenizer together and are cut where a token ends a word.
+    """
+    plain, rest, cores, tails = [], [], set(), set()
+    for w in words:
+        m = _PLAIN.fullmatch(w)
+        if not m:
+            rest.append(w)
+        elif m[2]:
+            plain.append((w, m[1], m[2]))
+            cores.add(m[1])
+            tails.add(m[2])
+        else:
+            cores.add(w)
+    parts = [x for x in tails if x not in known] + rest
+    known.update(zip(parts, _encode_each(tokenizer, parts)))
+    new = [x for x in cores if x not in known]
+    for start in range(0, len(new), 5_000):
+        part = new[start:start + 5_000]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) == len(part):
+            raw = ids.tobytes()
+            known.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
+        else:
+            known.update(zip(part, _encode_each(tokenizer, part)))
+    for w, core, tail in plain:
+        known[w] = known[core] + known[tail]
+
+
 def encode_texts(texts: list[str | None], name: str = TOKENIZER) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without an end.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are
     those of its words, and each different word is encoded once.
     """
-    tokenizer, known = _tokenizer(name)
-    words = [[w for w in _SPACE.split(t or "") if w] for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
+    tokenizer, ends, known = _tokenizer(name)
+    words = [t.split() if not _SEPARATORS.search(t) else [w for w in _SPACE.split(t) if w] for t in (x or "" for x in texts)]
+    seen: set[str] = set()
+    for own in words:
+        seen.update(own)
+    new = [w for w in seen if w not in known]
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()
-        new = list({w for ws in words for w in ws})
-    for start in range(0, len(new), 10_000):
-        part = new[start:start + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in words]
+        new = list(seen)
+    _learn_words(tokenizer, ends, new, known)
+    get = known.__getitem__
+    return [b"".join(map(get, own)) for own in words]
 
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
@@ -73,7 +119,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKE
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").to_pylist(), name)):
                 ids += end

@@ -13,6 +13,7 @@ from .mixing import mix_digest
 from .odd_sketch import link_documents
 from .packing import pack_documents
 from .suffix_dedup import repeats_digest
+from .template import TEXT_SQL, text_digest
 from .toxicity import toxicity_digest
 from .warc import WARC_SQL, warc_digest
 
@@ -29,6 +30,8 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES["op1_license_scan"] = _over("documents", license_digest)
 QUERIES["op2_warc"] = _over("pages", warc_digest)
 ORACLES["op2_warc"] = WARC_SQL
+QUERIES["op3_template"] = _over("pages", text_digest)
+ORACLES["op3_template"] = TEXT_SQL
 QUERIES["op4_imatch"] = _over("documents", edited_digest)
 QUERIES["op5_hnsw"] = _over("embeddings", link_vectors)
 QUERIES["op7_pack"] = _over("documents", pack_documents)
