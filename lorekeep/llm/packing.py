@@ -262,17 +262,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int =
     Whole pieces are sequences of their own. The rest is dealt by hash into groups of
     about ``group_tokens`` tokens. All sequences of a group but the loosest few are
     final; the loose ones' pieces are packed again with those of other groups, until
-    one group is left. A level has a few hundredths of the rows of the one before it.
+    one group is left, or what is loose no longer halves (lengths that cannot fill).
     """
     columns = pieces.columns
     full = pieces.where(F.col("length") >= capacity).withColumn(
         "sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     left = pieces.where(F.col("length") < capacity).withColumn("_row", F.monotonically_increasing_id())
-    done, level = [full], 0
+    done, level, before = [full], 0, None
     while True:
         held = left.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
         groups = max(1, -(-held["tokens"] // group_tokens), -(-held["rows"] // GROUP_ROWS))
-        last = groups == 1
+        last = groups == 1 or (before is not None and 2 * held["tokens"] > before)
+        before = held["tokens"]
         dealt = left.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
         packed = settle(_pack_groups(dealt, capacity, level, last), f"packed-{level}")
         done.append(packed.where("not _loose").select(*columns, "sequence_id", "offset"))
