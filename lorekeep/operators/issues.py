@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from .ordering import ROWS_PER_RANGE, grouped_parts
 
 # Priorities in the order they are shown.
 PRIORITIES = ("Critical", "High", "Medium", "Low")
+# Fixed value: the id that a dry run gives.
+DRY_NODE = "DRY_NODE"
 
 
 def shown_title(title: Column, width: int = 60) -> Column:
@@ -39,7 +41,7 @@ def repos_touched(issues: DataFrame) -> DataFrame:
 
 def linked_total(issues: DataFrame, node_id: str = "node_id") -> DataFrame:
     """How many rows have an id and can be linked, of how many."""
-    has = F.col(node_id).isNotNull() & ~F.col(node_id).isin("", "DRY_NODE")
+    has = F.col(node_id).isNotNull() & ~F.col(node_id).isin("", DRY_NODE)
     return issues.agg(F.count_if(has).alias("linked"), F.count(F.lit(1)).alias("total"))
 
 
@@ -57,15 +59,23 @@ def missing_labels(
     return wanted.join(existing.select(repo, "label").distinct(), [repo, "label"], "left_anti")
 
 
+def label_plan(missing: DataFrame, colours: Mapping[str, str], default: str = "ededed") -> DataFrame:
+    """``missing`` labels with the colour to create them in; a label without one gets ``default``."""
+    known = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair]) if colours else None
+    colour = F.lit(default) if known is None else F.coalesce(F.try_element_at(known, F.col("label")), F.lit(default))
+    return missing.withColumn("colour", colour)
+
+
 def topic_payloads(
-    topics: DataFrame, repo: str = "repo", order_by: str = "pos", topic: str = "topic",
-    per_payload: int = 100, rows_per_range: int = ROWS_PER_RANGE,
+    topics: DataFrame, per_payload: int, repo: str = "repo", order_by: str = "pos", topic: str = "topic",
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``{"names":[...]}`` per repository, topics in order and repeats kept.
 
-    More than ``per_payload`` topics go on in further payloads (part 1, 2, ...).
+    More than ``per_payload`` topics go on in further payloads (part 1, 2, ...). A payload
+    that is sent replaces the repository's list, so one with ``parts`` above 1 has to be joined first.
     """
     parts = grouped_parts(topics, [repo], [order_by], topic, per_payload, rows_per_range)
     return parts.select(
-        repo, "part", F.to_json(F.struct(F.col("items").alias("names"))).alias("payload")
+        repo, "part", "parts", F.to_json(F.struct(F.col("items").alias("names"))).alias("payload")
     )

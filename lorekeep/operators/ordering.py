@@ -207,15 +207,17 @@ def grouped_parts(
     """Collect ``item`` per group in order, in parts of at most ``size`` items.
 
     A group of up to ``size`` items is one row (part 0). A larger group goes on in
-    parts 1, 2, ...; nothing is dropped, and no task holds a whole hot group.
+    parts 1, 2, ...; ``parts`` says how many there are. Nothing is dropped, and no task
+    holds a whole hot group.
     """
     ranked = dense_index(df, order_by, "_rank", group_by, rows_per_range)
     ranked = ranked.withColumn("part", F.floor(F.col("_rank") / size).cast("bigint"))
     packed = ranked.groupBy(*group_by, "part").agg(
         F.array_sort(F.collect_list(F.struct("_rank", F.col(item).alias("item")))).alias("_packed")
     )
-    return packed.select(
-        *group_by, "part", F.transform("_packed", lambda s: s["item"]).alias("items")
+    held = df.groupBy(*group_by).agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias("parts"))
+    return _join_null_safe(packed, held, list(group_by)).select(
+        *group_by, "part", "parts", F.transform("_packed", lambda s: s["item"]).alias("items")
     )
 
 

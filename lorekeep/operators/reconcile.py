@@ -35,14 +35,17 @@ def missing_tags(
 
 
 def missing_tag_report(
-    missing: DataFrame, pkg: str = "name", tag: str = "tag", per_line: int = 100,
+    missing: DataFrame, per_line: int, pkg: str = "name", tag: str = "tag",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Report lines: the sorted missing tags of a package, at most ``per_line`` a line."""
+    """Report lines: the sorted missing tags of a package, at most ``per_line`` a line.
+
+    ``parts`` says how many lines the package has.
+    """
     missing = settle(missing.select(pkg, tag), "missing-tags")
     parts = grouped_parts(missing, [pkg], [tag], tag, per_line, rows_per_range)
     return parts.select(
-        pkg, "part", F.size("items").cast("bigint").alias("n_tags"),
+        pkg, "part", "parts", F.size("items").cast("bigint").alias("n_tags"),
         F.array_join("items", ",").alias("tags"),
     )
 

@@ -9,8 +9,6 @@ TERMINAL = ("COMPLETED", "FAILED")
 TIMED_OUT = "TIMED_OUT"
 
 # How long the two pollers wait (120 polls of 1 s, 30 of 10 s).
-SMOKE_BUDGET_SECONDS = 120
-TOOL_BUDGET_SECONDS = 300
 
 
 def latest_state(snapshots: DataFrame, run: str = "run_id", order_by: tuple = ("observed_at",)) -> DataFrame:

@@ -33,9 +33,9 @@ def _missing(t):
 
 
 @query("q18_tags_missing", with_views("v_tags") + f"""
-    SELECT name, (rn - 1) // {TAGS_PER_LINE} AS part, count(*) AS n_tags,
+    SELECT name, (rn - 1) // {TAGS_PER_LINE} AS part, (max(n) - 1) // {TAGS_PER_LINE} + 1 AS parts, count(*) AS n_tags,
            string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS tags
-    FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tag) AS rn FROM v_missing
+    FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tag) AS rn, count(*) OVER (PARTITION BY name) AS n FROM v_missing
           WHERE name IN (SELECT name FROM v_tag_new)) GROUP BY 1, 2""")
 def tags_missing(t):
     return reconcile.missing_tag_report(_missing(t)[0], per_line=TAGS_PER_LINE, rows_per_range=500)

@@ -77,12 +77,12 @@ def package_tags(t: Tables, flag: str) -> DataFrame:
 
 
 def inventory(t: Tables) -> DataFrame:
-    """Some parts as files; a third of the paths are folders, and some files are empty."""
-    lines = t.lineitem.where("l_quantity > 48 and l_discount > 0.08")
-    return lines.groupBy(F.col("l_partkey").alias("path")).agg(
-        (F.sum("l_quantity") - 49 * F.count(F.lit(1))).cast("bigint").alias("_over"),
-        F.max("l_linenumber").alias("_line"),
-    ).select("path", (F.col("_line") != 3).alias("is_file"), (F.col("_over") * 700_000).alias("size"))
+    """Parts as files. The sums of their lines say which go by another name, are folders, or are empty."""
+    sums = t.lineitem.groupBy("l_partkey").agg(
+        F.sum("l_quantity").cast("bigint").alias("_q"), F.sum("l_linenumber").alias("_l"))
+    path = F.when(F.col("_q") % 3 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    return sums.select(
+        path.alias("path"), (F.col("_l") % 4 != 0).alias("is_file"), (F.col("_q") % 7 * 700_000).alias("size"))
 
 
 def coverage_parts(t: Tables) -> DataFrame:
@@ -91,7 +91,7 @@ def coverage_parts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source", "lang", "n_chars").join(t.labels, "doc_id").select(
         "doc_id", F.col("source").alias("repo"), F.col("lang").alias("part"),
         F.col("n_chars").alias("stmts"), covered.alias("covered"),
-        F.when(F.col("toxic") == 0, 1).otherwise(0).alias("tests"),
+        F.when(F.col("lang") != "fr", F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("tests"),
     )
 
 
@@ -145,14 +145,14 @@ SQL = {
                       WHERE l_returnflag = 'A'),
         v_missing AS (SELECT * FROM v_tag_old EXCEPT SELECT * FROM v_tag_new)""",
     "v_inventory": """
-        v_inventory AS (SELECT l_partkey AS path, max(l_linenumber) <> 3 AS is_file,
-                               CAST(sum(l_quantity) - 49 * count(*) AS BIGINT) * 700000 AS size
-                        FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.08
-                        GROUP BY l_partkey)""",
+        v_inventory AS (SELECT CASE WHEN CAST(sum(l_quantity) AS BIGINT) % 3 = 0 THEN -l_partkey ELSE l_partkey END AS path,
+                               sum(l_linenumber) % 4 <> 0 AS is_file,
+                               CAST(sum(l_quantity) AS BIGINT) % 7 * 700000 AS size
+                        FROM lineitem GROUP BY l_partkey)""",
     "v_part": """
         v_part AS (SELECT d.doc_id, d.source AS repo, d.lang AS part, d.n_chars AS stmts,
                           CASE WHEN l.quality = 1 THEN d.n_chars ELSE 0 END AS covered,
-                          CASE WHEN l.toxic = 0 THEN 1 ELSE 0 END AS tests
+                          CASE WHEN d.lang <> 'fr' THEN CASE WHEN l.toxic = 0 THEN 1 ELSE 0 END END AS tests
                    FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
     "v_report": """
         v_cov AS (SELECT repo || '_' || part AS repo, CAST(sum(stmts) AS BIGINT) AS num_statements,
@@ -160,7 +160,7 @@ SQL = {
                          CAST(sum(stmts) - sum(covered) AS BIGINT) AS missing_lines
                   FROM v_part GROUP BY 1),
         v_tests AS (SELECT repo || '_' || part AS repo, CAST(sum(tests) AS BIGINT) AS tests
-                    FROM v_part GROUP BY 1 HAVING sum(tests) > 2),
+                    FROM v_part GROUP BY 1),
         v_report AS (SELECT c.repo, num_statements, covered_lines,
                             coalesce(t.tests, 0) AS tests,
                             CASE WHEN num_statements > 0 THEN

@@ -48,8 +48,3 @@ COVERAGE = _struct(meta=T.MapType(_S, _S), files=T.MapType(_S, _S), totals=COVER
 
 STATUS_LINE = _struct(repo=_S, branch=_S, line=_S)
 
-RUN_SNAPSHOT = _struct(
-    run_id=_S, state=_S,
-    bioquery=_struct(payload=_struct(rows=T.ArrayType(_S))),
-    observed_at=_TS,
-)

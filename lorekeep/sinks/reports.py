@@ -9,8 +9,6 @@ from .. import schemas
 from ..operators.ordering import ROWS_PER_RANGE, grouped_parts
 from ..session import settle
 
-DOCUMENT_ENTRIES = 100_000
-
 
 def write_registry(registry: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
     """Write one entry per line, in order of category and position.
@@ -24,20 +22,34 @@ def write_registry(registry: DataFrame, path: str, dry_run: bool = False) -> Dat
     return rows
 
 
-def registry_document(registry: DataFrame, max_entries: int = DOCUMENT_ENTRIES) -> DataFrame:
-    """The registry as one nested JSON document, in one row.
+def registry_document(registry: DataFrame) -> DataFrame:
+    """The registry as the lines of one nested JSON document: category, position, value.
 
-    One document has to fit one task, so its size is checked first; a larger
-    registry goes through :func:`write_registry`.
+    In order of category and position the lines are the document. A line is one entry
+    with what stands around it, so no task ever holds the document.
     """
-    if registry.limit(max_entries + 1).count() > max_entries:
-        raise ValueError(f"more than {max_entries} entries: use write_registry")
     fields = [c for c in registry.columns if c not in ("category", "position")]
-    lists = registry.groupBy("category").agg(
-        F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("e")))).alias("es")
-    ).select("category", F.transform("es", lambda s: s["e"]).alias("es"))
-    doc = lists.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "es")))).alias("m"))
-    return doc.select(F.to_json("m").alias("value"))
+    ends = registry.groupBy("category").agg(F.min("position").alias("_first"), F.max("position").alias("_last"))
+    edge = ends.agg(F.min("category").alias("lo"), F.max("category").alias("hi"))
+    lines = registry.join(ends, "category")
+    opens, closes = F.col("position") == F.col("_first"), F.col("position") == F.col("_last")
+    lowest, highest = F.col("category") == edge.select("lo").scalar(), F.col("category") == edge.select("hi").scalar()
+    name = F.to_json(F.array("category"))
+    value = F.concat(
+        F.when(opens & lowest, "{").otherwise(""),
+        F.when(opens, F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":["))).otherwise(""),
+        F.to_json(F.struct(*fields)), F.when(closes, "]").otherwise(","),
+        F.when(closes & highest, "}").when(closes, ",").otherwise(""),
+    )
+    return lines.select("category", "position", value.alias("value"))
+
+
+def write_registry_document(registry: DataFrame, path: str) -> None:
+    """Write the document's lines in order; its part files, read in turn, are the document."""
+    lines = registry_document(registry).orderBy("category", "position").select("value")
+    if lines.isEmpty():
+        lines = registry.sparkSession.createDataFrame([("{}",)], "value string")
+    lines.write.mode("overwrite").text(path)
 
 
 def write_names(names: DataFrame, path: str, name: str = "name") -> None:
@@ -57,10 +69,10 @@ def append_done(keys: DataFrame, path: str, now: Column | None = None) -> None:
 
 
 def coverage_documents(
-    totals: DataFrame, files: DataFrame, per_document: int = 10_000,
+    totals: DataFrame, files: DataFrame, per_document: int,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Merged coverage reports as JSON text: repo, part, value.
+    """Merged coverage reports as JSON text: repo, part, parts, value.
 
     ``totals``: repo, num_statements, covered_lines, missing_lines,
     percent_covered. ``files``: repo, file, entry (JSON text). A repository with
@@ -88,7 +100,7 @@ def coverage_documents(
         F.lit('{"meta":{},"files":{'), F.coalesce(entries, F.lit("")), F.lit('},"totals":'),
         F.to_json(sums), F.lit("}"),
     )
-    return joined.select("repo", part.alias("part"), value.alias("value"))
+    return joined.select("repo", part.alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), value.alias("value"))
 
 
 def write_coverage(documents: DataFrame, path: str) -> None:

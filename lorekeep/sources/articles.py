@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalars import join_text
+from .files import list_tree, read_texts
 
 RECORD_END = "</PubmedArticle>"
 FEED_END = "</PubmedArticleSet>"
@@ -208,23 +209,26 @@ def list_feed(spark: SparkSession, path: str, glob: str = FEED_GLOB) -> DataFram
     ).orderBy("file")
 
 
+def parse_json_articles(files: DataFrame) -> DataFrame:
+    """Articles of JSON documents (path, text, modified_at); the domain is the parent folder, a bad document is dropped."""
+    broken = "_broken"
+    schema = T.StructType([*schemas.ARTICLE.fields, T.StructField(broken, T.StringType())])
+    doc = F.from_json("text", schema, {"columnNameOfCorruptRecord": broken})
+    rows = files.select(doc.alias("_d"), F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("domain"), "modified_at")
+    return rows.where(F.col("_d").isNotNull() & F.col(f"_d.{broken}").isNull()).select(
+        *[F.col(f"_d.{n}").alias(n) for n in schemas.ARTICLE.names], F.lit(None).cast("string").alias("feed_file"),
+        F.lit(None).cast("bigint").alias("feed_pos"), "domain", "modified_at",
+    )
+
+
 def read_json_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus kept as one JSON file per article in one folder per domain.
 
-    The domain is the folder name; unreadable files are dropped. Read once, then
+    Domains and files may have any name; unreadable files are dropped. Read once, then
     keep the result as Parquet: listing millions of small files is the slow part.
     """
-    raw = (
-        spark.read.schema(schemas.ARTICLE).option("mode", "DROPMALFORMED")
-        .option("multiLine", "true").option("pathGlobFilter", "*.json")
-        .option("recursiveFileLookup", "true").json(path)
-    )
-    domain = F.element_at(F.split("_metadata.file_path", "/"), -2)
-    return raw.select(
-        *schemas.ARTICLE.names, F.lit(None).cast("string").alias("feed_file"),
-        F.lit(None).cast("bigint").alias("feed_pos"), domain.alias("domain"),
-        F.col("_metadata.file_modification_time").alias("modified_at"),
-    )
+    files = list_tree(spark, path).where("is_file and endswith(path, '.json')")
+    return parse_json_articles(read_texts(files))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

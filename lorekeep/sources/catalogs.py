@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
+from .files import list_tree, read_texts
 
 
 def path_text(uri: Column) -> Column:
@@ -45,66 +44,52 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def read_inventory(spark: SparkSession, root: str, spread: int = 2) -> DataFrame:
     """Everything below ``root``: path relative to it, is_file, size (null for a folder).
 
-    Spark's own file listing leaves out files of zero bytes, which count as
-    present here, so tasks list the folders themselves. The first ``spread``
-    levels are listed folder by folder, and every folder below them is a row of
-    its own, spread over the executors. Contents are not read.
+    Files of zero bytes count as present here. Contents are not read.
     """
-    found = None
-    level = spark.createDataFrame([(root.rstrip("/"),)], "folder string")
-    for _ in range(spread):
-        entries = level.mapInPandas(_list_folders(root, recursive=False), _ENTRY)
-        found = entries if found is None else found.unionByName(entries)
-        level = entries.where(~F.col("is_file")).select(F.col("uri").alias("folder")).repartition("folder")
-    found = found.unionByName(level.mapInPandas(_list_folders(root, recursive=True), _ENTRY))
-    return found.select("path", "is_file", "size")
-
-
-_ENTRY = "path string, uri string, is_file boolean, size long"
-
-
-def _list_folders(root: str, recursive: bool, rows_per_batch: int = 10_000):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        start = fs.FileSystem.from_uri(root.rstrip("/"))[1]
-        for batch in batches:
-            for folder in batch["folder"]:
-                system, base = fs.FileSystem.from_uri(folder)
-                scheme = folder[: len(folder) - len(base)]
-                infos = system.get_file_info(
-                    fs.FileSelector(base, recursive=recursive, allow_not_found=True))
-                for i in range(0, len(infos), rows_per_batch):
-                    part = infos[i:i + rows_per_batch]
-                    yield pd.DataFrame({
-                        "path": [x.path[len(start):].lstrip("/") for x in part],
-                        "uri": [scheme + x.path for x in part],
-                        "is_file": [x.is_file for x in part],
-                        "size": pd.array([x.size if x.is_file else None for x in part], dtype="Int64"),
-                    })
-
-    return run
+    return list_tree(spark, root, spread).select("path", "is_file", "size")
+
+
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages of a folder, or one page: page, text."""
+    files = list_tree(spark, path, spread=1).where("is_file")
+    return read_texts(files).select(F.element_at(F.split("path", "/"), -1).alias("page"), "text")
+
+
+def parse_package_pages(pages: DataFrame) -> DataFrame:
+    """Packages of JSON pages (page, text). A page that is no array of packages gives none."""
+    rows = F.from_json("text", T.ArrayType(schemas.PACKAGE))
+    return pages.select(F.explode(rows).alias("_p")).select("_p.*").where(F.col("name").isNotNull())
 
 
 def read_package_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed listing pages (JSON arrays of packages), concatenated.
 
-    A page that is not an array of packages gives no rows; see
-    :func:`listing_status` for which listings are incomplete.
+    See :func:`listing_status` for which listings are incomplete.
     """
-    return spark.read.schema(schemas.PACKAGE).option("multiLine", "true").option(
-        "mode", "DROPMALFORMED").json(path).where(F.col("name").isNotNull())
+    return parse_package_pages(_pages(spark, path))
+
+
+def parse_listing_status(pages: DataFrame) -> DataFrame:
+    rows = F.from_json("text", "array<struct<name string>>")
+    return pages.select("page", F.when(rows.isNull(), "failed").otherwise("ok").alias("listing_status"))
 
 
 def listing_status(spark: SparkSession, path: str) -> DataFrame:
     """Per landed page ``ok`` or ``failed``, to tell an outage from a missing name."""
-    pages = spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("page"),
-        F.from_json("value", "array<struct<name string>>").alias("_rows"),
-    )
-    return pages.select(
-        "page", F.when(F.col("_rows").isNull(), "failed").otherwise("ok").alias("listing_status")
-    )
+    return parse_listing_status(_pages(spark, path))
+
+
+def parse_version_pages(pages: DataFrame) -> DataFrame:
+    """(name, metadata) of version pages (page, text); the page's folder or file name is the package."""
+    versions = F.from_json("text", T.ArrayType(schemas.PACKAGE_VERSION))
+    return pages.select("name", F.explode(versions).alias("_v")).select("name", "_v.metadata")
+
+
+def read_version_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(name, tag) of landed version pages, kept as ``<package>/<page>.json``; a package without tags gives no rows."""
+    files = list_tree(spark, path).where("is_file and endswith(path, '.json')")
+    pages = read_texts(files).select(F.element_at(F.split("path", "/"), 1).alias("name"), "text")
+    return explode_tags(parse_version_pages(pages))
 
 
 def explode_tags(versions: DataFrame, pkg: str = "name") -> DataFrame:

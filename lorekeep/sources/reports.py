@@ -13,7 +13,9 @@ from ..operators.ordering import ROWS_PER_RANGE, carry_down, dense_index
 from ..operators.textscan import SCAN_EXCLUDED_DIRS, is_binary, lacks_extension, outside_dirs
 from ..session import settle
 from .catalogs import path_text
+from .files import list_tree, read_texts
 
+# Fixed value: the file that holds the test counts.
 SIDECAR = "test_counts.json"
 
 
@@ -23,31 +25,27 @@ def read_text_tree(
 ) -> DataFrame:
     """Text files below ``root`` as (path, text), binary files and ``*.log`` left out.
 
-    Spark's listing leaves out names that begin with ``.`` or ``_``.
+    Excluded folders are not entered; names may begin with ``.`` or ``_``.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-        .select("_metadata.file_path", F.col("value").alias("text"))
-    )
-    prefix = root.rstrip("/") + "/"
-    relative = F.replace(path_text(F.col("file_path")), F.lit(prefix), F.lit(""))
-    files = files.select(relative.alias("path"), "text")
-    wanted = outside_dirs(F.col("path"), excluded_dirs) & lacks_extension(
-        F.col("path"), excluded_extensions
-    )
-    return files.where(wanted & ~is_binary(F.col("text")))
+    files = list_tree(spark, root, skip=tuple(excluded_dirs)).where("is_file")
+    wanted = outside_dirs(F.col("path"), excluded_dirs) & lacks_extension(F.col("path"), excluded_extensions)
+    return read_texts(files.where(wanted)).select("path", "text").where(~is_binary(F.col("text")))
+
+
+def parse_coverage(docs: DataFrame) -> DataFrame:
+    """Totals of coverage documents (file, text): repo, totals; an unreadable report has null totals."""
+    totals = F.from_json("text", schemas.COVERAGE)["totals"]
+    return docs.select(
+        F.replace("file", F.lit(".json"), F.lit("")).alias("repo"), totals.alias("_t")
+    ).select("repo", "_t.num_statements", "_t.covered_lines", "_t.missing_lines", "_t.percent_covered")
 
 
 def read_coverage(spark: SparkSession, root: str, skip: Sequence[str] = ()) -> DataFrame:
     """Coverage reports of a folder: repo, totals; an unreadable report has null totals."""
     docs = spark.read.option("pathGlobFilter", "*.json").text(root, wholetext=True).select(
-        F.col("_metadata.file_name").alias("_file"), "value"
+        F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")
     )
-    docs = docs.where(~F.col("_file").isin([*skip, SIDECAR]))
-    totals = F.from_json("value", schemas.COVERAGE)["totals"]
-    return docs.select(
-        F.replace("_file", F.lit(".json"), F.lit("")).alias("repo"), totals.alias("_t")
-    ).select("repo", "_t.num_statements", "_t.covered_lines", "_t.missing_lines", "_t.percent_covered")
+    return parse_coverage(docs.where(~F.col("file").isin([*skip, SIDECAR])))
 
 
 def read_coverage_files(spark: SparkSession, root: str, parts: Sequence[str]) -> DataFrame:
@@ -66,9 +64,26 @@ def read_test_counts(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("repo", "tests"))
 
 
+def parse_status_lines(lines: DataFrame) -> DataFrame:
+    """JSON lines (value) -> repo, branch, line."""
+    return lines.select(F.from_json("value", schemas.STATUS_LINE).alias("_s")).select("_s.*").where(F.col("repo").isNotNull())
+
+
+def parse_unpushed(lines: DataFrame) -> DataFrame:
+    """JSON lines (value) -> repo, unpushed; a count that is no number is 0, as for a repository without upstream."""
+    doc = F.from_json("value", "repo string, unpushed string")
+    return lines.select(doc.alias("_u")).where(F.col("_u.repo").isNotNull()).select(
+        "_u.repo", F.coalesce(F.col("_u.unpushed").try_cast("int"), F.lit(0)).alias("unpushed"))
+
+
 def read_status_lines(spark: SparkSession, path: str) -> DataFrame:
     """Landed status lines (repo, branch, line) as JSON lines."""
-    return spark.read.schema(schemas.STATUS_LINE).json(path)
+    return parse_status_lines(spark.read.text(path))
+
+
+def read_unpushed(spark: SparkSession, path: str) -> DataFrame:
+    """Landed counts of unpushed commits (repo, unpushed) as JSON lines."""
+    return parse_unpushed(spark.read.text(path))
 
 
 def parse_snapshots(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -93,19 +108,21 @@ def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> D
 def read_build_log(
     spark: SparkSession, path: str, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Build logs as numbered lines: file, line_no, text.
+    """Build logs as numbered lines: file, log, line_no, text.
+
+    ``file`` is the whole path, by which lines are counted, ``log`` the name alone.
 
     A log may be read in several splits: a split knows where it starts, and the row
     id rises within it, so both together give the order of lines. They are settled
     before the lines are counted through.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"),
+        path_text(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_name").alias("log"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"),
     )
     numbered = dense_index(
         settle(lines, "build-log"), ["_start", "_id"], "line_no", ["file"], rows_per_range)
-    return numbered.select("file", (F.col("line_no") + 1).alias("line_no"), "text")
+    return numbered.select("file", "log", (F.col("line_no") + 1).alias("line_no"), "text")
 
 
 def _with_header(lines: DataFrame, rows_per_range: int) -> DataFrame:
@@ -120,6 +137,7 @@ def parse_build_log(lines: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> D
     ``kind`` is ``size`` (tag, size, created), ``layer`` (size, command) or
     ``built``; ``image`` is the header above, or the image named in the line.
     """
+    # The three kinds of lines as the log has them.
     size_row = r"^\s*(\S+)\t([0-9.]+[kMGT]?B)\t(.+)$"
     layer_row = r"^([0-9.]+[kMGT]?B)\t(.*)$"
     built_row = r"^✅ (\S+) built successfully"

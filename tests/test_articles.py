@@ -140,12 +140,14 @@ def test_json_corpus(spark, tmp_path, rows):
         ("d2", "1.json", '{"pmid":"1","title":"t","abstract":"y","year":"1999","mesh_terms":["m"]}'),
         ("d2", "2.json", '{"pmid": broken'),
         ("_general", "3.txt", "no json"),
+        ("_general_corpus", "_4.json", '{"pmid":"4","title":"t","abstract":"z"}'),
+        ("heart failure", "1.json", '{"pmid":"9","title":"t","abstract":"h"}'),
     ]:
         (tmp_path / domain).mkdir(exist_ok=True)
         (tmp_path / domain / name).write_text(text)
     got = A.read_json_corpus(spark, str(tmp_path)).select("domain", "pmid", "abstract")
-    assert rows(got) == [("d1", "1", "x"), ("d2", "1", "y")]
-    assert A.without_chunks(got, "d2").count() == 1
+    assert rows(got) == [("_general_corpus", "4", "z"), ("d1", "1", "x"), ("d2", "1", "y"), ("heart failure", "9", "h")]
+    assert A.without_chunks(got, "d2").count() == 3
 
 
 def test_state_defaults(spark, tmp_path):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.scalars import human_size
 from lorekeep.operators import catalog
-from lorekeep.sinks.reports import registry_document, write_registry
+from lorekeep.sinks.reports import registry_document, write_registry, write_registry_document
 from lorekeep.sources.catalogs import read_inventory, read_registry, read_registry_document
 
 
@@ -25,14 +25,20 @@ def test_registry_document_round_trip(spark, tmp_path):
     (tmp_path / "reg.json").write_text(json.dumps(doc, indent=2))
     rows = read_registry_document(spark, str(tmp_path / "reg.json"))
     assert rows.count() == 3
-    assert json.loads(registry_document(rows).first().value) == doc
-    with pytest.raises(ValueError):
-        registry_document(rows, max_entries=2)
+    whole = lambda df: json.loads("".join(r.value for r in registry_document(df).orderBy("category", "position").collect()))
+    assert whole(rows) == doc
+    write_registry_document(rows, str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert json.loads(text) == doc
+    big = spark.range(120_000).selectExpr("concat('c', id % 7) as category", "id as position", "id as name")
+    assert registry_document(big).count() == 120_000
+    write_registry_document(rows.limit(0), str(tmp_path / "none_doc"))
+    assert "".join(p.read_text() for p in (tmp_path / "none_doc").glob("part-*")).strip() == "{}"
     write_registry(rows, str(tmp_path / "out"), dry_run=True)
     assert not (tmp_path / "out").exists()
     write_registry(rows, str(tmp_path / "out"))
     again = read_registry(spark, str(tmp_path / "out"))
-    assert json.loads(registry_document(again).first().value) == doc
+    assert whole(again) == doc
     assert read_registry(spark, str(tmp_path / "none")).count() == 0
     assert read_registry_document(spark, str(tmp_path / "none")).count() == 0
 

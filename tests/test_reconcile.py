@@ -27,7 +27,7 @@ def test_tags(spark, rows):
     common = reconcile.common_names(old, new)
     missing = reconcile.missing_tags(old_tags, new_tags, common)
     assert rows(missing) == [("p", "t1")]
-    assert rows(reconcile.missing_tag_report(missing)) == [("p", 0, 1, "t1")]
+    assert rows(reconcile.missing_tag_report(missing, per_line=9)) == [("p", 0, 1, 1, "t1")]
     summary = reconcile.reconcile_summary(old, new, missing).first()
     assert tuple(summary) == (3, 2, 1, 2, 1, "incomplete")
     clean = reconcile.reconcile_summary(new, new, missing.limit(0)).first()

@@ -56,10 +56,11 @@ def test_coverage_reader_merge_and_report(spark, tmp_path, rows):
                                  .withColumn("repo", F.lit("both")))
     assert rows(files.select("file", "entry")) == [("a.py", '{"n":1}'), ("b.py", '{"n":3}')]
 
-    docs = coverage_documents(merged, files)
+    docs = coverage_documents(merged, files, per_document=10)
     doc = json.loads(docs.first().value)
     assert doc["files"] == {"a.py": {"n": 1}, "b.py": {"n": 3}} and doc["totals"]["percent_covered_display"] == "83.33%"
     split = coverage_documents(merged, files, per_document=1).orderBy("part")
+    assert {r.parts for r in split.collect()} == {2} and docs.first().parts == 1
     assert [json.loads(r.value)["totals"]["num_statements"] for r in split.collect()] == [300, 0]
     write_coverage(docs, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first().value) == doc
@@ -110,8 +111,11 @@ def test_issues(spark, rows):
 
 def test_topics(spark):
     df = spark.createDataFrame([("r", 2, 'say "hi"'), ("r", 1, "css"), ("r", 3, "css")], "repo string, pos int, topic string")
-    got = issues.topic_payloads(df).collect()
-    assert [json.loads(r.payload) for r in got] == [{"names": ["css", 'say "hi"', "css"]}]
+    got = issues.topic_payloads(df, per_payload=500).collect()
+    assert [json.loads(r.payload) for r in got] == [{"names": ["css", 'say "hi"', "css"]}] and got[0].parts == 1
+    many = spark.range(230).selectExpr("'r' as repo", "id as pos", "concat('t', id) as topic")
+    assert [(r.part, r.parts) for r in issues.topic_payloads(many, 100).orderBy("part").collect()] == [(0, 3), (1, 3), (2, 3)]
+    assert len(json.loads(issues.topic_payloads(many, 1000).first().payload)["names"]) == 230
 
 
 def test_specs_and_outcomes(spark, rows):
@@ -156,7 +160,7 @@ def test_build_log_in_splits(spark, tmp_path):
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
     try:
-        lines = reports.read_build_log(spark, str(tmp_path), rows_per_range=100).where("file = 'a.log'")
+        lines = reports.read_build_log(spark, str(tmp_path), rows_per_range=100).where("log = 'a.log'")
         assert [r.text for r in lines.orderBy("line_no").collect()] == text
         assert tuple(lines.agg(F.min("line_no"), F.max("line_no")).first()) == (1, 1500)
     finally:
@@ -177,12 +181,14 @@ def test_text_tree(spark, tmp_path, rows):
     for name, data in {
         "a/x.py": b"# ref ex.io\nref ex.io and ex.io\n", "a/node_modules/y.py": b"ex.io", "a/b.log": b"ex.io",
         "a/bin.dat": b"ex.io\0", "a/dotted.txt": b"exxio", "b/no newline.txt": b"\n\nex.io", "b/c%d.txt": b"none\n", "b/e+f.txt": b"x",
+        "pkg/__init__.py": b"", "_lib/b.py": b"x", ".github/w.yml": b"y", ".env": b"z", ".git/config": b"ex.io",
     }.items():
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
     files = reports.read_text_tree(spark, str(tmp_path))
-    assert {r.path for r in files.collect()} == {"a/x.py", "a/dotted.txt", "b/no newline.txt", "b/c%d.txt", "b/e+f.txt"}
+    assert {r.path for r in files.collect()} == {"a/x.py", "a/dotted.txt", "b/no newline.txt", "b/c%d.txt", "b/e+f.txt",
+                                                "pkg/__init__.py", "_lib/b.py", ".github/w.yml", ".env"}
     hits = textscan.find_literal(files, "ex.io", "new.io")
     assert rows(hits) == [
         ("a/x.py", 1, "# ref ex.io", "# ref new.io"), ("a/x.py", 2, "ref ex.io and ex.io", "ref new.io and new.io"),
