@@ -29,18 +29,23 @@ class Settings:
     """Shingle length, similarity, and the size of samples and sketches.
 
     A pair at the similarity is missed by all bands with probability
-    ``(1 - similarity ** rows) ** bands``: 2.5e-7 here. The sample estimate of such a pair has a
-    standard error of 0.034, and the parity bits add 0.01, so ``estimate`` lies six errors below.
+    ``(1 - similarity ** rows) ** bands``: 2.5e-7 here. The estimate from all samples has a standard
+    error of 0.020 for such a pair, the parity bits add 0.010, so ``estimate`` lies five errors below.
     """
 
     words: int = 5
     percent: int = 75
     bands: int = 40
     rows: int = 4
-    sketch_bits: int = 512
-    estimate: float = 0.53
-    #: Documents that are compared with one centre in one run.
+    #: Samples that only the sketch holds, beside those of the bands.
+    more: int = 320
+    sketch_bits: int = 2048
+    estimate: float = 0.64
+    #: Documents that are compared with one hub in one run.
     chunk: int = 64
+    #: Documents that a block holds, and that stream past them.
+    block: int = 256
+    stream: int = 1024
 
 
 SETTINGS = Settings()
@@ -72,8 +77,8 @@ def shingles(text: str | None, known: WordHash, words: int) -> np.ndarray:
 
 def sample_parameters(s: Settings) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(8)
-    size = s.bands * s.rows
-    return rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, size, np.uint64)
+    size = s.bands * s.rows + s.more
+    return rng.integers(0, 1 << 31, size, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, size, np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,14 +90,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 def signatures(sets: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketches of non-empty ``sets``."""
     a, b = sample_parameters(s)
-    joined = np.concatenate(sets)
+    joined = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
     least = np.empty((len(sets), len(a)), np.uint64)
     for j in range(len(a)):
         least[:, j] = np.minimum.reduceat(joined * a[j] + b[j], starts)
-    keys = np.zeros((len(sets), s.bands), np.uint64)
+    keys, banded = np.zeros((len(sets), s.bands), np.uint64), s.bands * s.rows
     for r in range(s.rows):
-        keys = mix(keys ^ least[:, r::s.rows])
+        keys = mix(keys ^ least[:, r:banded:s.rows])
     keys = mix(keys + np.arange(s.bands, dtype=np.uint64))
     # Each sample flips one bit: equal samples flip the same one, so they cancel in an XOR.
     bit = (mix(least + np.arange(len(a), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(s.sketch_bits))
@@ -104,7 +109,7 @@ def signatures(sets: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndar
 
 def most_differing_bits(s: Settings) -> int:
     """Bits that may differ for the estimate ``s.estimate``, by the expected parity of that many flips."""
-    flips = 2 * s.bands * s.rows * (1 - s.estimate)
+    flips = 2 * (s.bands * s.rows + s.more) * (1 - s.estimate)
     return math.ceil(s.sketch_bits / 2 * (1 - (1 - 2 / s.sketch_bits) ** flips))
 
 
@@ -135,10 +140,14 @@ def differing_bits(a: str, b: str, s: Settings):
     return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in words), F.lit(0))
 
 
-def with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    a = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("_sa"))
-    b = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("_sb"))
-    return pairs.join(b, "b").join(a, "a")
+def likely(pairs: DataFrame, s: Settings):
+    """Whether sizes and sketches leave a chance; columns _na, _sa, _nb, _sb."""
+    fits = 100 * F.least("_na", "_nb") >= s.percent * F.greatest("_na", "_nb")
+    return fits & (differing_bits("_sa", "_sb", s) <= most_differing_bits(s))
+
+
+def signs(reps: DataFrame, name: str, end: str) -> DataFrame:
+    return reps.select(F.col("rep").alias(name), F.col("n").alias(f"_n{end}"), F.col("sketch").alias(f"_s{end}"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -151,7 +160,7 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / s.chunk).cast("int").alias("_n"))
     dealt = pairs.join(chunks, "a").withColumn("_chunk", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int"))
     leads = chunks.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_chunk"))
-    rows = dealt.select("a", "b", "_chunk").unionByName(leads).join(texts, "b")
+    rows = dealt.select("a", "b", "_chunk").unionByName(leads).hint("merge").join(texts, "b")
     rows = rows.repartition(shuffle_width(docs), "a", "_chunk").withColumn("_lead", F.col("a") != F.col("b"))
     rows = rows.sortWithinPartitions("a", "_chunk", "_lead")
 
@@ -173,49 +182,101 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def across_components(met: DataFrame, placed: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between documents that met under one hub but lie in different components.
+
+    ``met`` has (hub, rep), ``placed`` (rep, component). Outside a hub's largest component lie
+    those that are held against all of its members. They are cut into blocks, the members into
+    streams; a task holds the sets of one block while a stream goes by, so what is
+    shuffled is documents, each once per block or stream, never pairs.
+    """
+    rows = met.join(placed, "rep")
+    parts = rows.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("_n"))
+    mains = parts.groupBy("hub").agg(
+        F.max_by("component", F.struct("_n", -F.col("component"))).alias("_main"), F.count(F.lit(1)).alias("_parts"),
+        F.sum("_n").alias("_all"), F.max("_n").alias("_most")).where("_parts > 1")
+    mains = mains.select("hub", "_main", F.ceil((F.col("_all") - F.col("_most")) / s.block).cast("int").alias("_nx"),
+                         F.ceil(F.col("_all") / s.stream).cast("int").alias("_ny"))
+    rows = rows.join(mains, "hub").withColumn("_outer", F.col("component") != F.col("_main"))
+    place = F.xxhash64("rep")
+    x = rows.where("_outer").select(
+        "hub", "rep", "component", "_outer", F.lit(0).alias("_side"), F.pmod(place, F.col("_nx")).cast("int").alias("_i"),
+        F.explode(F.sequence(F.lit(0), F.col("_ny") - 1)).alias("_j"))
+    y = rows.select(
+        "hub", "rep", "component", "_outer", F.lit(1).alias("_side"),
+        F.explode(F.sequence(F.lit(0), F.col("_nx") - 1)).alias("_i"), F.pmod(place, F.col("_ny")).cast("int").alias("_j"))
+    rows = x.unionByName(y).join(reps.select("rep", "sketch"), "rep").hint("merge").join(
+        docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    rows = rows.repartition(shuffle_width(docs), "hub", "_i", "_j").sortWithinPartitions("hub", "_i", "_j", "_side")
+    limit = most_differing_bits(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, at, held, sketches, own_of = WordHash(), None, [], None, None
+        for batch in slices(batches, "text"):
+            found = []
+            cols = (batch.column(c).to_pylist() for c in (
+                "hub", "_i", "_j", "_side", "rep", "component", "_outer", "sketch", "text"))
+            for hub, i, j, side, doc, component, outer, sketch, text in zip(*cols):
+                if at != (hub, i, j):
+                    at, held, sketches = (hub, i, j), [], None
+                bits = np.array(sketch, np.int64).view(np.uint64)
+                own = shingles(text, words, s.words)
+                if not side:
+                    held.append((doc, component, own, bits))
+                    continue
+                if sketches is None:
+                    sketches = np.array([x[3] for x in held]).reshape(-1, len(bits))
+                    ids, own_of = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+                    sizes = np.array([len(x[2]) for x in held])
+                # Of two that are both outside, the one with the smaller id asks.
+                fits = (own_of != component) & ((ids < doc) | (not outer))
+                fits &= 100 * np.minimum(sizes, len(own)) >= s.percent * np.maximum(sizes, len(own))
+                near = np.flatnonzero(fits)
+                for k in near[np.bitwise_count(sketches[near] ^ bits).sum(1) <= limit]:
+                    other = held[k][2]
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= s.percent * (len(own) + len(other) - both):
+                        found.append((held[k][0], doc))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def link_documents(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Documents with equal sets are one class, led by its smallest doc_id; classes meet in
-    the buckets of their bands. First every class is compared with the smallest one of
-    each of its buckets. In buckets that then still hold several components, the
-    classes outside the largest are compared with all others whose odd sketch leaves a
-    chance. So no pair inside a component is looked at twice, and no bucket is written
-    out as pairs. A null or empty text has an empty set and links with nothing; doc_ids
+    the buckets of their bands. First every class is compared with the hub of each of its
+    buckets, the class that meets most others: of a document and its edited copies that
+    is the document. Where a hub's buckets then still hold several components, the classes
+    outside the largest are held against all others there, in blocks, if size and odd
+    sketch leave a chance. So no pair inside a component is looked at
+    again, and no bucket is written out as pairs. A null or empty text has an empty set and links with nothing; doc_ids
     are taken as distinct (equal rows give equal results); a null doc_id links with
     nothing. Other columns are not looked at; an empty table gives no rows.
     """
     signed = settle(sign_documents(docs, s), "signed")
     first = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("_r"))
-    reps = settle(first.select("set_key", F.col("_r.doc_id").alias("rep"), "_r.bands", "_r.sketch"), "classes")
+        F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch"), "doc_id").alias("_r"))
+    reps = settle(first.select("set_key", F.col("_r.doc_id").alias("rep"), "_r.n", "_r.bands", "_r.sketch"), "classes")
     members = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    shared = settle(members.join(buckets.drop("_n"), "key"), "buckets")
-
-    limit = most_differing_bits(s)
-    stars = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = with_sketches(stars, reps).where(differing_bits("_sa", "_sb", s) <= limit).select("a", "b")
-    stars = settle(stars, "stars")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("_met")).where("_met > 1")
+    shared = settle(members.join(buckets, "key"), "buckets")
+    degrees = shared.groupBy("rep").agg(F.sum("_met").alias("_degree"))
+    hubs = shared.join(degrees, "rep").groupBy("key").agg(F.max_by("rep", F.struct("_degree", -F.col("rep"))).alias("a"))
+
+    met = settle(shared.join(hubs, "key").select(F.col("a").alias("hub"), "rep").distinct(), "met")
+    stars = met.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    stars = stars.join(signs(reps, "b", "b"), "b").join(signs(reps, "a", "a"), "a")
+    stars = settle(stars.where(likely(stars, s)).select("a", "b"), "stars")
     links = settle(verified(stars, docs, s), "links")
     found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    placed = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
-    mains = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("_parts"), F.max_by("component", F.struct("_n", -F.col("component"))).alias("_main"))
-    split = settle(placed.join(mains.where("_parts > 1"), "key").drop("_parts"), "split")
-    one = split.where("component <> _main").select("key", F.col("rep").alias("_x"), F.col("component").alias("_cx"))
-    other = split.select("key", F.col("rep").alias("_y"), F.col("component").alias("_cy"))
-    sketch_x = reps.select(F.col("rep").alias("_x"), F.col("sketch").alias("_sa"))
-    sketch_y = reps.select(F.col("rep").alias("_y"), F.col("sketch").alias("_sb"))
-    crossed = one.join(sketch_x, "_x").join(other.join(sketch_y, "_y"), "key").where(
-        (F.col("_cx") != F.col("_cy")) & (differing_bits("_sa", "_sb", s) <= limit))
-    crossed = crossed.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
-    crossed = settle(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
-    if crossed.count():
-        more = settle(verified(crossed, docs, s), "links")
+    placed = settle(reps.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    more = settle(across_components(met, placed, reps, docs, s), "links")
+    if not more.isEmpty():
         found = components(links.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     label = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
