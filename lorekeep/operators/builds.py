@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import printed_size_bytes
 from .ordering import first_n
 
+# Fixed value: the line that shows a finished build.
 SUCCESS_MARKER = "exporting manifest list"
 
 

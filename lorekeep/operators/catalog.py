@@ -50,6 +50,10 @@ def registry_size(registry: DataFrame) -> DataFrame:
     )
 
 
+#: Between the positions of two species; no species has as many defaults.
+SPECIES_STEP = 1_000_000_000
+
+
 def resolve_selection(
     defaults: DataFrame, species: DataFrame | None = None, assemblies: DataFrame | None = None
 ) -> DataFrame:
@@ -58,17 +62,25 @@ def resolve_selection(
     ``defaults``: species, assembly, pos. ``species`` and ``assemblies``: pos and
     the name. Assemblies alone are taken as given. Species alone give their
     defaults in species order, each once. Both give the assemblies that belong to
-    one of the species, order and repeats kept. Neither gives no rows.
+    one of the species, order and repeats kept. Neither gives no rows. An empty table
+    counts as one that is not given; the plan finds that out. ``pos`` is a bigint in all
+    cases; defaults of one species follow each other in the order of their own ``pos``.
     """
-    if species is None and assemblies is None:
-        return defaults.select(F.struct(F.lit(0), F.col("pos")).alias("pos"), "assembly").limit(0)
     if species is None:
-        return assemblies.select("pos", "assembly")
-    chosen = defaults.join(species.select(F.col("pos").alias("_sp"), "species"), "species")
+        species = defaults.where("false").select("pos", "species")
     if assemblies is None:
-        at = F.struct(F.col("_sp").alias("species_pos"), F.col("pos").alias("default_pos"))
-        return chosen.groupBy("assembly").agg(F.min(at).alias("pos")).select("pos", "assembly")
-    return assemblies.join(keys_of(chosen, "assembly"), "assembly", "left_semi").select("pos", "assembly")
+        assemblies = defaults.where("false").select("pos", "assembly")
+    some_species = species.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
+    some_assemblies = assemblies.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
+    chosen = defaults.join(species.select(F.col("pos").alias("_sp"), "species"), "species")
+    at = F.min(F.struct("_sp", F.col("pos").alias("_dp")))
+    place = F.col("_at._sp").cast("bigint") * SPECIES_STEP + F.col("_at._dp").cast("bigint")
+    own = chosen.groupBy("assembly").agg(at.alias("_at")).select(place.alias("pos"), "assembly")
+    given = assemblies.select(F.col("pos").cast("bigint").alias("pos"), "assembly")
+    belongs = F.col("_known").isNotNull()
+    known = keys_of(chosen, "assembly").withColumn("_known", F.lit(True))
+    kept = given.join(known, "assembly", "left").where(belongs | ~some_species).select("pos", "assembly")
+    return own.where(~some_assemblies).unionByName(kept)
 
 
 def match_manifest(targets: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.scalars import chunk_name, chunk_number
 from .ordering import ROWS_PER_RANGE, dense_index
 from .updates import changed_since, latest_per_key
 
+# Records of a chunk, and the number of the first one.
 CHUNK_SIZE = 500_000
 FIRST_CHUNK = 57
 
@@ -147,6 +148,8 @@ def chunk_status(applied: DataFrame, chunk_col: str = "chunk") -> DataFrame:
     )
 
 
-def chunk_results(applied: DataFrame) -> DataFrame:
-    """The rows ``fn`` produced, without the status rows."""
-    return applied.where(F.col("error").isNull()).drop("error", "rows_in")
+def chunk_results(applied: DataFrame, chunk_col: str = "chunk") -> DataFrame:
+    """The rows that ``fn`` produced for chunks without a failure; a chunk is whole or not there."""
+    failed = applied.where(F.col("error") != "").select(chunk_col).distinct()
+    good = applied.where(F.col("error").isNull()).drop("error", "rows_in")
+    return good.join(failed, chunk_col, "left_anti").select(good.columns)

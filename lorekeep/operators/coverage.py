@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import coverage_band, percent
 from .updates import merge_maps_last_wins
 
+# Percents from which a report is good, and fair.
 THRESHOLD = 90.0
 WARN = 80.0
 

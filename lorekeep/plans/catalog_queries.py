@@ -73,11 +73,9 @@ SELECTION_SQL = """
 
 def _resolved(t):
     defaults, species, given = _selection(t)
-    by_species = catalog.resolve_selection(defaults, species, None).withColumn(
-        "pos", F.col("pos.species_pos").cast("bigint") * 1_000_000_000 + F.col("pos.default_pos"))
     modes = {
-        "assemblies": catalog.resolve_selection(defaults, None, given),
-        "species": by_species,
+        "assemblies": catalog.resolve_selection(defaults, species.limit(0), given),
+        "species": catalog.resolve_selection(defaults, species, None),
         "both": catalog.resolve_selection(defaults, species, given),
     }
     out = None

@@ -24,7 +24,7 @@ CORPUS = T.StructType(
      T.StructField("domain", _S)]
 )
 
-SYNC_LOG = _struct(file=_S, status=_S, updated=_L, new=_L, synced_at=_TS, batch_id=_L)
+SYNC_LOG = _struct(file=_S, status=_S, updated=_L, new=_L, synced_at=_TS, batch_id=_L, batch=_S)
 
 REGISTRY_ENTRY = _struct(
     name=_S, organism=_S, assembly=_S, annotation=_S, path=_S,

@@ -74,9 +74,11 @@ def write_chunks(chunked: DataFrame, path: str, key: str = "pmid") -> None:
     replace_partitions(chunk_rows(chunked, key).drop("idx"), path, "chunk")
 
 
-def commit_sync_log(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Log rows of one batch. Committing the same batch again replaces them."""
-    logged = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
-        *[F.col(f.name).cast(f.dataType) for f in schemas.SYNC_LOG]
-    )
-    replace_partitions(logged, path, "batch_id")
+def commit_sync_log(rows: DataFrame, path: str, batch_id: int, run_id: str = "run") -> None:
+    """Log rows of one batch of one run. Committing the same batch again replaces them.
+
+    A run is what shares a checkpoint; batch 0 of a new one never touches an old one's rows.
+    """
+    logged = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn(
+        "batch", F.lit(f"{run_id}-{batch_id}")).select(*[F.col(f.name).cast(f.dataType) for f in schemas.SYNC_LOG])
+    replace_partitions(logged, path, "batch")

@@ -22,7 +22,9 @@ _LOOSE_END = r"</PubmedArticle\s+>"
 # not well formed, though the check below would let them pass.
 _ILLEGAL = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)|[\uFFFE\uFFFF]"
 # Attributes of a start tag; their values may hold a closing bracket.
-_ATTRS = r"""(?:\s+[^\s<>=/"']+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
+_ATTRS = r"""(?:\s+[^\s<>=/"']+\s*=\s*(?:"[^"]*"|'[^']*'))*+\s*"""
+# A character for private use, which stands for a missing text.
+_MARK = "\uE000"
 _ASIDES = r"(?s)<!--.*?-->|<\?.*?\?>"
 _GUARD = T.StructType(
     [T.StructField("b", T.StringType()), T.StructField("_corrupt_record", T.StringType())]
@@ -90,12 +92,12 @@ def _text(name: str) -> str:
 
 def _child_text(parent: str, name: str) -> str:
     """The same for the first child ``name`` of a ``parent``."""
-    return rf"<{parent}{_ATTRS}>(?:[^<]*{_leaf(name)})*[^<]*{_text(name)}"
+    return rf"<{parent}{_ATTRS}>(?:[^<]*{_leaf(name)})*+[^<]*{_text(name)}"
 
 
 def _nested(parent: str) -> str:
     """A ``parent`` with a child that has children, which the pattern above cannot see through."""
-    return rf"<{parent}{_ATTRS}>(?:[^<]*{_leaf()})*[^<]*<[^\s<>/]+{_ATTRS}>[^<]*<[^/]"
+    return rf"<{parent}{_ATTRS}>(?:[^<]*{_leaf()})*+[^<]*<[^\s<>/]+{_ATTRS}>[^<]*<[^/]"
 
 
 def _unescape(text: Column) -> Column:
@@ -129,10 +131,21 @@ def article_by_pattern(x: Column) -> Column:
         F.when(x.rlike(r"<ArticleTitle[\s/>]"), first(_text("ArticleTitle"))).otherwise("").alias("title"),
         _unescape(join_text(abstract)).alias("abstract"),
         F.when(x.rlike(year), first(year)).otherwise("").alias("year"),
-        F.transform(F.filter(mesh, lambda m: m != ""), _unescape).alias("mesh_terms"),
+        F.transform(mesh, lambda m: F.nullif(_unescape(m), F.lit(""))).alias("mesh_terms"),
     )
 
 
+def _descriptors(x: Column) -> Column:
+    """The text of each heading's descriptor, null where it does not begin with text.
+
+    ``xpath`` lists text nodes only, so a mark is put where a text is missing.
+    """
+    marked = F.regexp_replace(x, rf"<DescriptorName{_ATTRS}/>", f"<DescriptorName>{_MARK}</DescriptorName>")
+    marked = F.regexp_replace(marked, rf"(<DescriptorName{_ATTRS}>)(?=<)", f"$1{_MARK}")
+    texts = F.xpath(marked, F.lit("//MeshHeading/DescriptorName[1]/node()[1][self::text()]"))
+    return F.transform(texts, lambda t: F.nullif(F.replace(t, F.lit(_MARK), F.lit("")), F.lit("")))
+
+
 def article_by_xpath(x: Column) -> Column:
     """The article in any well-formed record. ``xpath`` parses the record anew for
     every field, so this is for the records the patterns cannot read.
@@ -152,7 +165,7 @@ def article_by_xpath(x: Column) -> Column:
         F.when(exists("//ArticleTitle"), first("//ArticleTitle")).otherwise("").alias("title"),
         join_text(F.xpath(x, F.lit("//AbstractText/node()[1][self::text()]"))).alias("abstract"),
         F.when(exists("//PubDate/Year"), first("//PubDate/Year")).otherwise("").alias("year"),
-        F.xpath(x, F.lit("//MeshHeading/DescriptorName[1]/node()[1][self::text()]")).alias("mesh_terms"),
+        _descriptors(x).alias("mesh_terms"),
     )
 
 
@@ -247,13 +260,14 @@ def read_sync_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sync_state(log: DataFrame) -> DataFrame:
-    """The run state as one row, with the defaults of a first run."""
+    """The run state as one row, with the defaults of a first run; ``files`` names what was processed."""
     return log.agg(
         F.max(F.when(F.col("status") == "ok", F.col("file"))).alias("last_file"),
         F.max("synced_at").alias("last_sync"),
         F.coalesce(F.sum("updated"), F.lit(0)).alias("total_updated"),
         F.coalesce(F.sum("new"), F.lit(0)).alias("total_new"),
         F.count(F.lit(1)).alias("files_processed"),
+        F.array_sort(F.collect_set("file")).alias("files"),
     )
 
 

@@ -70,7 +70,9 @@ def read_package_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_listing_status(pages: DataFrame) -> DataFrame:
-    rows = F.from_json("text", "array<struct<name string>>")
+    """Per page (page, text) ``ok`` if it is an array of packages, else ``failed``."""
+    # Spark reads a lone object as an array of one, so the bracket is looked for as well.
+    rows = F.when(F.startswith(F.trim("text", F.lit(" \n\r\t")), F.lit("[")), F.from_json("text", "array<struct<name string>>"))
     return pages.select("page", F.when(rows.isNull(), "failed").otherwise("ok").alias("listing_status"))
 
 

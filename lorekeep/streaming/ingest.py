@@ -22,7 +22,7 @@ TALLY = T.StructType([
 
 def apply_batch(
     batch: DataFrame, batch_id: int, corpus_path: str, log_path: str, staging: str,
-    mode: str = "update_only", new_domain: str | None = None,
+    mode: str = "update_only", new_domain: str | None = None, run_id: str = "run",
 ) -> None:
     """Apply one batch: tally, last writer wins, swap, then log.
 
@@ -30,10 +30,10 @@ def apply_batch(
     are parsed here. Safe to repeat: the rows are staged first, so the feed is
     parsed once. The tally is staged before the corpus changes, and a repeated
     batch reads it back instead of counting against the corpus it has already
-    changed. A row written by a later feed row is never replaced by an earlier one.
+    changed. Staging and log are kept by run and batch. A row written by a later feed row is never replaced by an earlier one.
     """
     spark = batch.sparkSession
-    here = f"{staging.rstrip('/')}/batch={batch_id}"
+    here = f"{staging.rstrip('/')}/run={run_id}/batch={batch_id}"
     if "value" in batch.columns:
         pieces = number_pieces(batch)
         status = stage(feed_status(pieces), f"{here}/status")
@@ -56,7 +56,7 @@ def apply_batch(
         F.col("feed_file").alias("file"), "status", F.coalesce("updated", F.lit(0)).alias("updated"),
         F.coalesce("new", F.lit(0)).alias("new"), F.current_timestamp().alias("synced_at"),
     )
-    commit_sync_log(logged, log_path, batch_id)
+    commit_sync_log(logged, log_path, batch_id, run_id)
 
 
 def _staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -70,6 +70,12 @@ def _staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame |
     return spark.read.schema(schema).parquet(path)
 
 
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the stream keeps in its checkpoint: a new checkpoint is a new run."""
+    found = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True)
+    return found.select(F.get_json_object("value", "$.id")).first()[0]
+
+
 def ingest(
     source: DataFrame, corpus_path: str, log_path: str, staging: str, checkpoint: str,
     mode: str = "update_only", new_domain: str | None = None,
@@ -79,7 +85,8 @@ def ingest(
     ``source`` is a stream of feed pieces or of feed rows.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, corpus_path, log_path, staging, mode, new_domain)
+        run_id = _run_id(batch.sparkSession, checkpoint)
+        apply_batch(batch, batch_id, corpus_path, log_path, staging, mode, new_domain, run_id)
 
     return (
         source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -10,7 +10,7 @@ from tests.check_oracles import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 STREAMS = {"s1_feed_ingest", "s2_run_tracker"}
-WRITES = {"q05c_corpus_rewrite"} | STREAMS
+WRITES = {"q05c_corpus_rewrite"} | STREAMS | {n for n in QUERIES if n.startswith("r")}
 
 
 @pytest.fixture(scope="module")
