@@ -152,4 +152,21 @@ def test_json_corpus(spark, tmp_path, rows):
 
 def test_state_defaults(spark, tmp_path):
     state = A.sync_state(A.read_sync_log(spark, str(tmp_path / "none"))).first()
-    assert tuple(state) == (None, None, 0, 0, 0)
+    assert tuple(state) == (None, None, 0, 0, 0, [])
+
+
+def test_records_with_very_many_children(spark, tmp_path):
+    qualifiers = "".join(f"<QualifierName UI='Q{i}'>q{i}</QualifierName>" for i in range(10_000))
+    heading = f"<MeshHeadingList><MeshHeading><DescriptorName>first</DescriptorName>{qualifiers}</MeshHeading></MeshHeadingList>"
+    late = f"<MeshHeadingList><MeshHeading>{qualifiers}<DescriptorName>last</DescriptorName></MeshHeading></MeshHeadingList>"
+    write(tmp_path, "u1.xml.gz", feed(record("1", extra=heading), record("2", extra=late), record("3", extra=heading + "<!-- c -->")))
+    got = {r[1]: r[5] for r in read(spark, tmp_path)}
+    assert got == {"1": ["m", "first"], "2": ["m", "last"], "3": ["m", "first"]}
+
+
+def test_empty_descriptors_stay_as_null(spark, tmp_path):
+    empty = "<MeshHeadingList><MeshHeading><DescriptorName UI='D'/></MeshHeading><MeshHeading><DescriptorName></DescriptorName></MeshHeading>" \
+        "<MeshHeading><Other>x</Other></MeshHeading></MeshHeadingList>"
+    write(tmp_path, "u1.xml.gz", feed(record("1", mesh=("a",), extra=empty), record("2", mesh=("", "b"), extra="<!-- c -->" + empty)))
+    got = {r[1]: r[5] for r in read(spark, tmp_path)}
+    assert got == {"1": ["a", None, None], "2": [None, "b", None, None]}

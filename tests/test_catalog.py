@@ -106,3 +106,27 @@ def test_chromosome_grid(spark):
     grid = catalog.chromosome_files(spark.range(2), (".vcf", ".tbi"))
     assert grid.count() == 2 * 24 * 2
     assert {r.chrom for r in grid.collect()} == {str(i) for i in range(1, 23)} | {"X", "Y"}
+
+
+def test_empty_lists_count_as_absent(spark):
+    defaults = spark.createDataFrame([("s", "a", 0), ("s", "b", 1)], "species string, assembly string, pos int")
+    species = spark.createDataFrame([(0, "s")], "pos int, species string")
+    given = spark.createDataFrame([(0, "z"), (1, "a")], "pos int, assembly string")
+    names = lambda df: [r.assembly for r in df.orderBy("pos").collect()]
+    assert names(catalog.resolve_selection(defaults, species.limit(0), given)) == ["z", "a"]
+    assert names(catalog.resolve_selection(defaults, species, given.limit(0))) == ["a", "b"]
+    assert names(catalog.resolve_selection(defaults, species, given)) == ["a"]
+    assert names(catalog.resolve_selection(defaults, species.limit(0), given.limit(0))) == []
+    assert catalog.resolve_selection(defaults, species).dtypes[0] == ("pos", "bigint")
+
+
+def test_pages_of_any_name(spark, tmp_path, rows):
+    from lorekeep.sources import catalogs
+
+    (tmp_path / "_p2.json").write_text('[{"name": "x", "visibility": "public"}]')
+    (tmp_path / "p3.json").write_text('{"message": "later"}')
+    assert rows(catalogs.read_package_pages(spark, str(tmp_path)).select("name")) == [("x",)]
+    assert rows(catalogs.listing_status(spark, str(tmp_path))) == [("_p2.json", "ok"), ("p3.json", "failed")]
+    (tmp_path / "v" / "pkg").mkdir(parents=True)
+    (tmp_path / "v" / "pkg" / "_1.json").write_text('[{"metadata":{"container":{"tags":["a","a"]}}},{"metadata":{}}]')
+    assert rows(catalogs.read_version_tags(spark, str(tmp_path / "v"))) == [("pkg", "a"), ("pkg", "a")]

@@ -236,3 +236,20 @@ def test_report_rows(spark, tmp_path):
 
     write_rows(spark.createDataFrame([("r", 1)], "repo string, number int"), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"repo":"r","number":1}']
+
+
+def test_logs_of_one_name_are_two_logs(spark, tmp_path):
+    for folder in ("a", "c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "b.log").write_text("one\ntwo\n")
+    lines = reports.read_build_log(spark, str(tmp_path / "*"))
+    assert sorted(r.line_no for r in lines.collect()) == [1, 1, 2, 2] and {r.log for r in lines.collect()} == {"b.log"}
+
+
+def test_label_colours_and_unpushed(spark, tmp_path, rows):
+    missing = spark.createDataFrame([("r", "bug"), ("r", "odd")], "repo string, label string")
+    assert rows(issues.label_plan(missing, {"bug": "ff0000"})) == [("r", "bug", "ff0000"), ("r", "odd", "ededed")]
+    (tmp_path / "u.json").write_text('{"repo":"a","unpushed":3}\n{"repo":"b","unpushed":"?"}\nnot json\n')
+    assert rows(reports.read_unpushed(spark, str(tmp_path))) == [("a", 3), ("b", 0)]
+    (tmp_path / "s.json").write_text('{"repo":"a","branch":null,"line":"?? f"}\n')
+    assert rows(reports.read_status_lines(spark, str(tmp_path / "s.json"))) == [("a", None, "?? f")]

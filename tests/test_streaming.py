@@ -56,6 +56,20 @@ def test_feed_ingest_step_by_step(spark, tmp_path, rows):
     assert stored(spark, home["corpus"], rows) == [("a", "1", "v2"), ("b", "1", "old"), ("b", "2", "w"), ("c", "3", "fresh")]
     state = articles.sync_state(articles.read_sync_log(spark, home["log"])).first()
     assert (state.last_file, state.total_updated, state.total_new, state.files_processed) == ("u1.xml.gz", 5, 1, 2)
+    assert state.files == ["u0.xml.gz", "u1.xml.gz"]
+
+
+def test_new_checkpoint_keeps_the_old_log(spark, tmp_path, rows):
+    home = {k: str(tmp_path / k) for k in ("corpus", "log", "staging")}
+    start_corpus(spark, home["corpus"])
+    for name, hits in (("u1", ("1", "9")), ("u2", ("1", "2", "3"))):
+        inbox = tmp_path / name
+        inbox.mkdir()
+        drop(inbox, f"{name}.xml.gz", *[record(h, abstracts=("x",)) for h in hits])
+        ingest(articles.stream_feed_pieces(spark, str(inbox)), home["corpus"], home["log"], home["staging"],
+               str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+    log = articles.read_sync_log(spark, home["log"]).select("file", "status", "new")
+    assert rows(log) == [("u1.xml.gz", "ok", 1), ("u2.xml.gz", "ok", 0)]
 
 
 def test_replayed_batch_gives_the_same(spark, tmp_path, rows):

@@ -150,3 +150,10 @@ def test_work_dir_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = work_dir(spark, "x"), work_dir(spark, "x")
     assert first.startswith(shared) and first != second
+
+
+def test_a_failed_chunk_gives_no_rows(spark, rows):
+    applied = spark.createDataFrame(
+        [("a", 2, None, 1), ("a", 2, "RuntimeError: x", None), ("b", 1, None, 7), ("c", 1, "", None)],
+        "chunk string, rows_in long, error string, id long")
+    assert rows(chunks.chunk_results(applied)) == [("b", 7)]
