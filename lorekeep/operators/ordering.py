@@ -20,6 +20,7 @@ from ..session import settle
 ROWS_PER_RANGE = 100_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 20
+BROADCAST_RANGES = 500_000
 
 # Above this, Spark does not cut groups before the shuffle by itself.
 GROUP_LIMIT_PUSHDOWN = 1000
@@ -191,9 +192,33 @@ def dense_index(
     group_by: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Add a contiguous index from 0 over ``order_by`` (per group with ``group_by``)."""
-    numbered = running_sum(df, order_by, {name: F.lit(1)}, group_by, rows_per_range)
-    return numbered.withColumn(name, F.col(name) - 1)
+    """Add a contiguous index from 0 over ``order_by`` (per group with ``group_by``).
+
+    Rows are shuffled once, into as many ranges of the order as they fill, sorted there and
+    settled with their place; so a task that runs again never deals a tie anew. What
+    lies before a range follows from one count per range, and where a group begins from its least index.
+    """
+    group_by, order_by = list(group_by), list(order_by)
+    rows = df.count()
+    ranges = math.ceil(rows / rows_per_range)
+    if ranges <= 1:
+        own = Window.partitionBy(*(group_by or [F.lit(0)])).orderBy(*order_by)
+        return df.withColumn(name, (F.row_number().over(own) - 1).cast("bigint"))
+    full_order = group_by + [c for c in order_by if c not in group_by]
+    placed = df.repartitionByRange(ranges, *full_order).sortWithinPartitions(*full_order)
+    # The id is the number of the partition, and behind 33 bits that of the row in it.
+    staged = settle(placed.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    staged = staged.withColumn("_range", F.shiftright("_id", 33))
+    counts = staged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_range", F.coalesce(F.sum("_rows").over(_before([])), F.lit(0)).alias("_rows_before"))
+    # 16 bytes a range; beyond that many Spark joins as it sees fit.
+    before = F.broadcast(before) if ranges <= BROADCAST_RANGES else before
+    at = F.col("_rows_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    out = staged.join(before, "_range").withColumn(name, at)
+    if group_by:
+        first = out.groupBy(*group_by).agg(F.min(name).alias("_first"))
+        out = _join_null_safe(out, first, group_by).withColumn(name, F.col(name) - F.col("_first"))
+    return out.select(*[c for c in df.columns if c != name], name)
 
 
 def grouped_parts(
