@@ -22,9 +22,6 @@ MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 20
 BROADCAST_RANGES = 500_000
 
-# Above this, Spark does not cut groups before the shuffle by itself.
-GROUP_LIMIT_PUSHDOWN = 1000
-
 
 def keys_of(df: DataFrame, *columns: str) -> DataFrame:
     """Each key once: the side of a semi or anti join that is only asked for presence.
@@ -252,13 +249,14 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows of every group, numbered from 1.
 
-    Spark cuts each group to ``n`` rows in every map task before the shuffle, but
-    only for small ``n``. For a larger one a salted pass does the same cut: a row
-    among the first n of its group is among the first n of its salt bucket.
+    A row among the first n of its group is among the first n of its salt bucket, so the
+    buckets are cut first. A salt takes the rows of some input partitions, and there are
+    about as many salts as partitions in a salt: with T tasks, the last one of a group that
+    fills a third of the input sees n times the square root of T rows, not n times T.
     """
-    if n > GROUP_LIMIT_PUSHDOWN:
-        hashed = [c for c, t in df.dtypes if "map<" not in t]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(64)))
+    salts = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if salts > 1:
+        salted = df.withColumn("_salt", F.spark_partition_id() % salts)
         near = Window.partitionBy(*group_by, "_salt").orderBy(*order_by)
         df = (
             salted.withColumn("_near", F.row_number().over(near)).where(F.col("_near") <= n)
