@@ -96,11 +96,19 @@ def mix_sources(
     added one are replaced.
     """
     clash = ["mix_size", "mix_salt", "mix_source_size", "mix_target", "mix_copy", "mix_shard", "mix_position"]
-    return mix_sized(sized(docs.drop(*clash), seed), seed, block_words, shard_words, most).drop("mix_salt")
+    rows = sized(docs.drop(*clash), seed)
+    same = Window.partitionBy("mix_salt").orderBy("doc_id")
+    slim = settle(rows.select("doc_id", "source", "mix_size", "mix_salt"), "mix-rows")
+    picks = mix_sized(slim.withColumn("_nth", F.row_number().over(same)), seed, block_words, shard_words, most).select(
+        F.col("mix_salt").alias("_salt"), F.col("_nth").alias("_pick"), *clash[2:])
+    # Texts travel once, to be numbered among equal rows; a range as condition keeps them where they then are.
+    whole = rows.withColumn("_nth", F.row_number().over(same))
+    return whole.join(picks, F.expr("mix_salt = _salt and _nth >= _pick and _nth <= _pick")).drop(
+        "mix_salt", "_nth", "_salt", "_pick")
 
 
 def mix_sized(rows: DataFrame, seed: int, block_words: int, shard_words: int, most: int) -> DataFrame:
-    """The mix of rows that ``sized`` has prepared; it never looks at texts."""
+    """The mix of rows that ``sized`` has prepared and that have no texts any more."""
     slim = settle(rows.select("source", "mix_size", "mix_salt"), "mix-sizes")
     targets = source_targets(slim.groupBy("source").agg(F.sum("mix_size").alias("source_size")), most)
     targets = settle(targets.withColumn(
