@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import image_tag, last_passed_count, platform_flag
-from ..operators import builds, coverage, issues, ordering, runs, status
+from ..operators import builds, coverage, issues, runs, status
 from ..sinks.reports import coverage_documents
 from ..sources.reports import parse_build_log, parse_snapshots
 from . import views

@@ -1,8 +1,6 @@
 import gzip
 import json
 
-from pyspark.sql import functions as F
-
 from lorekeep import schemas
 from lorekeep.operators import runs, updates
 from lorekeep.sinks.corpus import finish_swap, stage
