@@ -69,6 +69,27 @@ def gram_hashes(flat: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def least_places(grams: np.ndarray, width: int, stretch: int = 1 << 22) -> np.ndarray:
+    """The place of the leftmost least of each ``width`` neighbouring grams.
+
+    A number holds the upper 40 bits of a hash and a place in 24 bits, so places are
+    counted from the begin of a stretch of at most 2 ** 24 grams; stretches overlap by ``width - 1``.
+    """
+    many = len(grams) - width + 1
+    out, step = np.empty(many, np.int64), stretch - width + 1
+    for at in range(0, many, step):
+        part = grams[at:at + stretch]
+        least, have = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * have <= width:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if have < width:
+            rest = width - have
+            least = np.minimum(least[:-rest], least[rest:])
+        out[at:at + step] = (least & np.uint64((1 << 24) - 1)).astype(np.int64) + at
+    return out
+
+
 def segments(flat: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     """(row, first window, number of windows, anchor place, anchor hash) of each segment.
 
@@ -76,16 +97,8 @@ def segments(flat: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarra
     """
     if len(flat) < s.window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    grams, width = gram_hashes(flat, s.gram), s.window - s.gram + 1
-    key = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-    least, have = key, 1
-    while 2 * have <= width:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < width:
-        rest = width - have
-        least = np.minimum(least[:-rest], least[rest:])
-    anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    grams = gram_hashes(flat, s.gram)
+    anchor = least_places(grams, s.window - s.gram + 1)
     valid = np.zeros(len(anchor), bool)
     for a, b in zip(ends[:-1], ends[1:]):
         valid[a:max(a, b - s.window + 1)] = True

@@ -6,7 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from lorekeep.llm.suffix_dedup import SETTINGS, remove_repeats, repeats_digest, shared_windows
+from lorekeep.llm.suffix_dedup import SETTINGS, least_places, remove_repeats, repeats_digest, shared_windows
 
 from .data import documents, frame
 
@@ -71,3 +71,19 @@ def test_shared_windows_of_one_collection():
         for body, own in zip(bodies, got):
             assert own.tolist() == [k for k in range(len(body) - W + 1) if count[body[k:k + W]] > 1]
         assert len(got[0]) >= 61 and not len(got[-1])
+
+
+def test_a_repeat_beyond_16_mib_of_a_text(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    long, common = words((1 << 24) + 5_000), words(600)
+    rows = [(1, long + common + words(90), "", "", 0), (2, words(70) + common + words(40), "", "", 0)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats_digest(frame(spark, rows)).collect()}
+    assert got == {1: (600, 1), 2: (600, 1)}
+
+
+def test_places_do_not_depend_on_the_stretch():
+    grams = np.random.default_rng(4).integers(0, 40, 500, np.uint64) << np.uint64(24)
+    want = [k + int(np.argmin(grams[k:k + 9])) for k in range(492)]
+    for stretch in (9, 10, 50, 499, 500, 1 << 22):
+        assert least_places(grams, 9, stretch).tolist() == want
