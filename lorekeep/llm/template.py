@@ -25,10 +25,11 @@ from .common import slices
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video select option button".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas audio video select option button annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split())
+    "strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot "
+    "mover munder munderover mstyle mpadded mphantom menclose".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav "
@@ -90,11 +91,15 @@ class Parser:
     def __init__(self, page: str):
         self.roles: list[str] = []
         self.slots: list[Slot] = []
-        # An open element: tag, role, boilerplate, number of the article it lies in (0: none).
-        self.open: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+        # An open element: tag, role, number. By number: parent, whether its tag or role makes it
+        # boilerplate, whether it is a header, whether its class words do, whether it marks an article.
+        self.open: list[tuple[str, str, int]] = [("", "", 0)]
+        self.elements: list[tuple[int, bool, bool, bool, bool]] = [(0, False, False, False, False)]
+        self.holders: list[int] = []  # the element of each slot
         self.parts: list[str] = []
         self.articles = 0
         self._read(page)
+        self._judge()
 
     def _read(self, page: str) -> None:
         at, raw = 0, None
@@ -131,8 +136,9 @@ class Parser:
         text = " ".join(entities.unescape("".join(self.parts)).split()) if self.parts else ""
         self.parts = []
         if text:
-            _, role, boilerplate, article = self.open[-1]
-            self.slots.append(Slot(role, text, boilerplate, article))
+            _, role, number = self.open[-1]
+            self.slots.append(Slot(role, text, False, 0))
+            self.holders.append(number)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -143,7 +149,7 @@ class Parser:
             self._pop_until({"p"}, SCOPE["p"])
         if tag in SIBLING:
             self._pop_until(SIBLING[tag], SCOPE[tag])
-        _, path, boilerplate, article = self.open[-1]
+        _, path, parent = self.open[-1]
         label, words, roles = tag, set(), set()
         if attributes:
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
@@ -156,13 +162,49 @@ class Parser:
                 roles.add("alert")
         role = f"{path}/{label}"
         starts = tag in ARTICLE or "main" in roles or "article" in roles
-        boilerplate = boilerplate or tag in BOILERPLATE or bool(roles & ROLES) or (
-            tag == "header" and not article) or (not starts and tag != "body" and bool(words & MARKS))
-        if starts and not boilerplate and not article:
-            self.articles += 1
-            article = self.articles
+        self.elements.append((parent, tag in BOILERPLATE or bool(roles & ROLES), tag == "header",
+                              tag != "body" and bool(words & MARKS), starts))
         self.roles.append(role)
-        self.open.append((tag, role, boilerplate, article))
+        self.open.append((tag, role, len(self.elements) - 1))
+
+    def _judge(self) -> None:
+        """Say of each slot whether it is boilerplate and which article it lies in.
+
+        A class mark does not hold for an element around the page's article or, without one
+        outside of marks, around most of its text.
+        """
+        many = len(self.elements)
+        hard, marked, inside = [False] * many, [False] * many, [0] * many
+        for i, (parent, element, header, mark, starts) in enumerate(self.elements):
+            hard[i] = hard[parent] or element or (header and not inside[parent])
+            marked[i] = marked[parent] or mark
+            inside[i] = inside[parent] or (i if starts and not hard[i] else 0)
+        lifted: set[int] = set()
+        if any(marked) and not any(a == i and i and not marked[i] for i, a in enumerate(inside)):
+            mass, free = [0] * many, 0
+            for s, i in zip(self.slots, self.holders):
+                if not hard[i]:
+                    mass[i] += len(s.text)
+                    free += 0 if marked[i] else len(s.text)
+            for i in range(many - 1, 0, -1):
+                mass[self.elements[i][0]] += mass[i]
+            # The page's article: the fullest one without a mark of its own.
+            fullest = max((i for i, e in enumerate(self.elements) if e[4] and not e[3] and not hard[i]), key=lambda i: mass[i], default=0)
+            if fullest and mass[fullest] >= free:
+                while fullest:
+                    lifted.add(fullest)
+                    fullest = self.elements[fullest][0]
+            else:
+                lifted = {i for i in range(many) if 2 * mass[i] > mass[0]}
+        boilerplate, article = [False] * many, [0] * many
+        for i, (parent, element, header, mark, starts) in enumerate(self.elements):
+            boilerplate[i] = boilerplate[parent] or element or (header and not article[parent]) or (mark and i not in lifted)
+            article[i] = article[parent]
+            if starts and not boilerplate[i] and not article[i]:
+                self.articles += 1
+                article[i] = self.articles
+        for s, i in zip(self.slots, self.holders):
+            s.boilerplate, s.article = boilerplate[i], article[i]
 
     def _pop_until(self, tags: set[str], stop: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):

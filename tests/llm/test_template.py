@@ -43,3 +43,20 @@ def test_awkward_rows(spark):
     got = sorted(((r.page_id or 0, r.text) for r in extract_text(df, Settings(group_pages=1)).collect()))
     assert got == [(0, "x")] * 2 + [(1, "")] * 2 + [(2, "")] * 2 + [(4, "x")] * 2
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_class_marks_do_not_cover_the_article_or_most_of_the_text():
+    body = "<div class='ad'>buy</div><article><p>Own words</p></article>"
+    for wrap in ("<html class='has-cookie-banner'>%s</html>", "<div class='layout with-sidebar'>%s</div>", "<div id='page' class='no-comments'>%s</div>"):
+        assert one(wrap % body) == "Own words"
+    assert one("<div class='no-sidebar'><p>Long enough to be the text</p><div class='ad'>buy</div></div>") == "Long enough to be the text"
+    assert one("<article class='post no-comments'>Text of it</article><p>x</p>") == "Text of it"
+    assert one("<article>Short</article><div class='comments'><p>Comments that are longer</p></div>") == "Short"
+    assert one("<article>Own</article><article class='comment'>mine! mine! mine!</article><article class='related'>more</article>") == "Own"
+    assert one("<main>Own<article class='comment'>mine!</article></main>") == "Own"
+    assert one("<div><p>The text of the page</p></div><article class='comment'>mine!</article>") == "The text of the page"
+
+
+def test_math_and_object_text_stay():
+    assert one("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p>"
+               "<object data='a'><p>A chart</p></object></article>") == "Let x=1 be A chart"
