@@ -1,17 +1,19 @@
 """Main text of web pages by deducing the templates they share.
 
 Tokens of a page are its element roles (a tag with the path that leads to it) and its
-whole blocks of text. Tokens that occur equally often in the same pages of a host form
-an equivalence class; classes that are seen often enough and keep one order are the
-template. What lies between a page's template tokens are its slots; the article's are
-the text, those of menus, adverts and the like are not.
+whole blocks of text, in articles as well. Tokens that occur equally often in the same
+pages of a host form an equivalence class; classes that are seen often enough, keep one
+order and lie in the same slots of the class that all pages have are the template. What lies between a
+page's template tokens are its slots; the article's are the text, those of menus, adverts
+and the like are not.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import slices
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,14 +66,13 @@ class Settings:
     group_pages: int = 256
     #: A class is valid if it lies in this share of its group's pages, and its tokens keep one order.
     support: float = 0.5
-    #: A constant block needs this many pages.
+    #: A constant block needs this many pages of different content.
     least_pages: int = 4
+    #: Bytes of pages that deduce a template together; groups of larger pages hold fewer.
+    group_bytes: int = 64 << 20
 
 
 SETTINGS = Settings()
-#: Counted tokens that a task holds before it hands them on.
-HELD_TOKENS = 200_000
-_MASK = (1 << 64) - 1
 
 
 @dataclass
@@ -83,6 +83,8 @@ class Slot:
     text: str
     boilerplate: bool
     article: int
+    #: Elements that begin before it.
+    before: int = 0
 
 
 class Parser:
@@ -137,7 +139,7 @@ class Parser:
         self.parts = []
         if text:
             _, role, number = self.open[-1]
-            self.slots.append(Slot(role, text, False, 0))
+            self.slots.append(Slot(role, text, False, 0, len(self.roles)))
             self.holders.append(number)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -226,18 +228,16 @@ class Parser:
                 return
 
 
-def tokens_of(page: Parser) -> dict[int, tuple[int, int]]:
-    """Hash of each role, and of each block that could be constant: how often it occurs, and first where.
-
-    Blocks of an article are never taken for template, so they are no tokens.
-    """
-    out: dict[int, tuple[int, int]] = {}
-    blocks = (f"t{s.role}\0{s.text}" for s in page.slots if not s.article)
-    for at, name in enumerate([*("r" + r for r in page.roles), *blocks]):
-        key = token_hash(name)
-        n, first = out.get(key, (0, at))
-        out[key] = (n + 1, first)
-    return out
+def tokens_of(page: Parser) -> tuple[list[int], set[int]]:
+    """The hashes of a page's element roles and blocks of text, as they follow; and which are blocks."""
+    out, blocks, at = [], set(), 0
+    for s in page.slots:
+        out += [token_hash("r" + r) for r in page.roles[at:s.before]]
+        at = s.before
+        key = token_hash(f"t{s.role}\0{s.text}")
+        out.append(key)
+        blocks.add(key)
+    return out + [token_hash("r" + r) for r in page.roles[at:]], blocks
 
 
 def token_hash(name: str) -> int:
@@ -247,13 +247,13 @@ def token_hash(name: str) -> int:
 def main_text(page: Parser, template: frozenset[int]) -> str:
     """The article's slots of a page, joined.
 
-    If elements mark an article, its slots are those that no boilerplate element holds.
-    Otherwise they are the changing slots of the template's largest region: the
-    deepest element with most of the text that neither is boilerplate nor part of the template.
+    The changing slots are the blocks that neither are boilerplate nor part of the
+    template. If elements mark an article, its own are the text. Otherwise those of the
+    largest region are: the deepest element with most of the changing text.
     """
-    if page.articles:
-        return " ".join(s.text for s in page.slots if s.article and not s.boilerplate)
     free = [s for s in page.slots if not s.boilerplate and token_hash(f"t{s.role}\0{s.text}") not in template]
+    if page.articles:
+        return " ".join(s.text for s in free if s.article)
     total = sum(len(s.text) for s in free)
     mass: dict[str, int] = {}
     for s in free:
@@ -267,75 +267,92 @@ def main_text(page: Parser, template: frozenset[int]) -> str:
     return " ".join(s.text for s in free if s.role == region or s.role.startswith(region + "/") or not region)
 
 
-def deduce_templates(pages: DataFrame, s: Settings) -> DataFrame:
-    """(_host, _group, template): the tokens of valid classes of each group of pages."""
-    schema = "_host string, _group int, token long, pages long, vector long, times long, low long, high long"
-    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 6]
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = [(*k, v[0], v[1] - (1 << 63), *v[2:]) for k, v in held.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-
-        for batch in slices(batches, "html"):
-            for host, group, key, page in zip(*(batch.column(c).to_pylist() for c in ("_host", "_group", "_key", "html"))):
-                for token, (n, at) in tokens_of(Parser(page or "")).items():
-                    mark = xxhash.xxh3_64_intdigest(f"{key} {n}")
-                    own = held.get((host, group, token))
-                    if own is None:
-                        held[host, group, token] = [1, mark, n, at, at]
-                    else:
-                        own[:] = own[0] + 1, (own[1] + mark) & _MASK, own[2] + n, min(own[3], at), max(own[4], at)
-            if len(held) > HELD_TOKENS:
-                yield flush()
-        yield flush()
-
-    group = ["_host", "_group"]
-    tokens = pages.select(*group, "_key", "html").mapInArrow(run, schema)
-    # An occurrence vector is a sum over its pages of hashes of (page, count), so no list of pages is held.
-    seen = tokens.groupBy(*group, "token").agg(
-        F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"),
-        F.min("low").alias("low"), F.max("high").alias("high"))
-    sizes = pages.groupBy(*group).agg(F.count(F.lit(1)).alias("held"))
-    seen = seen.join(sizes, group).where((F.col("pages") >= s.support * F.col("held")) & (F.col("pages") >= F.least(F.lit(s.least_pages), "held")))
-    # One order: no token of a valid class moves by more than the class is long.
-    classes = seen.groupBy(*group, "vector").agg(
-        F.collect_list("token").alias("tokens"), F.count(F.lit(1)).alias("size"), F.max("high").alias("high"),
-        F.min("low").alias("low"), F.max(F.col("high") - F.col("low")).alias("spread"))
-    valid = classes.where("size >= 2 and spread <= high - low")
-    return valid.groupBy(*group).agg(F.flatten(F.collect_list("tokens")).alias("template"))
+def in_order(base: list[int], places: dict[int, int]) -> list[int]:
+    """The most tokens of ``base`` whose places ascend."""
+    tails, at, back = [], [], {}
+    for token in base:
+        i = bisect_left(tails, places[token])
+        back[token] = at[i - 1] if i else None
+        tails[i:i + 1], at[i:i + 1] = [places[token]], [token]
+    out, token = [], at[-1] if at else None
+    while token is not None:
+        out.append(token)
+        token = back[token]
+    return out[::-1]
+
+
+def deduce_template(pages: list[Parser], s: Settings) -> frozenset[int]:
+    """The tokens of the valid classes of a group of pages.
+
+    Pages with the same changing text (their article's, or all of it) are one page that
+    is copied, and count once. The root is the class of what stands once on all pages, as far
+    as it keeps one order. Other tokens are valid if they lie in the same slots of the root,
+    the gaps between two neighbours of it, on all their pages.
+    """
+    distinct: dict[str, Parser] = {}
+    for page in pages:
+        own = [x for x in page.slots if not x.boilerplate and (x.article or not page.articles)]
+        distinct.setdefault(" ".join(x.text for x in own), page)
+    read = [tokens_of(page) for page in distinct.values()]
+    places: list[dict[int, list[int]]] = []
+    for tokens, _ in read:
+        own: dict[int, list[int]] = {}
+        for at, token in enumerate(tokens):
+            own.setdefault(token, []).append(at)
+        places.append(own)
+    seen = Counter(token for own in places for token in own)
+    blocks = set().union(*(b for _, b in read)) if read else set()
+    in_article = {token_hash(f"t{x.role}\0{x.text}") for page in distinct.values() for x in page.slots if x.article}
+    outside = max(2, min(s.least_pages, len(read)))
+    least = {token: s.least_pages if token in in_article else outside for token in blocks}
+    frequent = {t for t, n in seen.items() if n >= s.support * len(read) and n >= least.get(t, outside)}
+    classes: dict[tuple, list[int]] = {}
+    for token in dict.fromkeys(t for tokens, _ in read for t in tokens if t in frequent):
+        vector = tuple((i, len(own[token])) for i, own in enumerate(places) if token in own)
+        classes.setdefault(vector, []).append(token)
+    root: list[int] = []
+    loose: list[int] = []
+    for vector, tokens in sorted(classes.items(), key=lambda x: (-len(x[0]), sum(n for _, n in x[0]), x[1])):
+        if not root and len(vector) == len(read) and all(n == 1 for _, n in vector):
+            root = sorted(tokens, key=lambda x: places[0][x][0])
+            for own in places[1:]:
+                root = in_order(root, {x: own[x][0] for x in root})
+            loose += [x for x in tokens if x not in set(root)]
+        else:
+            loose += tokens
+    valid = set(root)
+    edges = [[own[x][0] for x in root] for own in places]
+    for token in loose:
+        lies = {tuple(bisect_left(edge, at) for at in own[token]) for own, edge in zip(places, edges) if token in own}
+        if len(lies) == 1 or len(set().union(*lies)) == 1:
+            valid.add(token)
+    return frozenset(valid & blocks)
 
 
 def extract_text(pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """``pages`` (with url and html) with ``text``, the main text of each whole page.
 
     Pages of a host deduce their template in groups of bounded size, by a hash of the
-    page. Null or empty pages have an empty text; a page without a host or alone on its
-    host is judged by its elements only. Repeated rows are pages of their own. Other columns pass
+    page; all pages of a group meet in one task, which reads each once. Null or empty pages have
+    an empty text; a page without a host or alone on its host is judged by its elements only. Repeated rows are pages of their own. Other columns pass
     through; one named ``text`` is replaced.
     """
     names = [c for c in pages.columns if c != "text"]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(*names).withColumn("_host", host).withColumn("_key", F.xxhash64("url", "html"))
-    hosts = rows.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / s.group_pages).cast("int").alias("_groups"))
+    hosts = rows.groupBy("_host").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / s.group_pages), F.ceil(F.sum(F.octet_length("html")) / s.group_bytes)).cast("int").alias("_groups"))
     plan = settle(hosts.where("_groups > 1"), "large-hosts")
     rows = rows.join(plan, "_host", "left").withColumn(
-        "_group", F.pmod("_key", F.coalesce("_groups", F.lit(1))).cast("int")).drop("_groups")
-    templates = settle(deduce_templates(rows, s), "templates")
-    joined = rows.join(templates, ["_host", "_group"], "left")
+        "_group", F.pmod("_key", F.coalesce("_groups", F.lit(1))).cast("int")).drop("_groups", "_key")
     schema = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            texts = [main_text(Parser(page or ""), frozenset(found or ())) for page, found in zip(
-                batch.column("html").to_pylist(), batch.column("template").to_pylist())]
-            yield batch.select(names).append_column("text", pa.array(texts, pa.string()))
+    def run(table: pa.Table) -> pa.Table:
+        read = [Parser(page or "") for page in table.column("html").to_pylist()]
+        template = deduce_template(read, s) if table.column("_host")[0].as_py() else frozenset()
+        return table.select(names).append_column("text", pa.array([main_text(page, template) for page in read], pa.string()))
 
-    return joined.mapInArrow(run, schema)
+    return rows.groupBy("_host", "_group").applyInArrow(run, schema)
 
 
 def text_digest(pages: DataFrame) -> DataFrame:

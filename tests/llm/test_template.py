@@ -60,3 +60,25 @@ def test_class_marks_do_not_cover_the_article_or_most_of_the_text():
 def test_math_and_object_text_stay():
     assert one("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p>"
                "<object data='a'><p>A chart</p></object></article>") == "Let x=1 be A chart"
+
+
+def texts(spark, rows, settings=Settings()):
+    return {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, SCHEMA), settings).collect()}
+
+
+def test_constant_blocks_inside_articles_go(spark):
+    """A notice on all pages, a share line on most, and a line that repeats on too few."""
+    page = "<body><article><h1>Head %d</h1><p>Sign up for our letter</p><p>Own words %d</p>%s%s</article><p>end</p></body>"
+    rows = [(i, f"http://h/{i}", page % (i, i, "<p>Tell your friends</p>" if i % 3 else "", "<p>As said</p>" if i < 3 else ""))
+            for i in range(12)]
+    assert texts(spark, rows) == {i: f"Head {i} Own words {i}" + (" As said" if i < 3 else "") for i in range(12)}
+
+
+def test_copies_count_once_and_few_pages_lose_nothing(spark):
+    page = "<body><nav>n%d</nav><article><p>%s</p><p>Line</p></article></body>"
+    rows = [(i, f"http://h/{i}", page % (i, "Same on all")) for i in range(9)]
+    rows += [(10 + i, f"http://h/x{i}", page % (i, f"Other {i}")) for i in range(2)]
+    rows += [(20 + i, url, page % (i, f"No host {i}")) for i, url in enumerate([None, "", "x", "y", "z"])]
+    want = {i: "Same on all Line" for i in range(9)} | {10 + i: f"Other {i} Line" for i in range(2)}
+    assert texts(spark, rows) == want | {20 + i: f"No host {i} Line" for i in range(5)}
+    assert texts(spark, [(1, "http://one/", "<body><div><p>Alone on its host</p></div></body>")]) == {1: "Alone on its host"}
