@@ -28,7 +28,7 @@ END_ID = 1
 GROUP_TOKENS = 4_000_000
 GROUP_ROWS = 100_000
 #: Branches that the search may try in a group before it keeps its incumbent.
-NODES = 2_000
+NODES = 20_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_000_000
 

@@ -83,6 +83,16 @@ def test_bin_completion_is_best_on_small_sets():
         assert len(got) == least_bins(lengths, 100) <= len(best_fit(Counter(lengths), 100))
 
 
+def test_search_has_the_nodes_for_lengths_that_best_fit_packs_badly():
+    lengths = [
+        49, 45, 45, 44, 44, 44, 42, 42, 42, 40, 39, 39, 38, 37, 37, 37, 37, 36, 34, 34,
+        34, 34, 34, 31, 30, 30, 30, 30, 30, 29, 28, 27, 27, 27, 26, 26, 26, 26, 25, 24,
+    ]
+    got = complete_bins(Counter(lengths), 100)
+    assert sorted(itertools.chain(*got), reverse=True) == lengths and all(sum(b) <= 100 for b in got)
+    assert len(got) == 14
+
+
 def test_fillings_are_tight_and_use_what_there_is():
     counts = Counter([50, 30, 30, 20, 7])
     assert fillings(sorted(counts, reverse=True), counts, 50) == [(50,)]
