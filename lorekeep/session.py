@@ -42,14 +42,25 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession) -> set[str]:
+    """The folders below ``work_root`` that are there now."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {str(f.getPath()) for f in store.listStatus(root)} if store.exists(root) else set()
+
+
 def release(spark: SparkSession) -> None:
     """Remove everything this application has settled.
 
     To be called when the results that read the settled tables have been written.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(work_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    remove(spark, work_root(spark))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
