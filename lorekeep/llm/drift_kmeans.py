@@ -22,13 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import remove, work_dir
 
 #: Below this size of a component, squared distances are whole numbers that doubles hold exactly.
 EXACT = 1 << 22
 LONG = (1 << 63) - 1
-STATE = "cluster int, upper double, lower double, scans int"
+_STATE = [T.StructField("cluster", T.IntegerType()), T.StructField("upper", T.DoubleType()),
+          T.StructField("lower", T.DoubleType()), T.StructField("scans", T.IntegerType())]
+_LAST = [T.StructField("cluster", T.IntegerType()), T.StructField("scans", T.IntegerType()),
+         T.StructField("distance", T.LongType()), T.StructField("full", T.StringType())]
 
 
 @dataclass(frozen=True)
@@ -98,6 +102,11 @@ def fall_within(own: np.ndarray, radius: float, old: np.ndarray, new: np.ndarray
     return float(min(way, np.max(np.maximum(0.0, top) / np.maximum(way, away(t_old) + away(t_new)))))
 
 
+def doubled(v: int) -> float:
+    """As a double; infinite beyond, which leaves bounds open and so is measured exactly."""
+    return float(v) if abs(v) < 1 << 1000 else math.inf if v > 0 else -math.inf
+
+
 @dataclass(frozen=True)
 class Move:
     """What the bounds need to know of a round: per cluster its drift, how far lower bounds
@@ -111,12 +120,12 @@ class Move:
 
 
 def moved(old: list[list[int]], new: list[list[int]], radii: list[float], strips: int) -> Move:
-    a, b = np.array(old, np.float64), np.array(new, np.float64)
+    a, b = (np.array([[doubled(v) for v in row] for row in c]) for c in (old, new))
     k = len(a)
     loosen = np.zeros(k)
     for i in range(k):
         falls = [fall_within(a[i], radii[i], a[j], b[j], strips) for j in range(k) if j != i]
-        loosen[i] = max(falls, default=0.0)
+        loosen[i] = np.max(falls, initial=0.0)
     apart = np.sqrt(((b[:, None] - b[None]) ** 2).sum(-1)) + np.diag(np.full(k, math.inf))
     slack = 1e-9 * (1 + float(np.abs(np.stack([a, b])).max()) * math.sqrt(a.shape[1]))
     return Move(np.linalg.norm(b - a, axis=1), loosen, apart.min(1) / 2, slack)
@@ -217,7 +226,7 @@ def cluster_vectors(
     first = hashed.where("h IS NOT NULL").orderBy("h", "e").limit(s.clusters).collect()
     centroids = [[int(v) for v in whole(np.array([r["e"]], np.float64), s.scale)[0]] for r in first]
     place = [c.lower() for c in df.columns].index(vector.lower())
-    kind = rows.schema["row"].dataType.simpleString()
+    kind = rows.schema["row"]
 
     def step(frame: DataFrame, centroids: list[list[int]], move: Move | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +238,7 @@ def cluster_vectors(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *map(pa.array, out)], names=["row", "cluster", "upper", "lower", "scans"])
 
-        return frame.mapInArrow(run, f"row {kind}, {STATE}")
+        return frame.mapInArrow(run, T.StructType([kind, *_STATE]))
 
     def added(batch: pa.RecordBatch):
         x, cluster, upper = vectors(batch, place, s.dims), batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -253,7 +262,7 @@ def cluster_vectors(
                     [batch.column(0), batch.column(1), batch.column(4), fits, full],
                     names=["row", "cluster", "scans", "distance", "full"])
 
-        return frame.mapInArrow(run, f"row {kind}, cluster int, scans int, distance long, full string")
+        return frame.mapInArrow(run, T.StructType([kind, *_LAST]))
 
     held = [c for c in df.columns if c.lower() not in ("cluster", "distance", "scans")]
     shown = [F.col(f"row.`{c}`").alias(c) for c in held] + ["cluster", "distance", "scans"]

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .drift_kmeans import CLUSTER_SQL, cluster_digest
 from .hnsw import link_vectors
 from .imatch import edited_digest
 from .license_scan import license_digest
 from .mixing import mix_digest
 from .odd_sketch import link_documents
 from .packing import pack_documents
+from .slot_shards import shard_digest
+from .spelling_variants import variants_digest
 from .suffix_dedup import repeats_digest
 from .template import TEXT_SQL, text_digest
 from .toxicity import toxicity_digest
@@ -38,6 +41,10 @@ QUERIES["op7_pack"] = _over("documents", pack_documents)
 QUERIES["op8_odd_sketch"] = _over("documents", link_documents)
 QUERIES["op10_suffix_dedup"] = _over("documents", repeats_digest)
 QUERIES["op9_mix_sources"] = _over("documents", mix_digest)
+QUERIES["op11_drift_kmeans"] = _over("embeddings", cluster_digest)
+ORACLES["op11_drift_kmeans"] = CLUSTER_SQL
+QUERIES["op12_slot_shards"] = _over("documents", shard_digest)
+QUERIES["op13_spelling_variants"] = _over("documents", variants_digest)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def _edits(shard_of: dict[Slot, int], loads: dict[Slot, int], shards: Sequence[i
     for of in held.values():
         of.sort()
     total = {s: sum(n for n, _ in of) for s, of in held.items()}
-    near = max(1.0, tolerance * sum(total.values()) / len(shards))
+    open_ = list(shards)
     edits: dict[Slot, int] = {}
 
     def move(item: tuple[int, Slot], a: int, b: int) -> None:
@@ -62,10 +62,10 @@ def _edits(shard_of: dict[Slot, int], loads: dict[Slot, int], shards: Sequence[i
         edits[item[1]] = b
 
     while True:
-        full = max(shards, key=lambda s: (total[s], -s))
-        least = min(shards, key=lambda s: (total[s], s)) if into is None else into
+        full = max(open_, key=lambda s: (total[s], -s))
+        least = min(open_, key=lambda s: (total[s], s)) if into is None else into
         gap = total[full] - total[least]
-        if gap <= near:
+        if gap <= max(1.0, tolerance * sum(total[s] for s in open_) / len(open_)):
             return edits
         # The move or swap that leaves the two closest: a difference of about half the gap.
         best: tuple | None = None
@@ -81,8 +81,9 @@ def _edits(shard_of: dict[Slot, int], loads: dict[Slot, int], shards: Sequence[i
             at = bisect_left(gives, (gap / 2 + (take[0] if take else 0),))
             for give in gives[max(0, at - 1):at + 1]:
                 offer(give, take)
-        if best is None:
-            return edits
+        if best is None:  # one slot fills it; the others go on without it
+            open_.remove(full)
+            continue
         move(best[1], full, least)
         if best[2]:
             move(best[2], least, full)
