@@ -51,7 +51,7 @@ def _edits(shard_of: dict[Slot, int], loads: dict[Slot, int], shards: Sequence[i
     for of in held.values():
         of.sort()
     total = {s: sum(n for n, _ in of) for s, of in held.items()}
-    open_ = list(shards)
+    open_, moves = list(shards), 0
     edits: dict[Slot, int] = {}
 
     def move(item: tuple[int, Slot], a: int, b: int) -> None:
@@ -66,7 +66,10 @@ def _edits(shard_of: dict[Slot, int], loads: dict[Slot, int], shards: Sequence[i
         least = min(open_, key=lambda s: (total[s], s)) if into is None else into
         gap = total[full] - total[least]
         if gap <= max(1.0, tolerance * sum(total[s] for s in open_) / len(open_)):
-            return edits
+            if len(open_) == len(shards) or not moves:
+                return edits
+            open_, moves = list(shards), 0  # those set aside may find a partner now
+            continue
         # The move or swap that leaves the two closest: a difference of about half the gap.
         best: tuple | None = None
 
@@ -84,6 +87,7 @@ def _edits(shard_of: dict[Slot, int], loads: dict[Slot, int], shards: Sequence[i
         if best is None:  # one slot fills it; the others go on without it
             open_.remove(full)
             continue
+        moves += 1
         move(best[1], full, least)
         if best[2]:
             move(best[2], least, full)
