@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -20,6 +20,8 @@ BLOCK_WORDS = 20_000
 SHARD_WORDS = 2_000_000
 #: No document and no source is taken more often than this.
 MOST = 3
+#: Most blocks that numpy splits in one draw.
+DRAW = 10**9 - 1
 
 
 def word_count(text: str = "text"):
@@ -55,6 +57,24 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
         F.when(F.col("_cut"), F.col("_cap")).otherwise(F.col("_share._l") * F.col("_w")).alias("target"))
 
 
+def drawn(have: np.ndarray, want: int, rng: np.random.Generator, most: int = DRAW) -> np.ndarray:
+    """How many of ``want`` blocks, drawn from ``have`` of each source, come from each.
+
+    More than ``most`` blocks are drawn in even strata of each source's blocks, one after the other.
+    """
+    total = int(have.sum())
+    strata = -(-(total + len(have)) // most) if total > most else 1
+    out, taken, passed = np.zeros_like(have), 0, 0
+    for k in range(1, strata + 1):
+        part = have * k // strata - have * (k - 1) // strata
+        passed += int(part.sum())
+        share = want * passed // max(1, total) - taken
+        taken += share
+        if share:
+            out += rng.multivariate_hypergeometric(part, share, method="marginals")
+    return out
+
+
 def split_quotas(quotas: np.ndarray, shards: int, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of each source for shard ``leaf``, and the blocks of each that lie before them.
 
@@ -66,7 +86,7 @@ def split_quotas(quotas: np.ndarray, shards: int, leaf: int, seed: int) -> tuple
         total = int(have.sum())
         want = (total * (mid - low) + (high - low) // 2) // (high - low)
         rng = np.random.default_rng([seed, node])
-        left = rng.multivariate_hypergeometric(have, want, method="marginals") if total else have.copy()
+        left = drawn(have, want, rng)
         if leaf < mid:
             have, high, node = left, mid, 2 * node
         else:
@@ -74,10 +94,9 @@ def split_quotas(quotas: np.ndarray, shards: int, leaf: int, seed: int) -> tuple
     return have, before
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with ``mix_size`` and the hash ``mix_salt`` that gives a row its place in the permutation."""
-    return docs.withColumn("mix_size", word_count()).withColumn(
-        "mix_salt", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
+def salt(seed: int) -> Column:
+    """The hash ``mix_salt`` that gives a row its place in the permutation."""
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("mix_salt")
 
 
 def mix_sources(
@@ -95,20 +114,21 @@ def mix_sources(
     rows give the same mix. Other columns pass through; those that are named like an
     added one are replaced.
     """
-    clash = ["mix_size", "mix_salt", "mix_source_size", "mix_target", "mix_copy", "mix_shard", "mix_position"]
-    rows = sized(docs.drop(*clash), seed)
-    same = Window.partitionBy("mix_salt").orderBy("doc_id")
-    slim = settle(rows.select("doc_id", "source", "mix_size", "mix_salt"), "mix-rows")
-    picks = mix_sized(slim.withColumn("_nth", F.row_number().over(same)), seed, block_words, shard_words, most).select(
-        F.col("mix_salt").alias("_salt"), F.col("_nth").alias("_pick"), *clash[2:])
+    added = ["mix_size", "mix_source_size", "mix_target", "mix_copy", "mix_shard", "mix_position"]
+    names = [c for c in docs.columns if c.lower() not in added]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), word_count().alias("mix_size"), salt(seed))
+    same = Window.partitionBy("mix_salt").orderBy("row.doc_id")
+    slim = settle(rows.select("row.doc_id", "row.source", "mix_size", "mix_salt"), "mix-rows")
+    nth = F.row_number().over(Window.partitionBy("mix_salt").orderBy("doc_id"))
+    picks = mix_sized(slim.withColumn("_nth", nth), seed, block_words, shard_words, most).select(
+        F.col("mix_salt").alias("_salt"), F.col("_nth").alias("_pick"), *added[1:])
     # Texts travel once, to be numbered among equal rows; a range as condition keeps them where they then are.
     whole = rows.withColumn("_nth", F.row_number().over(same))
-    return whole.join(picks, F.expr("mix_salt = _salt and _nth >= _pick and _nth <= _pick")).drop(
-        "mix_salt", "_nth", "_salt", "_pick")
+    return whole.join(picks, F.expr("mix_salt = _salt and _nth >= _pick and _nth <= _pick")).select("row.*", *added)
 
 
 def mix_sized(rows: DataFrame, seed: int, block_words: int, shard_words: int, most: int) -> DataFrame:
-    """The mix of rows that ``sized`` has prepared and that have no texts any more."""
+    """The mix of rows that have ``mix_size`` and ``mix_salt`` and no texts any more."""
     slim = settle(rows.select("source", "mix_size", "mix_salt"), "mix-sizes")
     targets = source_targets(slim.groupBy("source").agg(F.sum("mix_size").alias("source_size")), most)
     targets = settle(targets.withColumn(
@@ -174,7 +194,7 @@ def mix_sized(rows: DataFrame, seed: int, block_words: int, shard_words: int, mo
 def mix_digest(docs: DataFrame, seed: int = 17) -> DataFrame:
     """One row per document: how many words the mix takes of it."""
     same = Window.partitionBy("doc_id", "mix_salt").orderBy(F.lit(0))
-    rows = settle(sized(docs.select("doc_id", "source", "text"), seed).drop("text")
+    rows = settle(docs.select("doc_id", "source", word_count().alias("mix_size"), salt(seed))
                   .withColumn("_nth", F.row_number().over(same)), "mix-rows")
     mixed = mix_sized(rows, seed, BLOCK_WORDS, SHARD_WORDS, MOST)
     taken = mixed.groupBy("doc_id", "mix_salt", "_nth").agg(F.sum("mix_size").alias("taken"))

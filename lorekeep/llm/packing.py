@@ -29,8 +29,11 @@ GROUP_TOKENS = 4_000_000
 GROUP_ROWS = 100_000
 #: Branches that the search may try in a group before it keeps its incumbent.
 NODES = 20_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a task remembers.
+CACHE_WORDS = 400_000
+#: Fillings that a branch keeps, and steps that the search for them may take.
+FILLINGS = 6
+FILLING_STEPS = 400
 
 #: White space that no token spans; other characters that Python counts as such stay in their word.
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -41,7 +44,10 @@ _loaded: dict[str, tuple] = {}
 
 
 def _tokenizer(name: str):
-    """The tokenizer, which of its tokens end a word, and the words already seen; a worker keeps them for its next task."""
+    """The tokenizer, which of its tokens end a word, and the words already seen.
+
+    A worker keeps the tokenizer for its next task; a task forgets its words when it ends.
+    """
     if name not in _loaded:
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -127,6 +133,8 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKE
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc, no, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
+        if name in _loaded:
+            _loaded[name][2].clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -154,41 +162,55 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 6, steps: int = 400) -> list[tuple[int, ...]]:
+def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
+    return fillings_of(sum(1 << x for x in lengths if counts[x]), counts, room)
+
+
+def fillings_of(mask: int, counts: dict[int, int], room: int, most: int = FILLINGS, steps: int = FILLING_STEPS) -> list[tuple[int, ...]]:
     """Undominated sets of lengths (descending) that fill ``room`` best, the tightest first.
 
     One length equal to the room dominates every other filling. A set is dominated if a
     single length of at least its sum still fits, or if another length could be added.
+    Bit x of ``mask`` is set if ``counts[x]`` is not 0. The ``most`` tightest of those that
+    ``steps`` steps find are kept: the search is bounded, not exhaustive.
     """
     if counts.get(room):
         return [(room,)]
-    small = [x for x in lengths if x <= room and counts[x]]
-    if not small:
+
+    def up_to(x: int) -> int:
+        """The largest length of at most ``x`` that is left; 0 if none is."""
+        return (mask & ((2 << x) - 1)).bit_length() - 1 if x > 0 and mask & ((2 << x) - 1) else 0
+
+    largest = up_to(room)
+    if not largest:
         return [()]
-    found: dict[tuple[int, ...], int] = {(small[0],): small[0]} if small[0] + small[-1] > room else {}
+    least = (mask & -mask).bit_length() - 1
+    found: dict[tuple[int, ...], int] = {(largest,): largest} if largest + least > room else {}
     best, tried = 0, 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(largest, room, ())]
     while stack and tried < steps:
-        i, left, own = stack.pop()
+        x, left, own = stack.pop()
         tried += 1
-        while i < len(small) and (small[i] > left or own.count(small[i]) >= counts[small[i]]):
-            i += 1
-        if i == len(small):
+        x = up_to(min(x, left))
+        while x and own.count(x) >= counts[x]:
+            x = up_to(x - 1)
+        if not x:
             total = room - left
-            if own and (len(own) == 1 or total > small[0]):
+            if own and (len(own) == 1 or total > largest):
                 found[own] = total
                 best = max(best, total)
                 if best == room:
                     break
             continue
-        stack.append((i + 1, left, own))
-        stack.append((i, left - small[i], own + (small[i],)))
+        stack.append((x - 1, left, own))
+        stack.append((x, left - x, own + (x,)))
     if not found:
-        own, left = [], room
-        for x in small:
+        own, left, x = [], room, largest
+        while x:
             while x <= left and own.count(x) < counts[x]:
                 own.append(x)
                 left -= x
+            x = up_to(min(x - 1, left))
         found[tuple(own)] = room - left
     return sorted(found, key=lambda s: (-found[s], len(s), tuple(-x for x in s)))[:most]
 
@@ -203,20 +225,35 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
     total = sum(x * n for x, n in counts.items())
     large = sum(n for x, n in counts.items() if 2 * x > capacity)
     bound = max(-(-total // capacity), large)
-    lengths = sorted(counts, reverse=True)
+    full_mask = sum(1 << x for x, n in counts.items() if n)
     tried = 0
     while len(incumbent) > bound and tried < nodes:
         allowed = (len(incumbent) - 1) * capacity - total
-        left, waste, path, better = dict(counts), 0, [], None
+        left, mask, waste, path, better = dict(counts), full_mask, 0, [], None
+        pieces = sum(counts.values())
         # A frame: the bin's largest length, its fillings, the next one to try, the one in place.
         frames: list[list] = []
 
-        def descend():
-            first = next((x for x in lengths if left[x]), None)
-            if first is None:
+        def take(x: int) -> None:
+            nonlocal mask, pieces
+            left[x] -= 1
+            pieces -= 1
+            if not left[x]:
+                mask ^= 1 << x
+
+        def give(x: int) -> None:
+            nonlocal mask, pieces
+            if not left[x]:
+                mask ^= 1 << x
+            left[x] += 1
+            pieces += 1
+
+        def descend() -> bool:
+            if not mask:
                 return False
-            left[first] -= 1
-            frames.append([first, fillings(lengths, left, capacity - first), 0, None])
+            first = mask.bit_length() - 1
+            take(first)
+            frames.append([first, fillings_of(mask, left, capacity - first), 0, None])
             return True
 
         open_ = descend()
@@ -224,12 +261,12 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             frame = frames[-1]
             if frame[3] is not None:
                 for x in frame[3]:
-                    left[x] += 1
+                    give(x)
                 waste -= capacity - frame[0] - sum(frame[3])
                 frame[3] = None
                 path.pop()
             if frame[2] == len(frame[1]):
-                left[frame[0]] += 1
+                give(frame[0])
                 frames.pop()
                 open_ = bool(frames)
                 continue
@@ -237,12 +274,11 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             frame[2] += 1
             tried += 1
             lost = capacity - frame[0] - sum(fill)
-            if waste + lost > allowed and any(n for n in left.values()) and sum(
-                    left[x] for x in left) > len(fill):
+            if waste + lost > allowed and pieces > len(fill):
                 frame[2] = len(frame[1])  # the other fillings waste more
                 continue
             for x in fill:
-                left[x] -= 1
+                take(x)
             frame[3] = fill
             waste += lost
             path.append([frame[0], *fill])
@@ -260,8 +296,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int =
     """Add ``sequence_id`` and ``offset`` to settled ``pieces``, which have a ``length`` up to ``capacity``.
 
     Whole pieces are sequences of their own. The rest is dealt by hash into groups of
-    about ``group_tokens`` tokens. All sequences of a group but the loosest few are
-    final; the loose ones' pieces are packed again with those of other groups, until
+    about ``group_tokens`` tokens. Sequences of a group that are filled to 31/32 are
+    final; the other ones' pieces are packed again with those of other groups, until
     one group is left, or what is loose no longer halves (lengths that cannot fill).
     """
     columns = pieces.columns
@@ -275,7 +311,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int =
         last = groups == 1 or (before is not None and 2 * held["tokens"] > before)
         before = held["tokens"]
         dealt = left.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
-        packed = settle(_pack_groups(dealt, capacity, level, last), f"packed-{level}")
+        # A number of partitions that is asked for is not joined again: a task has about a group.
+        packed = settle(_pack_groups(dealt.repartition(groups, "_group"), capacity, level, last), f"packed-{level}")
         done.append(packed.where("not _loose").select(*columns, "sequence_id", "offset"))
         if last:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
+from ..session import remove, settle, settled
 from .common import shuffle_width, slices
 
 
@@ -41,8 +41,10 @@ class Settings:
     collection: int = 4 << 20
     #: Entries of a run that are read and rewritten at a time.
     block: int = 1 << 18
-    #: Bits of the filter that spares unrepeated anchors the way to the shuffle.
-    filter_bits: int = 26
+    #: Most bits (a power of two of them) of a filter that spares unrepeated anchors the way to disk.
+    filter_bits: int = 28
+    #: Segments whose bytes a task remembers having written.
+    remembered: int = 500_000
 
 
 SETTINGS = Settings()
@@ -131,18 +133,22 @@ def anchor_counts(docs: DataFrame, s: Settings) -> DataFrame:
         "n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("many"))
 
 
-def filter_of(anchors: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size that holds a bit for each anchor, as 64-bit words."""
+def filter_of(anchors: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """A bitmap with a bit for each anchor, as 64-bit words, and the power of two that it holds.
+
+    There are 16 bits or more for each anchor, as long as that is no more than 2 ** ``most``.
+    """
+    bits = min(most, max(16, anchors.count().bit_length() + 4))
     at = F.shiftrightunsigned("anchor", 64 - bits)
     words = anchors.select(at.alias("_i")).select(
         F.shiftright("_i", 6).alias("w"), F.expr("shiftleft(1L, cast(_i & 63 as int))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (bits - 6) rows
     bitmap = np.zeros(1 << (bits - 6), np.int64)
     bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return bitmap.view(np.uint64)
+    return bitmap.view(np.uint64), bits
 
 
-def passes(bitmap: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
+def passes(bitmap: np.ndarray, bits: int, anchor: np.ndarray) -> np.ndarray:
     at = anchor >> np.uint64(64 - bits)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
@@ -153,30 +159,43 @@ OCCURRENCE = (
 
 
 def occurrences(docs: DataFrame, anchors: DataFrame, s: Settings) -> DataFrame:
-    """Segments whose anchor occurs again; with their bytes if segments of the anchor differ."""
+    """Segments whose anchor occurs again, and a few more that the filters let through.
+
+    If segments of the anchor differ, a task adds the bytes of a segment where it meets it first.
+    """
     context = docs.sparkSession.sparkContext
     held = context.broadcast((filter_of(anchors, s.filter_bits), filter_of(anchors.where("many"), s.filter_bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, many = held.value
+        seen: set[int] = set()
         for batch in slices_of(batches):
             flat, ends = text_bytes(batch)
             row, first, n, place, anchor = segments(flat, ends, s)
-            keep = passes(again, anchor, s.filter_bits)
+            keep = passes(*again, anchor)
             row, first, n, place, anchor = (x[keep] for x in (row, first, n, place, anchor))
             view = memoryview(flat)
-            digests = np.array([divmod(xxhash.xxh3_128_intdigest(view[a:a + k + s.window - 1]), 1 << 64)
-                                for a, k in zip(first.tolist(), n.tolist())], np.uint64).reshape(-1, 2).view(np.int64)
-            bodies = [bytes(view[a:a + k + s.window - 1]) if p else None
-                      for a, k, p in zip(first.tolist(), n.tolist(), passes(many, anchor, s.filter_bits).tolist())]
+            digests, bodies = [], []
+            for a, k, p in zip(first.tolist(), n.tolist(), passes(*many, anchor).tolist()):
+                body = view[a:a + k + s.window - 1]
+                digest = xxhash.xxh3_128_intdigest(body)
+                digests.append(divmod(digest, 1 << 64))
+                if p and digest not in seen:
+                    if len(seen) >= s.remembered:
+                        seen.clear()
+                    seen.add(digest)
+                    bodies.append(bytes(body))
+                else:
+                    bodies.append(None)
+            halves = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)),
                 pa.array((first - ends[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
                 pa.array((place - first).astype(np.int32)), pa.array(anchor.view(np.int64)),
-                pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bodies, pa.binary()),
+                pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bodies, pa.binary()),
             ], names=["doc_id", "text_key", "start", "windows", "lead", "anchor", "s1", "s2", "body"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, OCCURRENCE).join(anchors, "anchor")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, OCCURRENCE)
 
 
 class Run:
@@ -374,54 +393,67 @@ def window_spans(different: DataFrame, s: Settings) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """(doc_id, text_key, lo, hi): byte spans, which may overlap, that cover all repeated windows."""
+    """(doc_id, text_key, lo, hi): byte spans, which may overlap, that cover all repeated windows.
+
+    Bytes of segments are written once by each task that meets them, move to meet their equals,
+    and once more, one of each, to their anchor. The tables on the way go as soon as the spans are there.
+    """
+    spark = docs.sparkSession
+    before = settled(spark)
     anchors = settle(anchor_counts(docs, s), "anchors")
     found = settle(occurrences(docs, anchors, s), "occurrences")
-    lone = F.struct("doc_id", "text_key", "start")
+    lone = F.struct(F.col("body").isNotNull().alias("b"), "doc_id", "text_key", "start")
     same = found.groupBy("anchor", "s1", "s2").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(F.struct("body", "lead", "doc_id", "text_key", "start"), lone).alias("_r"),
-        F.max("many").alias("many"))
-    same = settle(same.where("n > 1 or many").select("anchor", "s1", "s2", "n", "many", "_r.*"), "different")
+        F.count(F.lit(1)).alias("n"), F.max_by(F.struct("body", "lead", "doc_id", "text_key", "start"), lone).alias("_r"))
+    same = settle(same.select("anchor", "s1", "s2", "n", "_r.*").where("n > 1 or body is not null"), "segments")
     copied = found.join(same.where("n > 1").select("anchor", "s1", "s2"), ["anchor", "s1", "s2"]).select(
         "doc_id", "text_key", F.col("start").cast("long").alias("lo"),
         (F.col("start") + F.col("windows") + (s.window - 1)).cast("long").alias("hi"))
-    sizes = same.where("many").groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    different = same.where("many").join(sizes, "anchor")
-    small = collection_spans(different.where(F.col("_size") <= s.group), s)
-    large = settle(different.where(F.col("_size") > s.group), "large")
-    spans = copied.unionByName(small)
-    return spans.unionByName(window_spans(large, s)) if not large.isEmpty() else spans
+    different = same.where("body is not null")
+    # At most a row for every ``group`` segments; settled, so that Spark knows its size before it plans the joins.
+    large = settle(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > s.group).select("anchor"), "large")
+    if large.isEmpty():
+        spans = copied.unionByName(collection_spans(different, s))
+    else:
+        spans = copied.unionByName(collection_spans(different.join(large, "anchor", "left_anti"), s))
+        spans = spans.unionByName(window_spans(different.join(large, "anchor", "left_semi"), s))
+    spans = settle(spans, "spans")
+    for path in settled(spark) - before:
+        if "/spans-" not in path:
+            remove(spark, path)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """``docs`` with a struct ``repeats``: n_bytes, n_removed, n_spans, the spans, and the bytes that are left.
+    """``docs`` with a struct ``repeats``: n_bytes, n_removed, n_spans, the spans, the bytes that are left, and ``text``.
+
+    The last is null if nothing goes, else what is left without the characters that a cut runs through.
 
     Every byte under a string of ``window`` bytes that also starts elsewhere goes, in all
     its places, same document or not. Null and empty texts, and those shorter than a
     window, lose nothing. Rows with equal doc_id and text count as different places of
-    the text. A null doc_id is an id of its own. Other columns pass through; one named
-    ``repeats`` or ``text_key`` is replaced. An empty table gives no rows.
+    the text. A null doc_id is an id of its own. Other columns pass through, whatever their
+    names; one named ``repeats`` is replaced and one named ``text_key`` left out. An empty table gives no rows.
     """
-    kept = docs.drop("repeats", "text_key").withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(kept.select("doc_id", "text_key", "text"), s)
-    own = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")).select(
-        F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "_spans")
-    rows = kept.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
-    rows = rows.drop("_d", "_k")
+    names = [c for c in docs.columns if c.lower() not in ("repeats", "text_key")]
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("text_key"))
+    spans = repeated_spans(kept.select("row.doc_id", "text_key", "row.text"), s)
+    own = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select(
+        F.col("doc_id").alias("own_doc"), F.col("text_key").alias("own_key"), "spans")
+    rows = kept.join(own, F.col("row.doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_key") == F.col("own_key")), "left")
+    rows = rows.select("row", F.col("row.text").alias("text"), "spans")
     result = T.StructType([
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
-        T.StructField("kept", T.BinaryType()),
+        T.StructField("kept", T.BinaryType()), T.StructField("text", T.StringType()),
     ])
-    names = [c for c in docs.columns if c not in ("repeats", "text_key")]
-    schema = T.StructType([*(kept.schema[c] for c in names), T.StructField("repeats", result)])
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                      ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary())])
+                      ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw, merged, parts, at = (text or "").encode("utf-8", "surrogatepass"), [], [], 0
                 for lo, hi in sorted((x["lo"], x["hi"]) for x in found or ()):
                     if merged and lo <= merged[-1][1]:
@@ -434,10 +466,12 @@ def remove_repeats(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
                 parts.append(raw[at:])
                 left = b"".join(parts)
                 out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": len(merged),
-                            "spans": [{"lo": a, "hi": b} for a, b in merged], "kept": left})
-            yield batch.select(names).append_column("repeats", pa.array(out, kind))
+                            "spans": [{"lo": a, "hi": b} for a, b in merged], "kept": left,
+                            "text": "".join(p.decode("utf-8", "ignore") for p in parts) if merged else None})
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], names=["row", "repeats"])
 
-    return rows.mapInArrow(run, schema)
+    done = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("repeats", result)]))
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "repeats")
 
 
 def repeats_digest(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:

@@ -17,6 +17,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from ..session import settle
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg canvas audio video select option button annotation annotation-xml".split())
+RAW = frozenset("script style template textarea iframe svg canvas audio video select option button annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot "
@@ -49,6 +50,11 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended "
     "related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside these in a class or an id without changing what it says.
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box button buttons container content entry footer form group header inner item "
+    "items js left link links list main module outer page panel post posts row section signup site slot stories story text thread "
+    "title top right unit wrap wrapper".split())
 ARTICLE = frozenset("article main".split())
 ARTICLE_MARKS = frozenset("article content main post entry story".split())
 
@@ -79,7 +85,8 @@ SETTINGS = Settings()
 class Slot:
     """A block of text: the role it lies in, and what its elements say about it."""
 
-    role: str
+    #: The hash of the tags and names from the page's root on.
+    role: int
     text: str
     boilerplate: bool
     article: int
@@ -87,36 +94,49 @@ class Slot:
     before: int = 0
 
 
+def marked_words(value: str) -> bool:
+    """Whether a class or an id names boilerplate: by such words alone, neutral ones and numbers aside.
+
+    ``share-links`` and ``cookie notice`` do; ``share price`` and ``related-work`` name something of their own.
+    """
+    words = set(_WORD.findall(value.lower()))
+    return bool(words & MARKS) and all(w in MARKS or w in NEUTRAL or w.isdigit() for w in words)
+
+
 class Parser:
-    """Reads a page into roles and blocks, forgiving about unclosed elements."""
+    """Reads a page into roles and blocks, forgiving about unclosed elements.
+
+    A role is a hash of its parent's and its own name, so a page takes memory by its elements, however deep they nest.
+    """
 
     def __init__(self, page: str):
-        self.roles: list[str] = []
+        self.roles: list[int] = []
         self.slots: list[Slot] = []
-        # An open element: tag, role, number. By number: parent, whether its tag or role makes it
+        # An open element: tag, number. By number: parent, whether its tag or role makes it
         # boilerplate, whether it is a header, whether its class words do, whether it marks an article.
-        self.open: list[tuple[str, str, int]] = [("", "", 0)]
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.open_tags: Counter[str] = Counter()
         self.elements: list[tuple[int, bool, bool, bool, bool]] = [(0, False, False, False, False)]
+        self.keys: list[int] = [0]  # the role of each element
+        self.names: list[tuple[str, bool]] = [("", False)]  # its tag, and whether it is named like an article
         self.holders: list[int] = []  # the element of each slot
         self.parts: list[str] = []
         self.articles = 0
+        self.unclosed: dict[str, int] = {}  # of an embedded tag: up to where it has no end
         self._read(page)
         self._judge()
 
     def _read(self, page: str) -> None:
-        at, raw = 0, None
-        for m in _MARKUP.finditer(page):
-            if m.start() < at:
-                continue
-            if raw is None and m.start() > at:
+        at, length = 0, len(page)
+        while at < length:
+            m = _MARKUP.search(page, at)
+            if m is None:
+                self.parts.append(page[at:])
+                break
+            if m.start() > at:
                 self.parts.append(page[at:m.start()])
-            tag = (m[2] or "").lower()
-            if raw is not None:
-                if m[1] and tag == raw:
-                    raw = None
-                at = m.end()
-                continue
             at = m.end()
+            tag = (m[2] or "").lower()
             if not tag:
                 continue
             if m[1]:
@@ -124,22 +144,46 @@ class Parser:
             elif tag in ("script", "style"):
                 # Their text is not markup: go on behind the end tag.
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else length
             elif tag in RAW:
                 if not m[3].rstrip().endswith("/"):
-                    raw = tag
+                    at = self._end_of(page, tag, at)
             else:
                 self._start(tag, m[3])
-        if raw is None and at < len(page):
-            self.parts.append(page[at:])
         self._flush()
 
+    def _end_of(self, page: str, tag: str, at: int) -> int:
+        """Behind the end tag of an embedded element that begins at ``at``.
+
+        One that is still open where an element around it ends, or the page, has no content:
+        what follows is the page's.
+        """
+        if at < self.unclosed.get(tag, 0):
+            return at
+        inside: Counter[str] = Counter()
+        stop = len(page)
+        for m in _MARKUP.finditer(page, at):
+            other = (m[2] or "").lower()
+            if not other or other in VOID:
+                continue
+            if not m[1]:
+                inside[other] += not m[3].rstrip().endswith("/")
+            elif other == tag:
+                return m.end()
+            elif inside[other]:
+                inside[other] -= 1
+            elif other not in INLINE and self.open_tags[other]:
+                stop = m.start()
+                break
+        self.unclosed[tag] = stop
+        return at
+
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.parts)).split()) if self.parts else ""
         self.parts = []
         if text:
-            _, role, number = self.open[-1]
-            self.slots.append(Slot(role, text, False, 0, len(self.roles)))
+            number = self.open[-1][1]
+            self.slots.append(Slot(self.keys[number], text, False, 0, len(self.roles)))
             self.holders.append(number)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -151,23 +195,25 @@ class Parser:
             self._pop_until({"p"}, SCOPE["p"])
         if tag in SIBLING:
             self._pop_until(SIBLING[tag], SCOPE[tag])
-        _, path, parent = self.open[-1]
-        label, words, roles = tag, set(), set()
+        parent = self.open[-1][1]
+        label, mark, named, roles = tag, False, False, set()
         if attributes:
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             name = found.get("class") or found.get("id") or ""
-            words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+            mark = marked_words(found.get("class", "")) or marked_words(found.get("id", ""))
+            named = bool(ARTICLE_MARKS & set(_WORD.findall(name.lower())))
             roles = set(found.get("role", "").lower().split())
             if name:
                 label += "." + name
             if "hidden" in found or found.get("aria-hidden") == "true":
                 roles.add("alert")
-        role = f"{path}/{label}"
         starts = tag in ARTICLE or "main" in roles or "article" in roles
-        self.elements.append((parent, tag in BOILERPLATE or bool(roles & ROLES), tag == "header",
-                              tag != "body" and bool(words & MARKS), starts))
-        self.roles.append(role)
-        self.open.append((tag, role, len(self.elements) - 1))
+        self.elements.append((parent, tag in BOILERPLATE or bool(roles & ROLES), tag == "header", tag != "body" and mark, starts))
+        self.keys.append(token_hash(f"{self.keys[parent]}/{label}"))
+        self.names.append((tag, named))
+        self.roles.append(self.keys[-1])
+        self.open.append((tag, len(self.elements) - 1))
+        self.open_tags[tag] += 1
 
     def _judge(self) -> None:
         """Say of each slot whether it is boilerplate and which article it lies in.
@@ -208,11 +254,18 @@ class Parser:
         for s, i in zip(self.slots, self.holders):
             s.boilerplate, s.article = boilerplate[i], article[i]
 
+    def _cut(self, i: int) -> None:
+        for tag, _ in self.open[i:]:
+            self.open_tags[tag] -= 1
+        del self.open[i:]
+
     def _pop_until(self, tags: set[str], stop: set[str]) -> None:
+        if not any(self.open_tags[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
                 self._flush()
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i][0] in stop:
                 return
@@ -220,30 +273,36 @@ class Parser:
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
+        if not self.open_tags[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                if tag in INLINE and any(x[0] not in INLINE for x in self.open[i + 1:]):
-                    return  # an inline end tag does not close blocks
-                del self.open[i:]
+                self._cut(i)
                 return
+            if tag in INLINE and self.open[i][0] not in INLINE:
+                return  # an inline end tag does not close blocks
 
 
 def tokens_of(page: Parser) -> tuple[list[int], set[int]]:
     """The hashes of a page's element roles and blocks of text, as they follow; and which are blocks."""
     out, blocks, at = [], set(), 0
     for s in page.slots:
-        out += [token_hash("r" + r) for r in page.roles[at:s.before]]
+        out += page.roles[at:s.before]
         at = s.before
-        key = token_hash(f"t{s.role}\0{s.text}")
+        key = block_hash(s)
         out.append(key)
         blocks.add(key)
-    return out + [token_hash("r" + r) for r in page.roles[at:]], blocks
+    return out + page.roles[at:], blocks
 
 
 def token_hash(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def block_hash(slot: Slot) -> int:
+    return token_hash(f"t{slot.role}\0{slot.text}")
+
+
 def main_text(page: Parser, template: frozenset[int]) -> str:
     """The article's slots of a page, joined.
 
@@ -251,20 +310,27 @@ def main_text(page: Parser, template: frozenset[int]) -> str:
     template. If elements mark an article, its own are the text. Otherwise those of the
     largest region are: the deepest element with most of the changing text.
     """
-    free = [s for s in page.slots if not s.boilerplate and token_hash(f"t{s.role}\0{s.text}") not in template]
+    free = [(s, i) for s, i in zip(page.slots, page.holders) if not s.boilerplate and block_hash(s) not in template]
     if page.articles:
-        return " ".join(s.text for s in free if s.article)
-    total = sum(len(s.text) for s in free)
-    mass: dict[str, int] = {}
-    for s in free:
-        parts = s.role.split("/")
-        for i in range(1, len(parts) + 1):
-            path = "/".join(parts[:i])
-            mass[path] = mass.get(path, 0) + len(s.text)
-    regions = [p for p, n in mass.items() if 10 * n >= 6 * total and p.rpartition("/")[2].partition(".")[0] not in INLINE | {"p"}]
-    named = [p for p in regions if ARTICLE_MARKS & set(_WORD.findall(p.rpartition("/")[2].partition(".")[2].lower()))]
-    region = max(named or regions, key=lambda p: (p.count("/"), p), default="")
-    return " ".join(s.text for s in free if s.role == region or s.role.startswith(region + "/") or not region)
+        return " ".join(s.text for s, _ in free if s.article)
+    many = len(page.elements)
+    held, depth = [0] * many, [0] * many
+    for s, i in free:
+        held[i] += len(s.text)
+    total = sum(held)
+    for i in range(many - 1, 0, -1):
+        held[page.elements[i][0]] += held[i]
+    mass: Counter[int] = Counter()
+    for i in range(many):
+        mass[page.keys[i]] += held[i]
+        depth[i] = depth[page.elements[i][0]] + 1 if i else 0
+    regions = [i for i, (tag, _) in enumerate(page.names) if 10 * mass[page.keys[i]] >= 6 * total and tag not in INLINE and tag != "p"]
+    named = [i for i in regions if page.names[i][1]]
+    region = page.keys[max(named or regions, key=lambda i: depth[i], default=0)]
+    inside = [False] * many
+    for i in range(many):
+        inside[i] = page.keys[i] == region or (i > 0 and inside[page.elements[i][0]])
+    return " ".join(s.text for s, i in free if inside[i])
 
 
 def in_order(base: list[int], places: dict[int, int]) -> list[int]:
@@ -302,7 +368,7 @@ def deduce_template(pages: list[Parser], s: Settings) -> frozenset[int]:
         places.append(own)
     seen = Counter(token for own in places for token in own)
     blocks = set().union(*(b for _, b in read)) if read else set()
-    in_article = {token_hash(f"t{x.role}\0{x.text}") for page in distinct.values() for x in page.slots if x.article}
+    in_article = {block_hash(x) for page in distinct.values() for x in page.slots if x.article}
     outside = max(2, min(s.least_pages, len(read)))
     least = {token: s.least_pages if token in in_article else outside for token in blocks}
     frequent = {t for t, n in seen.items() if n >= s.support * len(read) and n >= least.get(t, outside)}
@@ -334,25 +400,30 @@ def extract_text(pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
     Pages of a host deduce their template in groups of bounded size, by a hash of the
     page; all pages of a group meet in one task, which reads each once. Null or empty pages have
-    an empty text; a page without a host or alone on its host is judged by its elements only. Repeated rows are pages of their own. Other columns pass
-    through; one named ``text`` is replaced.
+    an empty text; a page without a host or alone on its host is judged by its elements only. Repeated rows are pages of their own; an
+    empty table gives no rows. A page is read in time and memory by its length, however deep its elements nest. Other columns
+    pass through, whatever their names; one named ``text`` is replaced.
     """
-    names = [c for c in pages.columns if c != "text"]
+    names = [c for c in pages.columns if c.lower() != "text"]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(*names).withColumn("_host", host).withColumn("_key", F.xxhash64("url", "html"))
-    hosts = rows.groupBy("_host").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / s.group_pages), F.ceil(F.sum(F.octet_length("html")) / s.group_bytes)).cast("int").alias("_groups"))
-    plan = settle(hosts.where("_groups > 1"), "large-hosts")
-    rows = rows.join(plan, "_host", "left").withColumn(
-        "_group", F.pmod("_key", F.coalesce("_groups", F.lit(1))).cast("int")).drop("_groups", "_key")
-    schema = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType())])
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host.alias("host"), F.xxhash64("url", "html").alias("key"),
+                        F.octet_length("html").alias("size"))
+    hosts = rows.groupBy("host").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / s.group_pages), F.ceil(F.sum("size") / s.group_bytes)).cast("int").alias("groups"))
+    plan = settle(hosts.where("groups > 1"), "large-hosts")
+    rows = rows.join(plan, "host", "left").select(
+        "row", "host", F.pmod("key", F.coalesce("groups", F.lit(1))).cast("int").alias("group"))
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
 
     def run(table: pa.Table) -> pa.Table:
-        read = [Parser(page or "") for page in table.column("html").to_pylist()]
-        template = deduce_template(read, s) if table.column("_host")[0].as_py() else frozenset()
-        return table.select(names).append_column("text", pa.array([main_text(page, template) for page in read], pa.string()))
-
-    return rows.groupBy("_host", "_group").applyInArrow(run, schema)
+        table = table.combine_chunks()
+        own = table.column("row")
+        read = [Parser(page or "") for page in pc.struct_field(own, "html").to_pylist()]
+        template = deduce_template(read, s) if table.column("host")[0].as_py() else frozenset()
+        return pa.table({"row": own, "text": pa.array([main_text(page, template) for page in read], pa.string())})
+
+    done = rows.groupBy("host", "group").applyInArrow(run, schema)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "text")
 
 
 def text_digest(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from lorekeep.llm.mixing import mix_digest, mix_sources, source_targets, split_quotas
+from lorekeep.llm.mixing import drawn, mix_digest, mix_sources, source_targets, split_quotas
 
 from .data import DOC_SCHEMA, documents, frame
 
@@ -79,5 +79,21 @@ def test_shards_and_positions(spark):
 
 def test_clashing_and_empty(spark):
     df = frame(spark).selectExpr("*", "1 as mix_size", "2 as target", "3 as _block", "4 as n")
-    assert mix_sources(df.drop("_block")).count() > 0
+    df = df.selectExpr("*", "5 as _salt", "6 as _pick", "7 as _nth", "8 as row", "9 as `a.b`", "10 as mix_salt", "11 as _middle", "12 as _src")
+    got = mix_sources(df).collect()
+    assert got and all((r["_block"], r["_salt"], r["_pick"], r["_nth"], r["row"], r["a.b"], r["mix_salt"], r["_src"]) == (3, 5, 6, 7, 8, 9, 10, 12)
+                       for r in got)
     assert mix_digest(frame(spark, [])).count() == 0 and mix_sources(frame(spark, [(1, None, "", "a", 0)], DOC_SCHEMA)).count() == 0
+
+
+def test_draws_beyond_what_numpy_takes_at_once():
+    rng = np.random.default_rng(4)
+    for have in ([3 * 10**9, 0, 5, 7 * 10**9], [10**13, 10**12, 1], [4, 4]):
+        have = np.array(have)
+        for want in (0, 1, int(have.sum()) // 3, int(have.sum())):
+            got = drawn(have, want, rng)
+            assert got.sum() == want and (got >= 0).all() and (got <= have).all()
+    small = drawn(np.array([50, 30, 0, 20]), 40, rng, most=11)
+    assert small.sum() == 40 and (small <= [50, 30, 0, 20]).all()
+    have, before = split_quotas(np.array([6 * 10**9, 5 * 10**9]), 3, 1, 2)
+    assert abs(have.sum() - 11 * 10**9 // 3) <= 2 and (before > 0).all()

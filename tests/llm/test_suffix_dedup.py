@@ -87,3 +87,15 @@ def test_places_do_not_depend_on_the_stretch():
     want = [k + int(np.argmin(grams[k:k + 9])) for k in range(492)]
     for stretch in (9, 10, 50, 499, 500, 1 << 22):
         assert least_places(grams, 9, stretch).tolist() == want
+
+
+def test_helper_names_pass_through_and_cut_characters_go(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    # The first bytes of à and é are equal and go with the passage, so both letters go.
+    rows = [(1, "aé�" + passage + "à�b", "en", "s", 0), (2, "x" + passage + "éyz", "en", "s", 0), (3, "�", "en", None, 0)]
+    df = frame(spark, rows).selectExpr("*", "1 as _d", "2 as _k", "3 as _spans", "4 as row", "5 as again", "6 as own_doc", "7 as spans",
+                                       "8 as `a.b`", "9 as Repeats")
+    got = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert all(tuple(r)[5:13] == (1, 2, 3, 4, 5, 6, 7, 8) for r in got.values())
+    assert got[1].repeats.text == "aé��b" and got[2].repeats.text == "xyz" and got[3].repeats.text is None

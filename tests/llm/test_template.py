@@ -82,3 +82,36 @@ def test_copies_count_once_and_few_pages_lose_nothing(spark):
     want = {i: "Same on all Line" for i in range(9)} | {10 + i: f"Other {i} Line" for i in range(2)}
     assert texts(spark, rows) == want | {20 + i: f"No host {i} Line" for i in range(5)}
     assert texts(spark, [(1, "http://one/", "<body><div><p>Alone on its host</p></div></body>")]) == {1: "Alone on its host"}
+
+
+def test_unclosed_embedded_elements_lose_nothing():
+    assert one("<article>a <button>b <p>c</p></article>") == "a b c"
+    for tag in ("<video src=x>", "<svg>", "<iframe>", "<select>", "<audio>"):
+        assert one(f"<article>a {tag}<p>b</p></article><p>c</p>") == "a b"
+        assert one(f"<article>a {tag}<p>b</p></article><div>x {tag}gone</{tag[1:].split()[0].rstrip('>')}></div>") == "a b"
+    assert one("<article>a <svg><a><text>t</text></a></svg> b <select><option>x</option></select> c</article>") == "a b c"
+    assert one("<article>" + "<video>x " * 3000 + "</article>") == " ".join(["x"] * 3000)
+
+
+def test_class_words_beside_others_name_something_else():
+    assert one("<article><div class='share price'><p>Prices rise</p></div></article>") == "Prices rise"
+    assert one("<article><p>a</p><section id='related-work'>b</section></article>") == "a b"
+    assert one("<article><p>a</p><div class='share-links'>b</div><div id='ad-2'>c</div><div class='cookie notice'>d</div></article>") == "a"
+    assert one("<article><p>a</p><noscript><p>kept</p></noscript></article>") == "a kept"
+
+
+def test_deep_pages_take_memory_by_their_length():
+    import tracemalloc
+
+    tracemalloc.start()
+    got = one("<article>" + "<div>" * 200_000 + "deep")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == "deep" and peak < 300e6
+    assert one("<b>" * 20_000 + "<p>x" * 20_000).count("x") == 20_000
+
+
+def test_helper_names_pass_through(spark):
+    df = spark.createDataFrame([(1, "http://h", "<article>x</article>")], SCHEMA).selectExpr(
+        "*", "1 as host", "2 as `key`", "3 as `group`", "4 as groups", "5 as row", "6 as size", "7 as _host", "8 as `a.b`", "'t' as Text")
+    assert [tuple(r) for r in extract_text(df).collect()] == [(1, "http://h", "<article>x</article>", 1, 2, 3, 4, 5, 6, 7, 8, "x")]
