@@ -15,7 +15,7 @@ from lorekeep.llm.packing import pack_documents
 from lorekeep.llm.suffix_dedup import remove_repeats
 from lorekeep.llm.toxicity import SETTINGS as TOXICITY
 from lorekeep.llm.toxicity import learnable, score_toxicity
-from lorekeep.session import work_dir
+from lorekeep.session import remove, settled, work_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A character that a cut runs through goes as a whole; the document stays, even if empty.
     """
-    done = remove_repeats(docs)
-    left = F.replace(F.make_valid_utf8(F.col("repeats.kept").cast("string")), F.lit("�"), F.lit(""))
-    cut = F.col("repeats.n_removed") > 0
-    done = done.withColumn("text", F.when(cut, left).otherwise(F.col("text")))
+    done, cut = remove_repeats(docs), F.col("repeats.n_removed") > 0
+    done = done.withColumn("text", F.when(cut, F.col("repeats.text")).otherwise(F.col("text")))
     return done.withColumn("n_chars", F.when(cut, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
@@ -70,6 +68,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = work_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
+        before = settled(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        for path in settled(spark) - before:  # the stage's own tables, now that it is written
+            if not path.endswith(home.rpartition("/")[2]):
+                remove(spark, path)
     return docs
