@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,12 @@ def settled(spark: SparkSession) -> set[str]:
     return {str(f.getPath()) for f in store.listStatus(root)} if store.exists(root) else set()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Remove everything this application has settled.
 
