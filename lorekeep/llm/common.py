@@ -15,8 +15,20 @@ from ..session import settle
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds about ``limit`` bytes in each."""
+#: What operators keep in a worker from task to task.
+kept_in_worker: list[dict] = []
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, own: dict | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that ``column`` holds about ``limit`` bytes in each.
+
+    A worker serves many operators: what others than the one with ``own`` have kept in it is forgotten first.
+    """
+    for other in kept_in_worker:
+        if other is not own:
+            other.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import slices
+from .common import kept_in_worker, slices
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -29,8 +29,8 @@ GROUP_TOKENS = 4_000_000
 GROUP_ROWS = 100_000
 #: Branches that the search may try in a group before it keeps its incumbent.
 NODES = 20_000
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers, until a task of another operator runs in it.
+CACHE_WORDS = 1_000_000
 #: Fillings that a branch keeps, and steps that the search for them may take.
 FILLINGS = 6
 FILLING_STEPS = 400
@@ -41,13 +41,11 @@ _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Letters, then perhaps punctuation but no apostrophe: these are split just between the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict[str, tuple] = {}
+kept_in_worker.append(_loaded)
 
 
 def _tokenizer(name: str):
-    """The tokenizer, which of its tokens end a word, and the words already seen.
-
-    A worker keeps the tokenizer for its next task; a task forgets its words when it ends.
-    """
+    """The tokenizer, which of its tokens end a word, and the words already seen; a worker keeps them for its next task."""
     if name not in _loaded:
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -56,6 +54,7 @@ def _tokenizer(name: str):
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[no for token, no in vocabulary.items() if token.endswith("</w>")]] = True
+        tokenizer.model._resize_cache(0)  # each word is encoded once
         _loaded[name] = tokenizer, ends, {}
     return _loaded[name]
 
@@ -125,7 +124,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKE
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, _loaded):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").to_pylist(), name)):
                 ids += end
@@ -133,8 +132,6 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKE
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc, no, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
-        if name in _loaded:
-            _loaded[name][2].clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

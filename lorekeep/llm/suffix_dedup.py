@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import remove, settle, settled
+from ..session import remove, settle, settled, sweep
 from .common import shuffle_width, slices
 
 
@@ -159,9 +159,8 @@ OCCURRENCE = (
 
 
 def occurrences(docs: DataFrame, anchors: DataFrame, s: Settings) -> DataFrame:
-    """Segments whose anchor occurs again, and a few more that the filters let through.
-
-    If segments of the anchor differ, a task adds the bytes of a segment where it meets it first.
+    """Segments whose anchor occurs again. If segments of the anchor differ, a task adds the
+    bytes of a segment where it meets it first. They lie by anchor, so like bytes are neighbours on disk.
     """
     context = docs.sparkSession.sparkContext
     held = context.broadcast((filter_of(anchors, s.filter_bits), filter_of(anchors.where("many"), s.filter_bits)))
@@ -195,7 +194,7 @@ def occurrences(docs: DataFrame, anchors: DataFrame, s: Settings) -> DataFrame:
                 pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bodies, pa.binary()),
             ], names=["doc_id", "text_key", "start", "windows", "lead", "anchor", "s1", "s2", "body"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, OCCURRENCE)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, OCCURRENCE).join(anchors, "anchor")
 
 
 class Run:
@@ -402,14 +401,17 @@ def repeated_spans(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     before = settled(spark)
     anchors = settle(anchor_counts(docs, s), "anchors")
     found = settle(occurrences(docs, anchors, s), "occurrences")
+    sweep(spark)
     lone = F.struct(F.col("body").isNotNull().alias("b"), "doc_id", "text_key", "start")
     same = found.groupBy("anchor", "s1", "s2").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(F.struct("body", "lead", "doc_id", "text_key", "start"), lone).alias("_r"))
-    same = settle(same.select("anchor", "s1", "s2", "n", "_r.*").where("n > 1 or body is not null"), "segments")
+        F.count(F.lit(1)).alias("n"), F.max_by(F.struct("body", "lead", "doc_id", "text_key", "start"), lone).alias("_r"),
+        F.max("many").alias("many"))
+    same = settle(same.where("n > 1 or many").select("anchor", "s1", "s2", "n", "many", "_r.*"), "segments")
+    sweep(spark)
     copied = found.join(same.where("n > 1").select("anchor", "s1", "s2"), ["anchor", "s1", "s2"]).select(
         "doc_id", "text_key", F.col("start").cast("long").alias("lo"),
         (F.col("start") + F.col("windows") + (s.window - 1)).cast("long").alias("hi"))
-    different = same.where("body is not null")
+    different = same.where("many")
     # At most a row for every ``group`` segments; settled, so that Spark knows its size before it plans the joins.
     large = settle(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > s.group).select("anchor"), "large")
     if large.isEmpty():
@@ -418,6 +420,7 @@ def repeated_spans(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
         spans = copied.unionByName(collection_spans(different.join(large, "anchor", "left_anti"), s))
         spans = spans.unionByName(window_spans(different.join(large, "anchor", "left_semi"), s))
     spans = settle(spans, "spans")
+    sweep(spark)
     for path in settled(spark) - before:
         if "/spans-" not in path:
             remove(spark, path)
