@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.chunks import assign_chunks
 from ..session import work_dir
 from ..sinks.corpus import commit_sync_log, write_chunks
-from ..sinks.reports import append_done, write_names, write_registry
+from ..sinks.reports import append_done, write_names, write_registry, write_registry_document
 from ..sources.articles import read_json_corpus, read_sync_log, sync_state
 from ..sources.catalogs import (
     explode_tags, parse_listing_status, parse_package_pages, parse_version_pages, read_done_log, read_inventory, read_names,
-    read_registry,
+    read_registry, read_registry_document,
 )
 from ..sources.reports import parse_coverage, parse_status_lines, parse_unpushed, read_text_tree
 from .registry import query
@@ -30,6 +30,19 @@ def registry_files(t):
     return read_registry(t.spark, path).select("category", "position", "name", "path")
 
 
+@query("r01b_registry_document", """
+    SELECT p_brand AS category, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS BIGINT) AS position,
+           p_name AS name, '/ref/' || p_partkey AS path FROM part""")
+def registry_document_files(t):
+    """The same registry by way of one nested document in several part files."""
+    at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = t.part.select(F.col("p_brand").alias("category"), at.cast("bigint").alias("position"),
+                         F.col("p_name").alias("name"), F.concat(F.lit("/ref/"), "p_partkey").alias("path"))
+    path = work_dir(t.spark, "registry-document")
+    write_registry_document(rows, path)
+    return read_registry_document(t.spark, path).select("category", "position", "name", "path")
+
+
 @query("r02_coverage_json", """
     SELECT 'd' || doc_id AS repo, CASE WHEN doc_id % 9 <> 0 THEN n_chars END AS num_statements,
            CASE WHEN doc_id % 9 <> 0 THEN n_chars // 2 END AS covered_lines,

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import escape_path, escape_slashes
 from ..operators import reconcile
-from ..sources.catalogs import name_list, two_column_lines
+from ..session import work_dir
+from ..sources.catalogs import name_list, read_two_columns
 from . import views
 from .registry import query
 from .views import with_views
@@ -86,13 +87,14 @@ def visibility_plan(t):
 @query("q19b_two_column_lines", with_views("v_pkg") + """
     SELECT name, visibility FROM v_pkg WHERE visibility IS NOT NULL AND c_custkey % 10 <> 0""")
 def two_columns(t):
-    """The same packages as text lines; some lines are blank, short or long."""
+    """The same packages as lines of text files; some lines are blank, short or long."""
     pkg = views.packages(t)
     extra = F.when(F.col("c_custkey") % 10 == 0, F.lit("\textra")).otherwise("")
     line = F.when(F.col("visibility").isNull() & (F.col("c_custkey") % 2 == 0), F.lit("  ")).otherwise(
         F.concat("name", F.coalesce(F.concat(F.lit("\t"), "visibility"), F.lit("")), extra))
-    lines = pkg.where("not (visibility is null and c_custkey % 10 = 0)").select(line.alias("value"))
-    return two_column_lines(lines)
+    path = work_dir(t.spark, "two-columns")
+    pkg.select(line.alias("value")).write.text(path)
+    return read_two_columns(t.spark, path)
 
 
 def _candidates(t):

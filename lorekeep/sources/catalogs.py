@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.ordering import ROWS_PER_RANGE, carry_down, dense_index
+from ..session import settle
 from .files import list_tree, read_texts
 
 
@@ -17,15 +19,40 @@ def path_text(uri: Column) -> Column:
     return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
-def read_registry_document(spark: SparkSession, path: str) -> DataFrame:
-    """A nested registry file as rows: category, position, and the entry fields."""
+#: A line of a written document: perhaps the begin of a category, and entries.
+_LINE = r'(?s)^\s*+(?:\{|,)?(?:("(?:[^"\\]|\\.)*+"):\[)?(\{.*\})(?:\]\}|\],|\]|,)?\s*$'
+
+
+def read_registry_document(spark: SparkSession, path: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """A nested registry document as rows: category, position, and the entry fields.
+
+    ``path`` is a JSON file of any layout, or a folder as ``write_registry_document`` leaves it. In the latter the
+    part files, read in turn, are the document, and a line holds one entry: lines are parsed where they are, and
+    the category that stands at its first entry is carried down. A document that does not parse fails the job.
+    """
     try:
+        lines = spark.read.text(path).where(F.trim("value") != "").select(
+            F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"), F.regexp_extract("value", _LINE, 1).alias("_name"),
+            F.from_json(F.concat(F.lit("["), F.nullif(F.regexp_extract("value", _LINE, 2), F.lit("")), F.lit("]")),
+                        T.ArrayType(schemas.REGISTRY_ENTRY)).alias("_es"))
+        shape = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_es").isNull()).alias("odd")).first()
         docs = spark.read.text(path, wholetext=True)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.REGISTRY_ROW)
-    by_category = docs.select(F.explode(F.from_json("value", schemas.REGISTRY)).alias("category", "es"))
+    if shape["n"] > 1 and not shape["odd"]:
+        entries = lines.select("_file", "_block", "_line", "_name", F.posexplode("_es").alias("_at", "e"))
+        order = ["_file", "_block", "_line", "_at"]
+        entries = settle(entries, "registry-lines")
+        name = F.try_element_at(F.from_json(F.concat(F.lit("["), "_name", F.lit("]")), "array<string>"), F.lit(1))
+        named = F.when((F.col("_name") != "") & (F.col("_at") == 0), name)
+        carried = settle(carry_down(entries, order, "category", named, rows_per_range=rows_per_range), "registry-named")
+        return dense_index(carried, order, "position", ["category"], rows_per_range).select("category", "position", "e.*")
+    parsed = F.from_json("value", schemas.REGISTRY)
+    sound = F.when(parsed.isNull(), F.raise_error(F.lit("a registry document does not parse"))).otherwise(parsed)
+    by_category = docs.select(F.explode(sound).alias("category", "es"))
     return by_category.select("category", F.posexplode("es").alias("position", "e")).select(
         "category", F.col("position").cast("bigint").alias("position"), "e.*"
     )

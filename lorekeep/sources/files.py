@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 ENTRY = "path string, uri string, is_file boolean, size long, modified_at timestamp"
+#: Hadoop's names of stores that Arrow knows by another.
+HADOOP_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 #: Rows, or bytes of content, that a task hands on at a time.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
@@ -30,12 +32,13 @@ def open_store(path: str):
     if local:
         return fs.LocalFileSystem(), local[2], local[1]
     if "://" in path:
-        system, base = fs.FileSystem.from_uri(path)
+        scheme, rest = path.split("://", 1)
+        system, base = fs.FileSystem.from_uri(f"{HADOOP_SCHEMES.get(scheme, scheme)}://{rest}")
         return system, base, path[: len(path) - len(base)] if path.endswith(base) else ""
     return fs.LocalFileSystem(), path, ""
 
 
-def _entries(system, folder: str) -> Iterator[tuple[str, bool, int | None, float | None]]:
+def file_entries(system, folder: str) -> Iterator[tuple[str, bool, int | None, float | None]]:
     """(path, is_file, size, mtime) of a folder's entries; a local folder of any size is streamed."""
     from pyarrow import fs
 
@@ -69,7 +72,7 @@ def _lister(root: str, recursive: bool, skip: Sequence[str]):
                 system, base, scheme = open_store(folder)
                 todo = [base]
                 while todo:
-                    for path, is_file, size, mtime in _entries(system, todo.pop()):
+                    for path, is_file, size, mtime in file_entries(system, todo.pop()):
                         if not is_file and path.rpartition("/")[2] in skip:
                             continue
                         when = None if mtime is None else datetime.fromtimestamp(mtime, timezone.utc)

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.updates import inbox_of, latest_per_key, merge_targets, sync_tally, update_targets
 from ..sinks.corpus import commit_sync_log, only_domains, stage, swap_corpus
-from ..sources.articles import articles_of, feed_status, number_pieces, read_corpus
+from ..sources.articles import articles_of, feed_status, number_pieces, read_corpus, read_sync_log
+from ..sources.feed_stream import FILES_PER_BATCH, stream_feed_files
 
 FEED_ORDER = ("feed_file", "feed_pos")
 TALLY = T.StructType([
@@ -35,7 +36,7 @@ def apply_batch(
     spark = batch.sparkSession
     here = f"{staging.rstrip('/')}/run={run_id}/batch={batch_id}"
     if "value" in batch.columns:
-        pieces = number_pieces(batch)
+        pieces = batch if "feed_pos" in batch.columns else number_pieces(batch)
         status = stage(feed_status(pieces), f"{here}/status")
         rows = articles_of(pieces, status)
     else:
@@ -84,11 +85,34 @@ def ingest(
 
     ``source`` is a stream of feed pieces or of feed rows.
     """
+    return _writer(source, corpus_path, log_path, staging, checkpoint, mode, new_domain).trigger(availableNow=True).start()
+
+
+def _writer(source: DataFrame, corpus_path: str, log_path: str, staging: str, checkpoint: str, mode: str, new_domain: str | None):
     def each(batch: DataFrame, batch_id: int) -> None:
         run_id = _run_id(batch.sparkSession, checkpoint)
         apply_batch(batch, batch_id, corpus_path, log_path, staging, mode, new_domain, run_id)
 
-    return (
-        source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def ingest_feed(
+    spark: SparkSession, feed: str, corpus_path: str, log_path: str, staging: str, checkpoint: str,
+    mode: str = "update_only", new_domain: str | None = None, max_files: int = FILES_PER_BATCH,
+) -> None:
+    """Process the feed files behind the last one processed, ``max_files`` a batch, in the order of their names.
+
+    Where to begin is what the checkpoint says, and before the first run what the log says. Batches follow
+    each other until no file is left; a failed one is repeated by the next call.
+    """
+    source = stream_feed_files(spark, feed, checkpoint, last_logged(spark, log_path), max_files)
+    query = _writer(source, corpus_path, log_path, staging, checkpoint, mode, new_domain).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def last_logged(spark: SparkSession, log_path: str) -> str | None:
+    """The last file, by name, that the log has."""
+    return read_sync_log(spark, log_path).agg(F.max("file")).first()[0]

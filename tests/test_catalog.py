@@ -43,6 +43,34 @@ def test_registry_document_round_trip(spark, tmp_path):
     assert read_registry_document(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_registry_document_of_several_parts_reads_back_whole(spark, tmp_path, rows):
+    """Names that hold quotes, brackets and line ends; categories that span parts."""
+    df = spark.createDataFrame(
+        [(f'c"{i // 70}', i % 70, f'n{i}\n"}},{{"]}}', ["f", str(i)]) for i in range(200)],
+        "category string, position long, name string, files array<string>")
+    path = str(tmp_path / "doc")
+    write_registry_document(df.repartition(8), path)
+    registry_document(df).repartitionByRange(4, "category", "position").sortWithinPartitions("category", "position").select(
+        "value").write.mode("overwrite").text(path)
+    assert len(list((tmp_path / "doc").glob("part-*"))) == 4
+    for many in (7, 100_000):
+        got = read_registry_document(spark, path, many).select("category", "position", "name", "files")
+        assert rows(got) == rows(df)
+
+
+def test_registry_documents_of_any_layout(spark, tmp_path, rows):
+    doc = {"a": [{"name": "x"}, {"name": "y"}], "b": [{"name": "z"}]}
+    want = [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")]
+    texts = [json.dumps(doc), json.dumps(doc, indent=1), '{"a":[{"name":"x"},{"name":"y"}],\n"b":[{"name":"z"}]}',
+             '{"a":[{"name":"x"}\n,{"name":"y"}],\n"b":[{"name":"z"}]\n}']
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+        assert rows(read_registry_document(spark, str(tmp_path / f"{i}.json")).select("category", "position", "name")) == want
+    (tmp_path / "bad.json").write_text('{"a": [{"name": "x"')
+    with pytest.raises(Exception, match="does not parse"):
+        read_registry_document(spark, str(tmp_path / "bad.json")).collect()
+
+
 @pytest.fixture
 def defaults(spark):
     rows = [(s, a, i) for s, asm in catalog.SPECIES_ASSEMBLIES.items() for i, a in enumerate(asm)]

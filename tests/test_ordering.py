@@ -75,7 +75,14 @@ def test_first_n_small_and_salted(spark, n):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_small_limit_is_cut_before_the_shuffle(spark):
-    df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
-    plan = first_n(df, ["g"], ["id"], 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("partitions, limits", [("1", 2), ("4", 4)])
+def test_small_limit_is_cut_before_the_shuffle(spark, partitions, limits):
+    """One window, cut before its shuffle and after it; with salts there are two of them."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+        plan = first_n(df, ["g"], ["id"], 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plan.count("WindowGroupLimit") == limits

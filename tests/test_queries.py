@@ -9,8 +9,8 @@ from lorekeep.plans.registry import ORACLES, QUERIES
 from tests.check_oracles import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-STREAMS = {"s1_feed_ingest", "s2_run_tracker"}
-WRITES = {"q05c_corpus_rewrite"} | STREAMS | {n for n in QUERIES if n.startswith("r")}
+STREAMS = {n for n in QUERIES if n.startswith("s")}
+WRITES = {"q05c_corpus_rewrite", "q19b_two_column_lines"} | STREAMS | {n for n in QUERIES if n.startswith("r")}
 
 
 @pytest.fixture(scope="module")
