@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import escape_path, escape_slashes
-from ..operators import reconcile
+from ..operators import digests, reconcile
 from ..session import work_dir
 from ..sources.catalogs import name_list, read_two_columns
 from . import views
@@ -55,6 +55,39 @@ def reconcile_summary(t):
     return reconcile.reconcile_summary(old, new, missing)
 
 
+#: Two copies of the line items' tags that differ in the lines of a few parts.
+COPY_SQL = """
+    WITH v_o AS (SELECT DISTINCT l_partkey AS name, l_linenumber AS tag FROM lineitem),
+    v_n AS (SELECT DISTINCT l_partkey AS name, l_linenumber AS tag FROM lineitem
+            WHERE NOT (l_partkey % 97 = 3 AND l_linenumber = 1) AND l_partkey % 89 <> 5),
+    v_lost AS (SELECT * FROM v_o EXCEPT SELECT * FROM v_n)"""
+
+
+def _copies(t):
+    old = t.lineitem.select(F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("tag"))
+    return old, old.where("not (name % 97 = 3 and tag = 1) and name % 89 <> 5")
+
+
+@query("q16b_names_by_digest", COPY_SQL + "SELECT name FROM v_o EXCEPT SELECT name FROM v_n")
+def names_by_digest(t):
+    return digests.missing_names_by_digest(*_copies(t))
+
+
+@query("q18c_tags_by_digest", COPY_SQL + "SELECT * FROM v_lost WHERE name IN (SELECT name FROM v_n)")
+def tags_by_digest(t):
+    return digests.missing_tags_by_digest(*_copies(t))
+
+
+@query("q18d_summary_by_digest", COPY_SQL + """,
+    v_row AS (SELECT (SELECT count(DISTINCT name) FROM v_o) AS old_count, (SELECT count(DISTINCT name) FROM v_n) AS new_count,
+                     (SELECT count(*) FROM (SELECT name FROM v_o EXCEPT SELECT name FROM v_n)) AS missing_names,
+                     (SELECT count(DISTINCT name) FROM v_o WHERE name IN (SELECT name FROM v_n)) AS checked,
+                     (SELECT count(DISTINCT name) FROM v_lost WHERE name IN (SELECT name FROM v_n)) AS with_missing_tags)
+    SELECT *, CASE WHEN missing_names = 0 AND with_missing_tags = 0 THEN 'complete' ELSE 'incomplete' END AS verdict FROM v_row""")
+def summary_by_digest(t):
+    return digests.summary_by_digest(*_copies(t))
+
+
 PLAN_SQL = with_views("v_pkg").rstrip() + f""",
     v_known AS (SELECT name, coalesce(visibility, 'unknown') AS visibility, excluded FROM v_pkg),
     v_first AS (SELECT * FROM v_known ORDER BY name LIMIT {LIMIT}),

@@ -10,7 +10,7 @@ from tests.check_oracles import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 STREAMS = {n for n in QUERIES if n.startswith("s")}
-WRITES = {"q05c_corpus_rewrite", "q19b_two_column_lines"} | STREAMS | {n for n in QUERIES if n.startswith("r")}
+WRITES = {"q05c_corpus_rewrite", "q05d_corpus_bucketed", "q19b_two_column_lines"} | STREAMS | {n for n in QUERIES if n.startswith("r")}
 
 
 @pytest.fixture(scope="module")
