@@ -136,10 +136,11 @@ def anchor_counts(docs: DataFrame, s: Settings) -> DataFrame:
 def filter_of(anchors: DataFrame, most: int) -> tuple[np.ndarray, int]:
     """A bitmap with a bit for each anchor, as 64-bit words, and the power of two that it holds.
 
-    There are 16 bits or more for each anchor, as long as that is no more than 2 ** ``most``.
+    There are 16 bits or more for each anchor, as long as that is no more than 2 ** ``most``. The place is the
+    low end of the hash: anchors are the least of many, so their high bits are mostly zeros.
     """
     bits = min(most, max(16, anchors.count().bit_length() + 4))
-    at = F.shiftrightunsigned("anchor", 64 - bits)
+    at = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
     words = anchors.select(at.alias("_i")).select(
         F.shiftright("_i", 6).alias("w"), F.expr("shiftleft(1L, cast(_i & 63 as int))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (bits - 6) rows
@@ -149,7 +150,7 @@ def filter_of(anchors: DataFrame, most: int) -> tuple[np.ndarray, int]:
 
 
 def passes(bitmap: np.ndarray, bits: int, anchor: np.ndarray) -> np.ndarray:
-    at = anchor >> np.uint64(64 - bits)
+    at = anchor & np.uint64((1 << bits) - 1)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
