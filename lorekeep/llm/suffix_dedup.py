@@ -44,7 +44,7 @@ class Settings:
     #: Most bits (a power of two of them) of a filter that spares unrepeated anchors the way to disk.
     filter_bits: int = 28
     #: Segments whose bytes a task remembers having written.
-    remembered: int = 500_000
+    remembered: int = 100_000
 
 
 SETTINGS = Settings()
