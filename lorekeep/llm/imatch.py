@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -109,7 +110,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Fingerprinter:
-    """Fingerprints from the terms that a sorted lexicon holds."""
+    """Fingerprints from the terms that a sorted lexicon holds; the lexicon is empty where a join picks them."""
 
     def __init__(self, lexicon: np.ndarray, s: Settings):
         self.lexicon, self.known, self.s = lexicon, WordHash(), s
@@ -118,11 +119,14 @@ class Fingerprinter:
         self.shift = np.repeat(np.array([64 - r for r in s.rates], np.uint64), s.per_rate)
 
     def of(self, text: str) -> list[str]:
-        """A hash for each subset, empty where the document has no term of it; without any term of the
-        lexicon one hash of all its terms."""
         own = terms(text, self.known)
         at = np.searchsorted(self.lexicon, own)
         inside = own[(at < len(self.lexicon)) & (self.lexicon[np.minimum(at, len(self.lexicon) - 1)] == own)] if len(self.lexicon) else own[:0]
+        return self.of_terms(own, inside)
+
+    def of_terms(self, own: np.ndarray, inside: np.ndarray) -> list[str]:
+        """A hash for each subset, empty where the document has no term of it; without any term of the
+        lexicon one hash of all its terms. Both arrays are sorted."""
         out = [""] * len(self.seeds)
         subset, term = np.nonzero((mix(inside[:, None] ^ self.seeds) >> self.shift == 0).T)
         cuts = np.flatnonzero(np.diff(subset)) + 1
@@ -147,10 +151,16 @@ def likeness(a: list[str], b: list[str], s: Settings) -> float:
 def fingerprint(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """``docs`` with ``fingerprint``, the comma-joined hashes of the subsets, for each whole text.
 
-    Null texts are empty; equal texts have equal fingerprints; other columns pass through.
+    Null texts are empty; equal texts have equal fingerprints; an empty table gives one. Other
+    columns pass through, whatever their names; one named ``fingerprint`` is replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bounded_lexicon(docs, s))
+    lexicon = lexicon_of(docs, s)
+    held = broadcast_lexicon(lexicon, s)
     kept = docs.drop("fingerprint")
+    if held is None:
+        rows = kept.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("key"))
+        marks = joined_fingerprints(keyed_terms(kept), lexicon, s)
+        return rows.join(marks, "key").select("row.*", "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(held.value, s)
@@ -160,17 +170,56 @@ def fingerprint(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return kept.mapInArrow(run, kept.withColumn("fingerprint", F.lit("")).schema)
 
 
-def bounded_lexicon(docs: DataFrame, s: Settings) -> np.ndarray:
-    """The lexicon as a sorted array.
+def broadcast_lexicon(lexicon: DataFrame, s: Settings) -> Broadcast | None:
+    """The lexicon as a sorted array on every executor; None if it holds more than ``broadcast_terms``."""
+    if lexicon.count() > s.broadcast_terms:
+        return None
+    return lexicon.sparkSession.sparkContext.broadcast(np.sort(lexicon.toPandas()["term"].to_numpy(np.int64).view(np.uint64)))
+
+
+def key_of(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
+def text_key(text: Column) -> Column:
+    """What ``key_of`` gives, in the JVM."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+KEYED = "key binary, terms array<long>"
+
+
+def _keyed(rows: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in rows], pa.binary()), pa.array([t.view(np.int64) for _, t in rows], pa.list_(pa.int64()))],
+        names=["key", "terms"])
 
-    If documents are so long that it is larger than ``broadcast_terms``, a fixed share of
-    the terms, by hash, is the lexicon: one subset more, and the same for all documents.
-    """
-    lexicon = lexicon_of(docs, s)
-    size = lexicon.count()
-    if size > s.broadcast_terms:
-        lexicon = lexicon.where(F.pmod(F.xxhash64("term"), F.lit(-(-size // s.broadcast_terms))) == 0)
-    return np.sort(lexicon.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+
+def keyed_terms(docs: DataFrame) -> DataFrame:
+    """(key, terms) of each whole text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in slices(batches, "text"):
+            yield _keyed([(key_of(t or ""), terms(t or "", known)) for t in batch.column("text").to_pylist()])
+
+    return docs.select("text").mapInArrow(run, KEYED)
+
+
+def joined_fingerprints(keyed: DataFrame, lexicon: DataFrame, s: Settings) -> DataFrame:
+    """(key, fingerprint) of the distinct keys, for a lexicon of any size: each text's terms meet it in a join."""
+    pairs = keyed.dropDuplicates(["key"]).select("key", F.explode_outer("terms").alias("term"))
+    met = pairs.join(lexicon.select("term", F.lit(True).alias("inside")), "term", "left")
+    sets = met.groupBy("key").agg(
+        F.collect_list("term").alias("own"), F.collect_list(F.when(F.col("inside"), F.col("term"))).alias("inside"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Fingerprinter(np.zeros(0, np.uint64), s)
+        for batch in batches:
+            own, inside = ([np.sort(np.array(x.as_py(), np.int64).view(np.uint64)) for x in batch.column(c)] for c in ("own", "inside"))
+            marks = [",".join(maker.of_terms(a, b)) for a, b in zip(own, inside)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(marks, pa.string())], names=["key", "fingerprint"])
+
+    return sets.mapInArrow(run, "key binary, fingerprint string")
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
@@ -206,23 +255,17 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "_part").sortWithinPartitions("_part", "_guest", "_id", "_tie").drop("_id")
 
 
-def edited_digest(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and how alike they are.
+def with_next(rows: DataFrame, schema: str, make) -> DataFrame:
+    """``make()``, called in each task, gets of every document id, text and the next one's text, and gives a row.
 
-    The edited text's last half is replaced by the beginning of the next document in
-    doc_id order (after the last: the first; equal ids in the order of a hash of their
-    texts; null ids first). Rows travel once, into parts of neighbouring ids, and a part
-    is streamed through, so a task holds two documents and a few megabytes.
+    ``rows`` come from ``in_order``. A part is streamed through, so a task holds two documents
+    and a few megabytes.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bounded_lexicon(docs, s))
-    rows = in_order(docs.select("doc_id", "text"), 2 * shuffle_width(docs))
-    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double")
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*((n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Fingerprinter(held.value, s)
+        row = make()
         waiting = part = None
         for batch in slices(batches, "text"):
             out = []
@@ -232,16 +275,84 @@ def edited_digest(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
                 if guest and waiting is None:
                     continue  # a second guest with the same id
                 text = text or ""
-                mine = maker.of(text)
                 if waiting is not None:
-                    before, whole, own = waiting
-                    half = len(whole) // 2
-                    edited = whole[:len(whole) - half] + text[:half]
-                    changed = maker.of(edited)
-                    out.append((before, len(whole), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-                                ",".join(own), ",".join(changed), likeness(own, changed, s), likeness(own, mine, s)))
-                waiting = None if guest else (doc, text, mine)
+                    out.append(row(*waiting, text))
+                waiting = None if guest else (doc, text)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return rows.mapInArrow(run, schema)
+
+
+def edit(text: str, after: str) -> str:
+    half = len(text) // 2
+    return text[:len(text) - half] + after[:half]
+
+
+DIGEST = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+          "near_edited double, near_next double")
+
+
+def edited_digest(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and how alike they are.
+
+    The edited text's last half is replaced by the beginning of the next document in
+    doc_id order (after the last: the first; equal ids in the order of a hash of their
+    texts; null ids first). Rows travel once, into parts of neighbouring ids. Null texts are
+    empty, repeated rows count each, an empty table gives none, other columns are not read.
+    """
+    lexicon = lexicon_of(docs, s)
+    held = broadcast_lexicon(lexicon, s)
+    rows = in_order(docs.select("doc_id", "text"), 2 * shuffle_width(docs))
+    if held is None:
+        return _joined_digest(rows, lexicon, s)
+
+    def make():
+        maker, last = Fingerprinter(held.value, s), [None, None]
+
+        def of(text: str) -> list[str]:
+            if last[0] != text:
+                last[:] = text, maker.of(text)
+            return last[1]
+
+        def row(doc: int, text: str, after: str) -> tuple:
+            own, edited = of(text), edit(text, after)
+            changed = maker.of(edited)
+            return (doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
+                    ",".join(own), ",".join(changed), likeness(own, changed, s), likeness(own, of(after), s))
+
+        return row
+
+    return with_next(rows, DIGEST, make)
+
+
+def _joined_digest(rows: DataFrame, lexicon: DataFrame, s: Settings) -> DataFrame:
+    """The digest where the lexicon is joined: terms of own and edited texts first, then three looks at their fingerprints."""
+    def make():
+        known = WordHash()
+
+        def row(doc: int, text: str, after: str) -> tuple:
+            edited = edit(text, after)
+            return (doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), key_of(text), key_of(edited),
+                    key_of(after), terms(text, known).view(np.int64), terms(edited, known).view(np.int64))
+
+        return row
+
+    wide = settle(with_next(rows, "doc_id long, n_chars long, edited_sha256 string, key binary, edited_key binary, next_key binary, "
+                                  "terms array<long>, edited_terms array<long>", make), "imatch_terms")
+    keyed = wide.select("key", "terms").union(wide.select("edited_key", "edited_terms"))
+    marks = settle(joined_fingerprints(keyed, lexicon, s), "imatch_marks")
+    found = wide.drop("terms", "edited_terms")
+    for key, mark in (("key", "fingerprint"), ("edited_key", "edited_fingerprint"), ("next_key", "next_fingerprint")):
+        found = found.join(marks.select(F.col("key").alias(key), F.col("fingerprint").alias(mark)), key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, edited, after = ([x.as_py().split(",") for x in batch.column(c)]
+                                  for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+            near = [[likeness(a, b, s) for a, b in zip(own, other)] for other in (edited, after)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(names).columns, *(pa.array(x, pa.float64()) for x in near)], names=[*names, "near_edited", "near_next"])
+
+    names = [x.split()[0] for x in DIGEST.split(", ")][:5]
+    return found.mapInArrow(run, DIGEST)
