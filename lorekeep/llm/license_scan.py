@@ -8,6 +8,7 @@ All pieces are sought at once with an Aho-Corasick automaton; around each hit th
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,6 +83,24 @@ def pieces(words: str, edits: int) -> list[tuple[int, str]]:
     return [(a, words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+BOUND = regex.compile(r"\b")
+
+
+class SortedSpans:
+    """Spans without overlaps, by their start."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def add(self, start: int, stop: int) -> bool:
+        """Take the span in unless it overlaps one that is there."""
+        at = bisect(self.spans, (start, stop))
+        if (at and self.spans[at - 1][1] > start) or (at < len(self.spans) and self.spans[at][0] < stop):
+            return False
+        self.spans.insert(at, (start, stop))
+        return True
+
+
 class Scanner:
     """Scans one text at a time; built once per task."""
 
@@ -120,29 +139,38 @@ class Scanner:
     def near(self, joined: str) -> list[tuple[str, int, int, int, str]]:
         """(label, first word, last word, edits, matched words) of fuzzy notices.
 
-        A notice's windows that touch are searched as one; of several matches
-        that start at one place the one with the fewest edits counts.
+        Each seed's own window is searched, and what lies before and behind a match in it.
+        Of places of one notice that overlap, the one with fewer edits counts, then the earlier.
         """
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int, int]] = set()
         for end, (length, places) in self.seeds.iter(joined):
             for no, at in places:
                 x = self.notices[no]
-                start = max(0, end + 1 - length - at - x.edits - 1)
-                stop = min(len(joined), end + 1 - length - at + len(x.words) + x.edits + 1)
-                own = windows.setdefault(no, [])
-                if own and start <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], stop)
-                else:
-                    own.append([start, stop])
+                begin = end + 1 - length - at
+                windows.add((no, max(0, begin - x.edits - 1), min(len(joined), begin + len(x.words) + x.edits + 1)))
+        places: dict[int, set[tuple[int, int, int]]] = {}
+        for no, start, stop in windows:
+            # The search takes its end for the end of a word, so the window ends where a word does.
+            ends = [m.start() for m in BOUND.finditer(joined, start, stop + 1) if m.start() <= stop]
+            places.setdefault(no, set()).update(self._matches(no, joined, start, ends[-1] if ends else start))
         found = []
-        for no, own in windows.items():
-            for start, stop in own:
-                for m in self.fuzzy[no].finditer(joined, start, stop):
-                    first = joined.count(" ", 0, m.start() + (m[0][:1] == " ")) - 1
-                    shown = m[0].strip()
-                    found.append((self.notices[no].label, first, first + shown.count(" "), sum(m.fuzzy_counts), shown))
+        for no, own in places.items():
+            taken = SortedSpans()
+            for edits, start, stop in sorted(own):
+                if taken.add(start, stop):
+                    shown = joined[start:stop]
+                    first = joined.count(" ", 0, start + (shown[:1] == " ")) - 1
+                    shown = shown.strip()
+                    found.append((self.notices[no].label, first, first + shown.count(" "), edits, shown))
         return found
 
+    def _matches(self, no: int, joined: str, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
+        m = self.fuzzy[no].search(joined, start, stop) if stop > start else None
+        if m and m.end() > m.start():
+            yield sum(m.fuzzy_counts), m.start(), m.end()
+            yield from self._matches(no, joined, start, m.start())
+            yield from self._matches(no, joined, m.end(), stop)
+
     def scan(self, text: str | None) -> dict:
         words = self.words(text)
         joined = b" " + b" ".join(words) + b" "
@@ -168,8 +196,8 @@ def scan_licenses(
     """``docs`` with one struct ``license`` of what was found in each whole text.
 
     Narrow: nothing is shuffled, and a row needs memory for its own text only.
-    A null or empty text has no words, no labels, score 0 and no spans. Repeated
-    rows are scanned each; other columns pass through, also one named ``license``,
+    A null or empty text has no words, no labels, score 0 and no spans; an empty table
+    gives an empty one. Repeated rows are scanned each; other columns pass through, also one named ``license``,
     which is replaced.
     """
     kept = docs.drop("license")
