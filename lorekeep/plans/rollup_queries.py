@@ -275,7 +275,7 @@ def run_state(t):
 
 BUDGET_SECONDS = 36 * 3600
 
-OUTCOME_SQL = with_views("v_run").rstrip() + f""",
+LIVE_OUTCOME_SQL = with_views("v_run").rstrip() + f""",
     v_per AS (SELECT run_id, min(observed_at) AS started_at,
                      min(CASE WHEN state <> 'RUNNING' THEN observed_at END) AS end_at,
                      arg_min(state, observed_at) FILTER (WHERE state <> 'RUNNING') AS end_state,
@@ -283,7 +283,8 @@ OUTCOME_SQL = with_views("v_run").rstrip() + f""",
     v_out AS (SELECT run_id, started_at, started_at + INTERVAL {BUDGET_SECONDS} SECOND AS deadline, end_at, end_state, clock FROM v_per)
     SELECT run_id, CASE WHEN end_at <= deadline THEN end_state ELSE 'TIMED_OUT' END AS outcome, started_at,
            CASE WHEN end_at <= deadline THEN end_at ELSE deadline END AS ended_at
-    FROM v_out WHERE end_at IS NOT NULL OR clock > deadline"""
+    FROM v_out"""
+OUTCOME_SQL = LIVE_OUTCOME_SQL + " WHERE end_at IS NOT NULL OR clock > deadline"
 
 
 @query("q33b_run_outcomes", OUTCOME_SQL)

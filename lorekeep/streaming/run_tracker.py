@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.runs import TERMINAL, TIMED_OUT
 
@@ -117,3 +120,97 @@ def track_runs(
         brief_snapshots(snapshots).withWatermark("observed_at", delay).groupBy("run_id")
         .applyInPandasWithState(step, OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
+
+
+CLOSING = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("first_us", T.LongType()),
+    T.StructField("end_us", T.LongType()),
+])
+OPEN = T.StructType([
+    T.StructField("first_us", T.LongType()),
+    T.StructField("due_ms", T.LongType()),
+])
+CLOSED = T.StructType([T.StructField("closed", T.BooleanType())])
+
+
+class RunClock(StatefulProcessor):
+    """A run's first time and the timer of its deadline; closed runs are forgotten by their time to live."""
+
+    def __init__(self, budget_us: int, grace_ms: int, keep_ms: int):
+        self.budget_us, self.grace_ms, self.keep_ms = budget_us, grace_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN)
+        self.closed = handle.getValueState("closed", CLOSED, self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, due = self.open.get() if self.open.exists() else (None, None)
+        known, end = first, None
+        for r in rows:
+            first = r.first_us if first is None else min(first, r.first_us)
+            if r.end_us is not None:
+                end = (r.end_us, r.end_state) if end is None else min(end, (r.end_us, r.end_state))
+        if self.closed.exists():
+            return
+        if end is not None:
+            deadline = first + self.budget_us
+            yield self._close(key, first, due, *(end if end[0] <= deadline else (deadline, TIMED_OUT)))
+        elif first != known:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            now = timerValues.getCurrentProcessingTimeInMs()
+            due = max((first + self.budget_us) // 1000, now) + 1 + self.grace_ms
+            self.handle.registerTimer(due)
+            self.open.update((first, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.open.exists():
+            first, _ = self.open.get()
+            yield self._close(key, first, None, first + self.budget_us, TIMED_OUT)
+
+    def _close(self, key, first: int, due: int | None, end: int, outcome: str) -> Row:
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.open.clear()
+        self.closed.update((True,))
+        return Row(run_id=key[0], outcome=outcome, first_us=first, end_us=end)
+
+    def close(self) -> None:
+        pass
+
+
+def track_live_runs(
+    snapshots: DataFrame, budget_seconds: float, grace_seconds: float = 0.0, keep_closed_seconds: float = 3600.0,
+) -> DataFrame:
+    """The tracker by the wall clock: a run times out although no run sends anything any more.
+
+    A timer stands at the deadline, ``budget_seconds`` after the run's first snapshot, plus
+    ``grace_seconds`` for snapshots on their way; one that comes before the timer has
+    fired still counts by its own time. A closed run is remembered for ``keep_closed_seconds``.
+    Timers and states live in the checkpoint, so a restart goes on with them. Rows without a run or
+    a time are left out. Needs the RocksDB state store (``with_rocksdb``).
+    """
+    clock = RunClock(int(budget_seconds * 1_000_000), int(grace_seconds * 1000), int(keep_closed_seconds * 1000))
+    closing = brief_snapshots(snapshots).groupBy("run_id").transformWithState(clock, CLOSING, "Append", "ProcessingTime")
+    return closing.select(
+        "run_id", "outcome", F.timestamp_micros("first_us").alias("started_at"), F.timestamp_micros("end_us").alias("ended_at"))
+
+
+def with_rocksdb(spark) -> None:
+    """Streams that start from now on keep their states in RocksDB, as timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_until_quiet(query: StreamingQuery, wait_seconds: float = 0.2) -> None:
+    """Stop a stream after its first batch without input, in which the timers that were due have fired."""
+    try:
+        while query.isActive and not any(p["numInputRows"] == 0 for p in query.recentProgress):
+            time.sleep(wait_seconds)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()

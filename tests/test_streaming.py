@@ -1,12 +1,16 @@
 import gzip
 import json
+import time
+from datetime import datetime, timedelta, timezone
+
+import pytest
 
 from lorekeep import schemas
 from lorekeep.operators import runs, updates
 from lorekeep.sinks.corpus import finish_swap, stage
 from lorekeep.sources import articles, reports
 from lorekeep.streaming.ingest import apply_batch, ingest
-from lorekeep.streaming.run_tracker import track_runs
+from lorekeep.streaming.run_tracker import run_until_quiet, track_live_runs, track_runs, with_rocksdb
 from tests.test_articles import feed, record
 
 
@@ -157,3 +161,55 @@ def test_run_tracker(spark, tmp_path, rows):
     assert run() == got + [("f", "COMPLETED")]
     batch = runs.run_outcomes(reports.read_snapshots(spark, str(inbox)), 120).select("run_id", "outcome")
     assert rows(batch) == got + [("f", "COMPLETED")]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    with_rocksdb(spark)
+    yield
+    spark.conf.set(provider, before)
+
+
+def ago(seconds):
+    return (datetime.now(timezone.utc) - timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
+def test_quiet_runs_time_out_also_after_a_restart(spark, tmp_path, rows, rocksdb):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+
+    def send(name, *snapshots):
+        (inbox / name).write_text("\n".join(json.dumps({"run_id": r, "state": s, "observed_at": ago(t)}) for r, s, t in snapshots))
+
+    def start():
+        out = track_live_runs(reports.read_snapshots(spark, str(inbox), streaming=True), 100, grace_seconds=1)
+        return out, (out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                     .option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start())
+
+    def found(out):
+        return rows(spark.read.schema(out.schema).parquet(str(tmp_path / "out")).select("run_id", "outcome"))
+
+    send("1.json", ("done", "running", 90), ("done", "completed", 50), ("late", "running", 300), ("late", "failed", 10),
+         ("quiet", "running", 85), ("open", None, 5), (None, "running", 5))
+    out, job = start()
+    run_until_quiet(job)
+    assert found(out) == [("done", "COMPLETED"), ("late", "TIMED_OUT")]
+    # A new start with the old checkpoint; only a snapshot of a closed run comes, and the timer of the quiet one fires.
+    send("2.json", ("done", "failed", 1))
+    out, job = start()
+    try:
+        until = time.time() + 60
+        while len(found(out)) < 3 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        job.stop()
+    assert found(out) == [("done", "COMPLETED"), ("late", "TIMED_OUT"), ("quiet", "TIMED_OUT")]
+    times = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("run_id = 'quiet'").first()
+    assert times.ended_at - times.started_at == timedelta(seconds=100)
+    # The terminal state comes before the timer of the open run.
+    send("3.json", ("open", "failed", 0), ("open", "completed", 1))
+    out, job = start()
+    run_until_quiet(job)
+    assert found(out) == [("done", "COMPLETED"), ("late", "TIMED_OUT"), ("open", "COMPLETED"), ("quiet", "TIMED_OUT")]
