@@ -158,7 +158,7 @@ def line_counts(
     """Files, blank, comment and code lines per language, and a ``TOTAL`` row.
 
     A comment line is one that begins with the language's line-comment mark.
-    Block comments are not followed.
+    Block comments are not followed; ``linecount.source_line_counts`` does that.
     """
     lines = lines_of(F.col(text))
     mark = F.lit(None).cast("string")
@@ -173,6 +173,11 @@ def line_counts(
         F.size(F.filter("_lines", lambda t: F.startswith(F.trim(t, F.lit(BLANKS)), F.col("_mark"))))
         .cast("bigint").alias("comment"),
     )
+    return rollup_languages(per_file)
+
+
+def rollup_languages(per_file: DataFrame) -> DataFrame:
+    """Lines, blank and comment lines of files, summed per language and in all."""
     counted = per_file.rollup("language").agg(
         F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"),
         F.sum("blank").alias("blank"), F.sum("comment").alias("comment"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import textscan
+from ..operators import linecount, textscan
 from . import views
 from .registry import query
 
@@ -90,3 +90,46 @@ def wanted_files(t):
     wanted = textscan.outside_dirs(F.col("path"), ["de"]) & textscan.lacks_extension(
         F.col("path"), textscan.COUNT_EXCLUDED_EXTENSIONS)
     return files.where(wanted).withColumn("language", textscan.language_of(F.col("path")))
+
+
+# Source files made of the tables: texts inside and beside comments, marks inside strings, and the pages as they are.
+SOURCE_SQL = r"""
+    WITH v_doc AS (SELECT doc_id, replace(coalesce(text, ''), '. ', '.' || chr(10)) AS t FROM documents),
+    v_file AS (
+        SELECT CASE doc_id % 3 WHEN 0 THEN 'JavaScript' WHEN 1 THEN 'CSS' ELSE 'YAML' END AS language,
+               CASE doc_id % 3
+               WHEN 0 THEN '/* ' || t || ' */ let a = 1 // /*' || chr(10) || chr(10) || 'let s = "/* ";' || chr(10) || t || chr(10) || '/* open' || chr(10) || t
+               WHEN 1 THEN 'a { content: "/*" }' || chr(10) || t || '/* ' || t || '*/' || chr(10)
+               ELSE '# ' || t END AS text FROM v_doc
+        UNION ALL SELECT 'HTML', CASE WHEN page_id % 2 = 0 THEN '<!-- ' ELSE '' END || replace(coalesce(html, ''), '><', '>' || chr(10) || '<') FROM pages),
+    v_piece AS (SELECT language, text, CASE language
+        WHEN 'JavaScript' THEN regexp_extract_all(text, '/[*].*?(?:[*]/|\z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"?|\x27(?:[^\x27\\\n]|\\.)*\x27?|`(?:[^`\\]|\\.)*`?|[^/"\x27`]+|.', 0, 's')
+        WHEN 'CSS' THEN regexp_extract_all(text, '/[*].*?(?:[*]/|\z)|"(?:[^"\\\n]|\\.)*"?|\x27(?:[^\x27\\\n]|\\.)*\x27?|[^/"\x27]+|.', 0, 's')
+        WHEN 'HTML' THEN regexp_extract_all(text, '<!--.*?(?:-->|\z)|[^<]+|.', 0, 's')
+        ELSE regexp_extract_all(text, '#[^\n]*|[^#]+', 0, 's') END AS pieces FROM v_file),
+    v_bare AS (SELECT language, text, array_to_string(list_transform(pieces, lambda p:
+        CASE WHEN CASE language WHEN 'JavaScript' THEN starts_with(p, '/*') OR starts_with(p, '//') WHEN 'CSS' THEN starts_with(p, '/*')
+                                WHEN 'HTML' THEN starts_with(p, '<!--') ELSE starts_with(p, '#') END
+             THEN regexp_replace(p, '[^\n]+', '', 'g') ELSE p END), '') AS bare FROM v_piece),
+    v_count AS (SELECT language,
+        len(list_filter(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> '')) AS filled,
+        CASE WHEN text = '' THEN 0 ELSE len(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) END AS lines,
+        len(list_filter(string_split(bare, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> '')) AS code FROM v_bare)
+    SELECT CASE WHEN grouping(language) = 1 THEN 'TOTAL' ELSE language END AS language, count(*) AS files,
+           CAST(sum(lines - filled) AS BIGINT) AS blank, CAST(sum(filled - code) AS BIGINT) AS comment, CAST(sum(code) AS BIGINT) AS code
+    FROM v_count GROUP BY ROLLUP (language)"""
+
+
+@query("q28c_block_comments", SOURCE_SQL)
+def block_comments(t):
+    """Line counts of source files with block comments, strings and pages."""
+    doc, page = F.col("doc_id") % 3, F.coalesce("html", F.lit(""))
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n"))
+    script = F.concat(F.lit("/* "), body, F.lit(' */ let a = 1 // /*\n\nlet s = "/* ";\n'), body, F.lit("\n/* open\n"), body)
+    style = F.concat(F.lit('a { content: "/*" }\n'), body, F.lit("/* "), body, F.lit("*/\n"))
+    sources = t.documents.select(
+        F.when(doc == 0, "JavaScript").when(doc == 1, "CSS").otherwise("YAML").alias("language"),
+        F.when(doc == 0, script).when(doc == 1, style).otherwise(F.concat(F.lit("# "), body)).alias("text"))
+    html = F.replace(page, F.lit("><"), F.lit(">\n<"))
+    pages = t.pages.select(F.lit("HTML").alias("language"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<!-- "), html)).otherwise(html).alias("text"))
+    return linecount.source_line_counts(sources.union(pages))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import scalars
 from lorekeep.operators import builds, coverage, issues, runs, status, textscan
+from lorekeep.operators.linecount import source_line_counts
 from lorekeep.sinks.reports import coverage_documents, write_coverage
 from lorekeep.sources import reports
 
@@ -213,6 +214,40 @@ def test_line_counts(spark, rows):
         ("CSS", 1, 0, 0, 1), ("Dockerfile", 1, 0, 0, 1), ("JavaScript", 1, 0, 1, 1), ("Python", 1, 2, 2, 1), ("TOTAL", 4, 2, 3, 4)]
 
 
+@pytest.mark.parametrize("language, text, want", [
+    ("JavaScript", "/* a\n\n b */\ncode // x\n// y", (1, 3, 1)),
+    ("JavaScript", 'let s = "/*"\nlet t = \'//\'\nlet u = `/*\n*/`', (0, 0, 4)),
+    ("JavaScript", "f() // don't /* no\ng()", (0, 0, 2)),
+    ("JavaScript", "a /* b\nc */ d\n/* e */", (0, 1, 2)),
+    ("TypeScript", "/* never closed\nx\n", (0, 2, 0)),
+    ("JavaScript", 'let s = "open\n/* c */\nlet t = "a\\"/*"', (0, 1, 2)),
+    ("CSS", "/* x */\n// no comment\na{}", (0, 1, 2)),
+    ("SCSS", "// yes\n/* x\ny */ a{}", (0, 2, 1)),
+    ("HTML", "<p>it's</p>\n<!-- a\nb -->\n<b>//</b>", (0, 2, 2)),
+    ("Python", '"""Doc\n\nmore."""\nx = 1  # c\n# d\ny = """not\n# a comment"""', (1, 3, 3)),
+    ("Python", "s = '# \"\"\"'\nt = 2", (0, 0, 2)),
+    ("Python", "def f():\n    r\'\'\'doc\'\'\'\n    return 1", (0, 1, 2)),
+    ("Groovy", "def s = \'\'\'/*\n*/\'\'\'\n/* x */", (0, 1, 2)),
+    ("YAML", "# c\na: it's # d\n\n", (1, 1, 1)),
+    ("Unknown", "# c\n\n", (1, 0, 1)),
+    ("Python", "", (0, 0, 0)),
+    ("Python", None, (0, 0, 0)),
+    (None, "x", (0, 0, 1)),
+])
+def test_source_line_counts(spark, rows, language, text, want):
+    df = spark.createDataFrame([(language, text)], "language string, text string")
+    assert rows(source_line_counts(df)) == sorted([(language, 1, *want), ("TOTAL", 1, *want)], key=repr)
+
+
+def test_source_line_counts_of_long_texts(spark, rows):
+    n = 200_000
+    long = [("JavaScript", "/*" + "x\n" * n + "*/"), ("JavaScript", '"' + "a\\\"" * n + '"'), ("Python", '"""' + "\\x" * n),
+            ("CSS", "/" * n), ("HTML", "<" * n)]
+    got = rows(source_line_counts(spark.createDataFrame(long, "language string, text string")))
+    assert got == [("CSS", 1, 0, 0, 1), ("HTML", 1, 0, 0, 1), ("JavaScript", 2, 0, n + 1, 1), ("Python", 1, 0, 1, 0), ("TOTAL", 5, 0, n + 2, 3)]
+    assert rows(source_line_counts(spark.createDataFrame([], "language string, text string"))) in ([], [("TOTAL", 0, None, None, None)])
+
+
 def test_run_outcomes(spark, rows):
     at = lambda s: f"2026-01-01 00:{s // 60:02d}:{s % 60:02d}"
     df = spark.createDataFrame(
