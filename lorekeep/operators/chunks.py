@@ -102,7 +102,8 @@ def apply_per_chunk(
 
     ``fn`` sees the rows of one chunk only, never a whole chunk at once. No shuffle
     is needed: rows are taken where they are. A batch on which ``fn`` raises gives
-    one row with the text in ``error``, and the other chunks go on. How many run
+    one row with the text in ``error``, as do that chunk's later batches in the task without
+    being tried, and the other chunks go on. How many run
     at once follows from the executors; pass a resource ``profile`` to hold more
     cores or memory per task.
 
@@ -116,15 +117,19 @@ def apply_per_chunk(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed: dict[str, str] = {}
         for batch in batches:
             for chunk, rows in batch.groupby(chunk_col, sort=False, dropna=False):
                 rows = rows.reset_index(drop=True)
-                try:
-                    result = fn(chunk, rows).reset_index(drop=True)[names]
-                    error = None
-                except Exception as exc:  # the failure is the chunk's status row
+                chunk = None if pd.isna(chunk) else chunk
+                error = failed.get(chunk)
+                if error is None:
+                    try:
+                        result = fn(chunk, rows).reset_index(drop=True)[names]
+                    except Exception as exc:  # the failure is the chunk's status row
+                        error = failed[chunk] = f"{type(exc).__name__}: {exc}"
+                if error is not None:
                     result = pd.DataFrame({n: [None] for n in names})
-                    error = f"{type(exc).__name__}: {exc}"
                 if result.empty:
                     result = pd.DataFrame({n: [None] for n in names})
                     error = ""

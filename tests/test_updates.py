@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import chunks, studies, updates
+from lorekeep.operators import chunk_runs, chunks, studies, updates
 from lorekeep.sinks.corpus import write_chunks
 
 CORPUS = [("b", "1", "old", None, None), ("a", "1", "old", None, None), ("a", "2", "old", "u9", 5), ("c", "3", "old", None, None)]
@@ -119,6 +119,45 @@ def test_apply_per_chunk_reports_failures(spark, rows):
     assert got == {"c0": (10, 10, "ok"), "c1": (10, 0, "failed"), "c2": (10, 0, "ok")}
 
 
+def test_chunk_runs_do_only_what_is_not_finished(spark, rows, tmp_path):
+    from pyspark.sql import types as T
+
+    home, schema = str(tmp_path / "home"), T.StructType([T.StructField("id", T.LongType())])
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def work(name, refuse):
+        def fn(chunk, pdf):
+            with open(f"{seen}/{name}-{chunk}", "a") as f:
+                f.write("x")
+            if chunk in refuse:
+                raise RuntimeError("boom")
+            return pdf[["id"]] * 2
+        return fn
+
+    def calls(name):
+        return {p.name.split("-")[1]: len(p.read_text()) for p in seen.iterdir() if p.name.startswith(name)}
+
+    df = spark.range(40).select(
+        "id", F.when(F.col("id") % 4 < 3, F.concat(F.lit("c"), F.col("id") % 4)).alias("chunk"), F.lit(1).alias("error"), F.lit(2).alias("_done"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        first = chunk_runs.run_chunks(df, work("a", ("c1",)), schema, home)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows(first.select("chunk", "rows_in", "status")) == sorted([("c0", 10, "ok"), ("c1", 10, "failed"), ("c2", 10, "ok"), (None, 10, "ok")], key=repr)
+    assert calls("a")["c1"] == 1 and calls("a")["c0"] > 1  # a failed chunk is not worked on further
+    want = sorted([(None if i % 4 == 3 else f"c{i % 4}", 2 * i) for i in range(40)], key=repr)
+    assert rows(chunk_runs.finished_rows(spark, home, schema)) == [r for r in want if r[0] != "c1"]
+    # A try that broke off has left rows but no markers.
+    spark.createDataFrame([("c1", 1, None, 99)], "chunk string, rows_in long, error string, id long").write.parquet(f"{home}/tries/try=0")
+    assert rows(chunk_runs.run_chunks(df, work("b", ()), schema, home).select("chunk", "status")) == [("c1", "ok")]
+    assert set(calls("b")) == {"c1"} and rows(chunk_runs.finished_rows(spark, home, schema)) == want
+    assert chunk_runs.run_chunks(df, work("c", ()), schema, home, at_once=None).count() == 0 and not calls("c")
+    assert rows(chunk_runs.finished_rows(spark, home, schema)) == want
+    assert chunk_runs.run_chunks(df.limit(0), work("d", ()), schema, str(tmp_path / "none")).count() == 0
+
+
 def test_changed_since_is_strict(spark):
     df = spark.createDataFrame([("2026-06-01 00:00:00",), ("2026-06-01 00:00:01",)], "t string").select(
         F.col("t").cast("timestamp").alias("t"))
