@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunks import assign_chunks
 from ..session import work_dir
-from ..sinks.corpus import commit_sync_log, write_chunks
+from ..sinks.corpus import commit_sync_log, write_chunks, write_json_corpus
 from ..sinks.reports import append_done, write_names, write_registry, write_registry_document
 from ..sources.articles import read_json_corpus, read_sync_log, sync_state
 from ..sources.catalogs import (
@@ -146,8 +146,8 @@ def _supplier_files(t) -> str:
     path = work_dir(t.spark, "corpus-files")
     rows = t.supplier.select(
         F.col("s_suppkey").cast("string").alias("pmid"), F.col("s_name").alias("title"), F.lit("text").alias("abstract"),
-        F.col("s_nationkey").alias("_nation"))
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("_nation").json(path)
+        F.concat(F.lit("_nation="), F.coalesce(F.col("s_nationkey").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))).alias("domain"))
+    write_json_corpus(rows, path)
     return path
 
 

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.chunks import chunk_rows
+from ..sources.files import open_store
+
+#: What a folder's name cannot hold.
+_NO_NAME = re.compile(r"[\x00-\x1f/%]|^\.{1,2}$")
 
 
 def stage(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
@@ -69,6 +79,40 @@ def finish_swap(spark: SparkSession, staging: str, path: str, domain: str = "dom
     replace_partitions(staged, path, domain, balanced=True)
 
 
+def write_json_corpus(articles: DataFrame, path: str, domain: str = "domain") -> int:
+    """One JSON file per row, in a folder per ``domain``, as ``read_json_corpus`` reads them; returns the number of files.
+
+    The rows are dealt evenly, whatever their domains, to ``spark.sql.shuffle.partitions`` tasks. A file has
+    another name until it is whole, so a repeated task leaves the same files. A null domain's folder has Spark's
+    name for null; what a name cannot hold is escaped.
+    """
+    top = path.rstrip("/")
+    folder = F.coalesce(F.col(domain).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    value = F.to_json(F.struct(*[c for c in articles.columns if c != domain]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base, _ = open_store(top)
+        made: set[str] = set()
+        written, task = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = _NO_NAME.sub(lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), name)
+                if name not in made:
+                    system.create_dir(f"{base}/{name}", recursive=True)
+                    made.add(name)
+                file = f"part-{task:05d}-{written:08d}.json"
+                hidden = f"{base}/{name}/.{file}-{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden, compression=None) as out:
+                    out.write(text.encode() + b"\n")
+                system.move(hidden, f"{base}/{name}/{file}")
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["files"])
+
+    tasks = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = articles.select(folder.alias("folder"), value.alias("value")).repartition(tasks)
+    return dealt.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def write_chunks(chunked: DataFrame, path: str, key: str = "pmid") -> None:
     """One folder per chunk; the rows of a chunk are unique by ``key``."""
     replace_partitions(chunk_rows(chunked, key).drop("idx"), path, "chunk")
