@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,18 +34,28 @@ CACHE_WORDS = 1_000_000
 #: Fillings that a branch keeps, and steps that the search for them may take.
 FILLINGS = 6
 FILLING_STEPS = 400
+#: Memory of a group's search for the fillings it has found.
+KNOWN_BYTES = 32 << 20
+#: Masks of the bits 0 to x, as far as they were needed.
+_UP_TO: list[int] = []
 
 #: White space that no token spans; other characters that Python counts as such stay in their word.
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Letters, then perhaps punctuation but no apostrophe: these are split just between the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
 _loaded: dict[str, tuple] = {}
 kept_in_worker.append(_loaded)
 
 
 def _tokenizer(name: str):
-    """The tokenizer, which of its tokens end a word, and the words already seen; a worker keeps them for its next task."""
+    """The tokenizer, the one for folded plain words, which tokens end a word, and the words already seen; a worker
+    keeps them for its next task.
+
+    Where normalising does no more to plain letters than lower-case them, a word is folded here, and goes
+    through a tokenizer without that step; else the second is the tokenizer itself.
+    """
     if name not in _loaded:
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -55,7 +65,13 @@ def _tokenizer(name: str):
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[no for token, no in vocabulary.items() if token.endswith("</w>")]] = True
         tokenizer.model._resize_cache(0)  # each word is encoded once
-        _loaded[name] = tokenizer, ends, {}
+        folded, lower = tokenizer, _LETTERS.lower()
+        normalizer = tokenizer.normalizer
+        if normalizer and {normalizer.normalize_str(f" {x} ") for x in (_LETTERS, lower)} == {f" {lower} "}:
+            folded = Tokenizer.from_file(public_tokenizers.path(name))
+            folded.normalizer = None
+            folded.model._resize_cache(0)
+        _loaded[name] = tokenizer, folded, ends, {}
     return _loaded[name]
 
 
@@ -64,28 +80,32 @@ def _encode_each(tokenizer, parts: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
 
-def _learn_words(tokenizer, ends: np.ndarray, words: list[str], known: dict[str, bytes]) -> None:
+def _learn_words(tokenizer, folded, ends: np.ndarray, words: Iterable[str], known: dict[str, bytes]) -> None:
     """Put the ids of each word in ``known``.
 
     Plain words go through the tokenizer together and are cut where a token ends a word.
     """
+    fold = str if folded is tokenizer else str.lower
     plain, rest, cores, tails = [], [], set(), set()
     for w in words:
-        m = _PLAIN.fullmatch(w)
-        if not m:
-            rest.append(w)
-        elif m[2]:
-            plain.append((w, m[1], m[2]))
-            cores.add(m[1])
-            tails.add(m[2])
+        if w.isascii() and w.isalpha():
+            core, tail = fold(w), ""
         else:
-            cores.add(w)
+            m = _PLAIN.fullmatch(w)
+            if not m:
+                rest.append(w)
+                continue
+            core, tail = fold(m[1]), m[2]
+        cores.add(core)
+        if tail or core != w:
+            plain.append((w, core, tail))
+            tails.add(tail)
     parts = [x for x in tails if x not in known] + rest
     known.update(zip(parts, _encode_each(tokenizer, parts)))
     new = [x for x in cores if x not in known]
     for start in range(0, len(new), 5_000):
         part = new[start:start + 5_000]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(folded.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
         if len(cuts) == len(part):
             raw = ids.tobytes()
@@ -102,18 +122,15 @@ def encode_texts(texts: list[str | None], name: str = TOKENIZER) -> list[bytes]:
     The tokenizer drops white space and no token spans it, so the ids of a text are
     those of its words, and each different word is encoded once.
     """
-    tokenizer, ends, known = _tokenizer(name)
+    tokenizer, folded, ends, known = _tokenizer(name)
     words = [t.split() if not _SEPARATORS.search(t) else [w for w in _SPACE.split(t) if w] for t in (x or "" for x in texts)]
-    seen: set[str] = set()
-    for own in words:
-        seen.update(own)
-    new = [w for w in seen if w not in known]
+    found = [list(map(known.get, own)) for own in words]
+    new = {w for own, ids in zip(words, found) if None in ids for w, x in zip(own, ids) if x is None}
     if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list(seen)
-    _learn_words(tokenizer, ends, new, known)
-    get = known.__getitem__
-    return [b"".join(map(get, own)) for own in words]
+        known.clear()  # what these texts need of it is in ``found``
+    _learn_words(tokenizer, folded, ends, new, known)
+    return [b"".join([known[w] if x is None else x for w, x in zip(own, ids)] if None in ids else ids)
+            for own, ids in zip(words, found)]
 
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
@@ -173,14 +190,13 @@ def fillings_of(mask: int, counts: dict[int, int], room: int, most: int = FILLIN
     """
     if counts.get(room):
         return [(room,)]
-
-    def up_to(x: int) -> int:
-        """The largest length of at most ``x`` that is left; 0 if none is."""
-        return (mask & ((2 << x) - 1)).bit_length() - 1 if x > 0 and mask & ((2 << x) - 1) else 0
-
-    largest = up_to(room)
-    if not largest:
+    for x in range(len(_UP_TO), room + 1):
+        _UP_TO.append((2 << x) - 1)
+    # (mask & _UP_TO[x]).bit_length() - 1 is the largest length of at most x that is left; below 1 if none is.
+    largest = (mask & _UP_TO[room]).bit_length() - 1 if room > 0 else 0
+    if largest < 1:
         return [()]
+    mask &= _UP_TO[largest]
     least = (mask & -mask).bit_length() - 1
     found: dict[tuple[int, ...], int] = {(largest,): largest} if largest + least > room else {}
     best, tried = 0, 0
@@ -188,9 +204,11 @@ def fillings_of(mask: int, counts: dict[int, int], room: int, most: int = FILLIN
     while stack and tried < steps:
         x, left, own = stack.pop()
         tried += 1
-        x = up_to(min(x, left))
+        if left < x:
+            x = left
+        x = (mask & _UP_TO[x]).bit_length() - 1 if x >= least else 0
         while x and own.count(x) >= counts[x]:
-            x = up_to(x - 1)
+            x = (mask & _UP_TO[x - 1]).bit_length() - 1 if x > least else 0
         if not x:
             total = room - left
             if own and (len(own) == 1 or total > largest):
@@ -207,7 +225,8 @@ def fillings_of(mask: int, counts: dict[int, int], room: int, most: int = FILLIN
             while x <= left and own.count(x) < counts[x]:
                 own.append(x)
                 left -= x
-            x = up_to(min(x - 1, left))
+            below = min(x - 1, left)
+            x = (mask & _UP_TO[below]).bit_length() - 1 if below >= least else 0
         found[tuple(own)] = room - left
     return sorted(found, key=lambda s: (-found[s], len(s), tuple(-x for x in s)))[:most]
 
@@ -223,26 +242,34 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
     large = sum(n for x, n in counts.items() if 2 * x > capacity)
     bound = max(-(-total // capacity), large)
     full_mask = sum(1 << x for x, n in counts.items() if n)
+    # What is left as one number, a field of bits per length: many branches come to the same lengths, and its fillings are kept.
+    width = max(counts.values(), default=0).bit_length()
+    unit = {x: 1 << (width * i) for i, x in enumerate(sorted(counts))}
+    known: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+    most_known = KNOWN_BYTES // (1_000 + width * len(counts) // 8)
+    full_state = sum(unit[x] * n for x, n in counts.items())
     tried = 0
     while len(incumbent) > bound and tried < nodes:
         allowed = (len(incumbent) - 1) * capacity - total
-        left, mask, waste, path, better = dict(counts), full_mask, 0, [], None
+        left, mask, state, waste, path, better = dict(counts), full_mask, full_state, 0, [], None
         pieces = sum(counts.values())
         # A frame: the bin's largest length, its fillings, the next one to try, the one in place.
         frames: list[list] = []
 
         def take(x: int) -> None:
-            nonlocal mask, pieces
+            nonlocal mask, state, pieces
             left[x] -= 1
+            state -= unit[x]
             pieces -= 1
             if not left[x]:
                 mask ^= 1 << x
 
         def give(x: int) -> None:
-            nonlocal mask, pieces
+            nonlocal mask, state, pieces
             if not left[x]:
                 mask ^= 1 << x
             left[x] += 1
+            state += unit[x]
             pieces += 1
 
         def descend() -> bool:
@@ -250,7 +277,12 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
                 return False
             first = mask.bit_length() - 1
             take(first)
-            frames.append([first, fillings_of(mask, left, capacity - first), 0, None])
+            fills = known.get((state, first))
+            if fills is None:
+                fills = fillings_of(mask, left, capacity - first)
+                if len(known) < most_known:
+                    known[state, first] = fills
+            frames.append([first, fills, 0, None])
             return True
 
         open_ = descend()

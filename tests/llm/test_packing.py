@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from lorekeep.llm import packing
 from lorekeep.llm.packing import (
     TOKENIZER, best_fit, complete_bins, encode_texts, fillings, pack_documents, pack_pieces, sequences, tokenised_pieces,
 )
@@ -120,3 +121,47 @@ def test_repeated_rows_and_no_rows(spark):
     assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
     assert pack_documents(frame(spark, [])).count() == 0
     assert tokenised_pieces(frame(spark, [])).count() == 0
+
+
+def test_letter_cases_are_encoded_once(tokenizer, monkeypatch):
+    texts = ["Éreairé hasted", "éreairé, HASTED", "ÉREAIRÉ. Hasted hAsted!?", "ÀÖØÞß àöøþß ÿ µ ª º İ ı Σς", "it's IT'S Don't l'Été"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    packing._loaded.clear()
+    seen = packing._tokenizer(TOKENIZER)
+    tokens = []
+
+    class Counting:
+        def encode_batch_fast(self, parts, **kwargs):
+            tokens.extend(w for p in parts for w in p.split())
+            return seen[1].encode_batch_fast(parts, **kwargs)
+
+    assert seen[1] is not seen[0]
+    monkeypatch.setitem(packing._loaded, TOKENIZER, (seen[0], Counting(), *seen[2:]))
+    assert encode_texts(texts) == want
+    assert tokens.count("hasted") == tokens.count("éreairé") == 1 and len(tokens) == len(set(tokens))
+
+
+def test_words_forgotten_between_texts(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    packing._loaded.clear()
+    for texts in (["a b c d"], ["a b e F, g", None, ""], ["F, g a\x1fb x y z w"]):
+        want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encode_texts(texts) == want
+
+
+def test_fillings_of_a_state_are_searched_once(monkeypatch):
+    rng = random.Random(8)
+    lengths = [rng.choice([1001, 1111, 1237, 1303, 1409, 1511, 2003]) for _ in range(60)]
+    counts, asked, search = Counter(lengths), Counter(), packing.fillings_of
+
+    def counting(mask, left, room, *bounds):
+        asked[room, tuple(sorted((x, n) for x, n in left.items() if n))] += 1
+        return search(mask, left, room, *bounds)
+
+    monkeypatch.setattr(packing, "fillings_of", counting)
+    kept = complete_bins(dict(counts), 4096, 2_000)
+    assert len(asked) > 20 and set(asked.values()) == {1}
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 0)
+    asked.clear()
+    assert complete_bins(dict(counts), 4096, 2_000) == kept
+    assert max(asked.values()) > 1
