@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,27 @@ KNOWN_BYTES = 32 << 20
 #: Masks of the bits 0 to x, as far as they were needed.
 _UP_TO: list[int] = []
 
-#: White space that no token spans; other characters that Python counts as such stay in their word.
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Letters, then perhaps punctuation but no apostrophe: these are split just between the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _LETTERS = "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
+#: White space, which no token spans; other characters that Python counts as such stay in their word.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f"]
+#: What a character is, by its byte or two bytes in UTF-8: white space, a letter, punctuation that may follow letters, or other.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_KINDS, _PAIRS = np.full(256, _OTHER, np.uint8), np.full(1 << 16, _OTHER, np.uint8)
+for _kind, _signs in (
+    (_SPACE, _SPACES), (_LETTER, _LETTERS), (_MARK, [c for c in map(chr, range(128)) if (m := _PLAIN.fullmatch(f"a{c}")) and m[2]]),
+):
+    for _raw in (c.encode() for c in _signs):
+        if len(_raw) < 3:
+            (_KINDS, _PAIRS)[len(_raw) - 1][int.from_bytes(_raw)] = _kind
+#: White space of three bytes.
+_WIDE = np.array([int.from_bytes(c.encode()) for c in _SPACES if len(c.encode()) == 3])
+#: From here on, a byte is the first one of several.
+_LEAD = 0xC2
+#: The last byte of the capitals among the plain letters; small letters are 32 above.
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[[c.encode()[-1] for c in _LETTERS if c.lower() != c]] = True
 _loaded: dict[str, tuple] = {}
 kept_in_worker.append(_loaded)
 
@@ -53,12 +69,14 @@ def _tokenizer(name: str):
     """The tokenizer, the one for folded plain words, which tokens end a word, and the words already seen; a worker
     keeps them for its next task.
 
-    Where normalising does no more to plain letters than lower-case them, a word is folded here, and goes
-    through a tokenizer without that step; else the second is the tokenizer itself.
+    Where normalising does no more to plain letters than lower-case them, a word is folded before, and goes
+    through a tokenizer without that step, which also splits at white space only if that gives the same
+    words; else the second is the tokenizer itself.
     """
     if name not in _loaded:
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         vocabulary = tokenizer.get_vocab()
@@ -71,6 +89,9 @@ def _tokenizer(name: str):
             folded = Tokenizer.from_file(public_tokenizers.path(name))
             folded.normalizer = None
             folded.model._resize_cache(0)
+            plainer, words = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)]), " ".join([lower, *lower])
+            if folded.pre_tokenizer and folded.pre_tokenizer.pre_tokenize_str(words) == plainer.pre_tokenize_str(words):
+                folded.pre_tokenizer = plainer
         _loaded[name] = tokenizer, folded, ends, {}
     return _loaded[name]
 
@@ -81,30 +102,17 @@ def _encode_each(tokenizer, parts: list[str]) -> list[bytes]:
 
 
 def _learn_words(tokenizer, folded, ends: np.ndarray, words: Iterable[str], known: dict[str, bytes]) -> None:
-    """Put the ids of each word in ``known``.
+    """Put the ids of each word, as ``_split_words`` gives them, in ``known``.
 
-    Plain words go through the tokenizer together and are cut where a token ends a word.
+    Words of plain letters go through the tokenizer together and are cut where a token ends a word.
     """
-    fold = str if folded is tokenizer else str.lower
-    plain, rest, cores, tails = [], [], set(), set()
+    plain, rest = [], []
     for w in words:
-        if w.isascii() and w.isalpha():
-            core, tail = fold(w), ""
-        else:
-            m = _PLAIN.fullmatch(w)
-            if not m:
-                rest.append(w)
-                continue
-            core, tail = fold(m[1]), m[2]
-        cores.add(core)
-        if tail or core != w:
-            plain.append((w, core, tail))
-            tails.add(tail)
-    parts = [x for x in tails if x not in known] + rest
-    known.update(zip(parts, _encode_each(tokenizer, parts)))
-    new = [x for x in cores if x not in known]
-    for start in range(0, len(new), 5_000):
-        part = new[start:start + 5_000]
+        m = _PLAIN.fullmatch(w)
+        (plain if m and not m[2] else rest).append(w)
+    known.update(zip(rest, _encode_each(tokenizer, rest)))
+    for start in range(0, len(plain), 2_000):
+        part = plain[start:start + 2_000]
         ids = np.array(folded.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
         if len(cuts) == len(part):
@@ -112,25 +120,78 @@ def _learn_words(tokenizer, folded, ends: np.ndarray, words: Iterable[str], know
             known.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
         else:
             known.update(zip(part, _encode_each(tokenizer, part)))
-    for w, core, tail in plain:
-        known[w] = known[core] + known[tail]
 
 
-def encode_texts(texts: list[str | None], name: str = TOKENIZER) -> list[bytes]:
+def _split_words(texts: pa.Array, fold: bool) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, and where each text's begin (and the last one's end).
+
+    Words stand between white space. Plain ones are cut before their punctuation, and lower-cased if ``fold``.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data[:-1] >= _LEAD)
+    pair = data[lead].astype(np.int64) << 8 | data[lead + 1]
+    for what in (_SPACE, _LETTER):
+        own = lead[_PAIRS[pair] == what]
+        kind[own] = kind[own + 1] = what
+    wide = np.flatnonzero(np.isin(pair, _WIDE >> 8))
+    own = lead[wide][np.isin(pair[wide] << 8 | data[lead[wide] + 2], _WIDE)]
+    kind[own] = kind[own + 1] = kind[own + 2] = _SPACE
+    inside = kind != _SPACE
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = at[at < len(data)]
+    first[begins] = inside[begins]
+    text_word = np.searchsorted(np.flatnonzero(first), at)
+
+    # From here on without the white space.
+    data, kind, first = data[inside], kind[inside], first[inside]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return pa.array([], pa.large_string()), np.zeros(len(at), np.int64)
+    letter = kind == _LETTER
+    after = np.zeros(len(data), bool)  # a letter of the same word stands before
+    after[1:] = letter[:-1] & ~first[1:]
+    odd = (kind == _OTHER) | (letter & ~after & ~first) | (~letter & first)
+    plain = ~np.logical_or.reduceat(odd, starts)
+
+    def in_plain(places: np.ndarray) -> np.ndarray:
+        return places[plain[np.searchsorted(starts, places, "right") - 1]]
+
+    if fold:
+        data[in_plain(np.flatnonzero(letter & _CAPITAL[data]))] += 32
+    first[in_plain(np.flatnonzero(~letter & after))] = True
+    edges = np.append(np.flatnonzero(first), len(data))
+    words = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data))
+    return words, np.searchsorted(edges, np.append(starts, len(data))[text_word])
+
+
+def encode_column(texts: pa.Array, name: str = TOKENIZER) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without an end.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text are
-    those of its words, and each different word is encoded once.
+    The tokenizer drops white space and no token spans it, so the ids of a text are those of its words.
+    Each different word is looked up once, and encoded once in a worker as long as it remembers the ids.
     """
     tokenizer, folded, ends, known = _tokenizer(name)
-    words = [t.split() if not _SEPARATORS.search(t) else [w for w in _SPACE.split(t) if w] for t in (x or "" for x in texts)]
-    found = [list(map(known.get, own)) for own in words]
-    new = {w for own, ids in zip(words, found) if None in ids for w, x in zip(own, ids) if x is None}
+    words, at = _split_words(texts, folded is not tokenizer)
+    coded = words.dictionary_encode()
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = list(map(known.get, different))
+    new = [w for w, x in zip(different, found) if x is None]
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()  # what these texts need of it is in ``found``
     _learn_words(tokenizer, folded, ends, new, known)
-    return [b"".join([known[w] if x is None else x for w, x in zip(own, ids)] if None in ids else ids)
-            for own, ids in zip(words, found)]
+    ids = pa.array([known[w] if x is None else x for w, x in zip(different, found)], pa.large_binary()).take(coded.indices)
+    cuts = (np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[at] if len(ids) else at).tolist()
+    raw = memoryview(ids.buffers()[2] or b"")
+    return [bytes(raw[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def encode_texts(texts: list[str | None], name: str = TOKENIZER) -> list[bytes]:
+    return encode_column(pa.array(texts, pa.large_string()), name)
 
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
@@ -141,9 +202,9 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKE
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20, _loaded):
+        for batch in slices(batches, "text", own=_loaded):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").to_pylist(), name)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_column(batch.column("text"), name)):
                 ids += end
                 for no, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

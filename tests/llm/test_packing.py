@@ -5,12 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from lorekeep.llm import packing
 from lorekeep.llm.packing import (
-    TOKENIZER, best_fit, complete_bins, encode_texts, fillings, pack_documents, pack_pieces, sequences, tokenised_pieces,
+    TOKENIZER, best_fit, complete_bins, encode_column, encode_texts, fillings, pack_documents, pack_pieces, sequences, tokenised_pieces,
 )
 
 from .data import documents, frame
@@ -165,3 +166,46 @@ def test_fillings_of_a_state_are_searched_once(monkeypatch):
     asked.clear()
     assert complete_bins(dict(counts), 4096, 2_000) == kept
     assert max(asked.values()) > 1
+
+
+def test_a_repeated_word_is_looked_up_once(monkeypatch):
+    packing._loaded.clear()
+    looked = Counter()
+
+    class Seen(dict):
+        def get(self, word, *rest):
+            looked[word] += 1
+            return super().get(word, *rest)
+
+    seen = Seen()
+    monkeypatch.setitem(packing._loaded, TOKENIZER, (*packing._tokenizer(TOKENIZER)[:3], seen))
+    encode_texts(["Hasted, hasted hasted 4x", None, "HASTED! 4x Éreairé,", "éreairé 4X"])
+    assert looked and set(looked.values()) == {1}
+    # Only folded words and what stands after them are remembered, not each way to write them.
+    assert set(seen) == {"hasted", ",", "!", "éreairé", "4x", "4X"}
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_columns_of_any_characters(tokenizer, kind):
+    rng = random.Random(6)
+    signs = [
+        *"aZbTxéÉßÿÀÞ×÷'!,&(", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u2003", "\u202f", "\u200b", "、", "\u0301", "\u0307", "İ", "ı", "ſ",
+        "Σ", "中", "😀", "7", "\x00", "µ", "ª", "'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>", "the ", "Thing ", "ing, ",
+    ]
+    texts = [None, "", " ", "É", "\u00c2\u0300", "a"] + ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(1500)] + ["", None, "é"]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    packing._loaded.clear()
+    column = pa.array(texts, kind)
+    assert encode_column(column) == want
+    assert encode_column(column.slice(3, 700)) == want[3:703]
+    assert encode_column(column.slice(1, 2)) == want[1:3] and encode_column(column.slice(0, 0)) == []
+    # Texts are kept apart where no white space stands between them, and short ones give the same in one.
+    assert encode_texts(["ab", "Cd", ",e"]) == [encode_texts([t])[0] for t in ("ab", "Cd", ",e")]
+    assert encode_texts([" ".join(t or "" for t in texts)]) == [b"".join(want)]
+
+
+def test_words_between_white_space_of_any_kind():
+    packing._loaded.clear()
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f"]
+    encode_texts([None, *(f"no{c}break{c}{c}no" for c in spaces), "\u3000", "no\x1cbreak"])
+    assert set(packing._loaded[TOKENIZER][3]) == {"no", "break", "no\x1cbreak"}
