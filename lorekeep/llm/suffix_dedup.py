@@ -49,6 +49,9 @@ class Settings:
 
 SETTINGS = Settings()
 
+#: Bits of one of Spark's bitmaps (4 KB).
+PART_BITS = 1 << 15
+
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and where each row's begin and end."""
@@ -137,16 +140,18 @@ def filter_of(anchors: DataFrame, most: int) -> tuple[np.ndarray, int]:
     """A bitmap with a bit for each anchor, as 64-bit words, and the power of two that it holds.
 
     There are 16 bits or more for each anchor, as long as that is no more than 2 ** ``most``. The place is the
-    low end of the hash: anchors are the least of many, so their high bits are mostly zeros.
+    low end of the hash: anchors are the least of many, so their high bits are mostly zeros. The tasks set the
+    bits; the driver gets the bitmap in parts of 4 KB, however many anchors there are.
     """
     bits = min(most, max(16, anchors.count().bit_length() + 4))
-    at = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
-    words = anchors.select(at.alias("_i")).select(
-        F.shiftright("_i", 6).alias("w"), F.expr("shiftleft(1L, cast(_i & 63 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (bits - 6) rows
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return bitmap.view(np.uint64), bits
+    at = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark counts the bits of its bitmaps from 1
+    places = anchors.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit"))
+    # The bits of a part meet before they are set, so that no task writes out parts for others to merge.
+    parts = places.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmap, size = np.zeros(1 << (bits - 6), np.uint64), PART_BITS >> 6
+    for part, held in parts.collect():  # at most 2 ** (bits - 15) rows
+        bitmap[(part - 1) * size:part * size] = np.frombuffer(held, "<u8")[:len(bitmap)]
+    return bitmap, bits
 
 
 def passes(bitmap: np.ndarray, bits: int, anchor: np.ndarray) -> np.ndarray:

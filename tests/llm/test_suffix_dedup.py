@@ -6,7 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from lorekeep.llm.suffix_dedup import SETTINGS, least_places, remove_repeats, repeats_digest, shared_windows
+from lorekeep.llm.suffix_dedup import SETTINGS, filter_of, least_places, passes, remove_repeats, repeats_digest, shared_windows
 
 from .data import documents, frame
 
@@ -73,6 +73,25 @@ def test_shared_windows_of_one_collection():
         assert len(got[0]) >= 61 and not len(got[-1])
 
 
+@pytest.mark.parametrize("many, most", [(20_000, 28), (20_000, 12), (0, 28)])
+def test_the_driver_gets_the_filter_in_parts(spark, monkeypatch, many, most):
+    anchors = np.random.default_rng(9).integers(-(1 << 63), 1 << 63, many, np.int64)
+    df, rows = spark.createDataFrame([(a, True) for a in anchors.tolist()], "anchor long, many boolean"), []
+    for name in ("collect", "toPandas"):
+        def counted(self, f=getattr(type(df), name)):
+            got = f(self)
+            rows.append(len(got))
+            return got
+        monkeypatch.setattr(type(df), name, counted)
+    bitmap, bits = filter_of(df, most)
+    assert sum(rows) <= 2 + (1 << bits >> 15)
+    assert bits == min(most, max(16, many.bit_length() + 4))
+    want = np.zeros(1 << bits, bool)
+    want[(anchors & ((1 << bits) - 1))] = True
+    assert np.array_equal(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool), want)
+    assert passes(bitmap, bits, anchors.view(np.uint64)).all()
+
+
 def test_a_repeat_beyond_16_mib_of_a_text(spark):
     rng = np.random.default_rng(3)
     words = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
